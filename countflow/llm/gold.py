@@ -1,0 +1,148 @@
+"""Hand-made sentence units to train the boundary tagger, by language.
+
+Each line holds sentences that follow one another; `||` stands between units. {N} is a
+name, {P} a place, {i} a number, {I} one with separators, {f} a decimal, {y} a year, {A} an
+initial, {w} an adjective or other single word.
+"""
+
+UNITS = {
+    "en": """
+The clerk opened {i} boxes.
+At {i}:{i} p.m. the lead stood at {f} points.
+At {i}:{i} a.m., a guard in {P} found the key.
+Between {i} and {i} p.m. the new team counted {I} cards; the others slept.
+The desk closes at {i} p.m.||Mr. and Mrs. {N} came late; their sons did not.
+The desk opens at {i} a.m.||Was it {w}?||Yes.||Was it {w}?||No.||The rest is known.
+The talk ran from {i}:{i} a.m. to {i}:{i} p.m. and ended before noon.
+The talk ran from {i}:{i} a.m. to {i}:{i} p.m. and ended at approx. {i} p.m.||It was late!
+No. {i} on the sheet was {N} {A}. {N}, who came from {P}.
+The vote was {i}-{i}, with {A}. {N} absent.
+Turnout in {P} reached {f} percent on {i} Nov. {y}.||Nobody knew.
+On {i} Sept. {y}, Dr. {N} checked rows {i} to {i} of the book.
+The late returns of Sept. {i}.||One box held {I} cards... another held {I}.
+Two lists differed by {f} vs. {f} percent, i.e. within the range.
+Wait... Prof. {N} lost the sheet.||Wait... Judge {A}. {N} asked why.||Wait... the town clerk slept.
+Wait... nearly all of {P} knew.||Form {f} of the Dept. of Records was lost.
+Why?!||Because Messrs. {N} and {N} counted twice.||Stop!||Go on.
+“We sat all night.||Nobody left the hall,” said {N} {N}.
+“Stop!” shouted Capt. {N} without comment.||“Is it over?” asked the clerk.
+"Is this all?" asked the board at approx. {i} a.m.||“Enough!” cried the guard.
+They wrote: "The clerk sealed {i} boxes."||They wrote: "Mrs. {N} signed the sheet for {P}."
+“Ask {N},” said the guard, “and bring Form {f}.”||The firm, {N} & Sons Inc., made {I} cards in {y}.
+{N} {N} Jr. and {N} {N} Sr. both signed.||Neither was {w}.
+Sec. {i} says that Prof. {A}. {A}. {N} must wait; cf. Fig. {i}.
+Sec. {i} says that the St. {P} office must wait; cf. Fig. {i}.||Results came.
+Early votes, late votes, etc. were kept apart.||Please bring an ID, e.g. a card.
+By using {P} Online you agree to cookies, etc. in our policy.||You can go.
+She lives at {i} {P} St. and votes in {P}.||He lives at {i} {P} Blvd. and works in {P}.
+Total: {I} votes, approx. {f} percent.||Some {I} cards, mostly {w}, came from {P}.
+It took {i} people to see why (the form is on p. {i}).||The {w} clerk (Ms. {N}) slept.
+Mrs. {N} saw the map (see p. {i}).||The clerk left at {i}:{i} p.m. (the form is on p. {i}).
+Results from {P}, {P} and {P} arrived by order of Gov. {N}.||The margin, .{i} points, was {w}.
+Write to help@{p}.example or see www.{p}.example/faq.html for details.||File list_{y}.v{i}.csv has {I} rows.
+Version {i}.{i}.{i} of the tool fixed the bug.||It runs every {i} minutes.
+In the U.K. of this tale, the clerk lost {i} keys.||The share fell from {f}% to {f}% in {y}.
+The board checked the road to Mt. {P}.||The board waited for approx. {i} hrs.||The room seats {i} people, the hall {I}.
+Who saw the tape No. {i}?||Who saw the Dept. of Records memo?||Request no. {I} was blocked.||Ask the owner, e.g. by phone.
+The clerk met {N} with help from {N}.||Who knew?||Your visit has ended.||Please sign in again.
+If Mrs. {N} saw the list, then Deputy {N} saw it too.||Only {I} of {I} voters in {P} came.
+The board read the book in room {f}.||Nobody knew that Rep. {N} read it in {y}.||Sorry!||We can't show this page.
+""",
+    "de": """
+Die Beteiligung lag in {P} bei {f} Prozent.||Das war knapp!
+Der Abstand betrug {f} bzw. {f} Punkte.||Insgesamt {I} Karten, ca. {i} davon leer, lagen vor.
+Ca. {i} Minuten später zählte Hr. {N} {i} Umschläge.||Wer zählte?||Warum?||Weil Hr. {N} schlief.
+Bitte bringen Sie einen Ausweis, d. h. Pass o. Ä., mit.||Listen, Siegel usw. liegen im Raum {i}.
+Listen usw. liegen im Raum {i}.||Herr Prof. {N} kam.||Frau {N} prüfte den Abschnitt {f}.||Dr. {N} schlief.
+Im {i}. Stock prüfte das Team {i} Listen.||Am {i}. Mai {y} kam Dr. {N}.||Am {i}. Okt. kam die Wahlleiterin.
+Der Vorstand prüfte den {i}. Bericht.||Das Team zählte den {i}. Wahlkreis.||Wer las die Liste Nr. {i}?
+Der Bezirk Nr. {i} las die Liste Nr. {i}.||Wenn der Bezirk Nr. {i} schlief, wartet {P}.
+„Wir haben die ganze Nacht gezählt.||Niemand ging nach Hause“, sagte {N} {N}.
+„Kommen Sie um {i} Uhr“, sagte Dr. {N}.||Die Seite wurde evtl. verschoben.||Bitte nutzen Sie die Suche.
+Ohne Grund schlief Fr. {N} am {i}. Jan. wegen der Störung.||Frau {N} kam z. B. wegen der Störung.
+""",
+    "fr": """
+La participation a atteint {f} % à {P}.||Quelle soirée !
+La part est passée de {f} à {f} %.||Voir art. {i}, p. {i} du texte.||Env. {i} électeurs attendaient.
+M. {N} a perdu la liste n° {i}.||MM. {N} et {N} ont signé.||Pourquoi ?||Parce que M. {N} dort.
+« Nous avons compté toute la nuit.||Personne n’est parti », dit {N} {N}.
+« C’est fini ? »||Non, MM. {N} et {N} ont perdu {i} plis en salle {i}.
+« C’est fini ? »||Non, la greffière a signé le {i} janv. dernier.||« Venez à {i} h », a dit M. {N}.
+Si Mme {N} a signé la liste n° {i} le {i} oct. dernier, {P} attendra.||Les plis, les listes, etc. restent en salle {i}.
+Les plis, etc. restent là.||Qui a signé l’annexe {f} ?||Le Dr {N} a signé p. ex. à cause de la panne.
+""",
+    "es": """
+La participación llegó al {f} % en {P}.||¡Qué noche!||¿Por qué?||Porque la Dra. {N} lo perdió.
+Aprox. {i} votantes esperaban.||Véase la pág. {i} del texto.||¿Y ahora?||Sobres, listas, etc. quedan en la sala {i}.
+«Nadie se fue.||Contamos todo», dijo la Sra. {N}.||«Vengan a las {i}», dijo el Sr. {N}.
+—Contamos toda la noche —dijo {N} {N}—.||Nadie se fue.||La cuota pasó del {f} al {f} %.
+En {y}, los Sres. {N} y {N} vieron la lista núm. {i} a las {i}:{i} h.||¿Quién vio la lista núm. {i}?
+El Sr. {N} firmó el {i} de oct. de {y}.||La Sra. {N} firmó la lista p. ej. por la avería.
+""",
+    "ru": """
+Явка составила {f} процента.||Какая ночь!||Почему?||Потому что А. В. {R} спал.
+Доля упала с {f} до {f} %.||Итоги... ещё не ясны.||Сбой устранили в {y} г.||Секретарь пришёл.
+В {y} г. секретарь исправил список № {i}.||В {y} г. А. В. {R} исправил список.||В {y} г. Г-н {R} спал.
+Сбой устранили в {y} г.||И. О. {R} проверил данные за {y} г. в зале № {i}.||Пос. Верхний потерял {i} тыс. бюллетеней.
+Если пос. Верхний исправил данные за {y} г., комиссия ждёт.||Конверты, списки и т. д. хранятся в комн. {i}.
+Конверты и т. д. лежат в комн. {i}.||Секретарь подписал копию за {i} окт. на ул. Садовой.||Кто это потерял?
+«Мы считали всю ночь.||Никто не ушёл», — сказал {R}.||«Приходите в {i} часов», — сказал пос. Верхний.
+Помощник передал копию за {i} окт. т. е. с опозданием.||Д-р {R} спал {i} мин. без пояснений.||Он ушёл в {f} вечера.
+Комиссия проверила данные за {y} г.||Кто спал?||Кто исправил данные за {y} г.?||Секретарь проверил данные за {y} г. после закрытия.
+""",
+    "el": """
+Η συμμετοχή έφτασε το {f} τοις εκατό.||Τι νύχτα!||Γιατί;||Επειδή ο κ. {G} έλεγξε τη λίστα αρ. {i}.
+Το ποσοστό έπεσε από {f} σε {f} %.||Η αίθουσα έκλεισε· ο κ. {G} έφυγε.||Ποιος έχασε τη λίστα αρ. {i};
+Η αίθουσα έκλεισε· η δρ. {G} έφυγε.||Ποιος έλεγξε το άρθρο {f};||Αν η δρ. {G} έφυγε, θα δούμε.
+«Μετρούσαμε όλη νύχτα.||Κανείς δεν έφυγε», είπε ο κ. {G}.||Ο βοηθός έφυγε στις {i}:{i} μ.μ. και κοιμήθηκε.
+Ο βοηθός έχασε το άρθρο {f} π.χ. λόγω βλάβης και έφυγε.||Χρησιμοποιούμε cookies.||Συμφωνείτε;
+""",
+    "hi": """
+मतदान {f} प्रतिशत रहा।||कितनी लंबी रात!||क्यों?||क्योंकि डॉ. {H} ने सूची सं. {i} खोई।
+“हमने सारी रात काम किया।||कोई नहीं गया,” {H} ने कहा।||किसने सूची सं. {i} के पन्ने खोए?
+हिस्सा {f}% से {f}% हुआ।||डॉ. {H} ने भाग {f} के पन्ने खोए।||अगर डॉ. {H} आए, तो सब रुकेंगे।
+""",
+    "ar": """
+بلغت نسبة المشاركة {f} في المئة.||يا لها من ليلة!||لماذا؟||لأن د. {B} نام.
+هبطت النسبة من {f} إلى {f} في المئة.||من فقد القائمة رقم {i}؟||استلم د. {B} نحو {i} بطاقة.
+«فرزنا طوال الليل.||لم يغادر أحد»، قال {B}.||في عام {y} راجع د. {B} القائمة رقم {i}.||هل توافق؟
+""",
+    "zh": """
+投票率达到{f}%。||太接近了！||为什么？||因为书记官核对了第{f}节。
+“我们整夜都在点票。||没有人离开。”镇政府说。||“请{i}点来。”书记官说。||结果出来了吗？||还没有！
+“请{i}点来。”第{i}号柜台说。||一共{i}箱，其中{i}箱无效！||请携带证件（如护照等）。||等等……书记官还没有来。
+差距为{f}个百分点；书记官走了。||“没有人离开。”志愿者说。||谁来了？||{y}年书记官来了。
+""",
+    "ja": """
+投票率は{f}%に達した。||接戦だった！||なぜか？||係員は第{f}節を確認したからだ。
+「一晩中数えました。||誰も帰りませんでした。」と係員は述べた。||「{i}時に来てください。」と係員は言った。
+「もう終わり？」と聞かれ、係員は帰った。||全部で{i}箱、うち{i}箱は無効！||{y}年、係員は来た。||待って……まだ終わっていない。
+だれが来たのか？||Ver.{i}.{i}.{i}で不具合は直った。||「帰りません。」と{i}番窓口は述べた。
+""",
+    "th": """
+มีผู้มาใช้สิทธิร้อยละ {f} ในเขตนี้||ทำไมเทศบาลจึงส่งผล||สัดส่วนลดจาก {f} เหลือ {f} ในปีนั้น
+ผลต่างลดลงเรื่อย ๆ จนถึงเช้า||ถ้าอาสาสมัครนับใหม่ทุกคนต้องรอ||ในปี {y} ทีมตรวจซ้ำลงนามในบัตร {i} ใบ
+ใครเป็นผู้นับใหม่||มีผู้มาใช้สิทธิ {i} คนก่อนเที่ยง||เทศบาลส่งกล่อง {i} ใบเวลา {f} น.||อาสาสมัครรับกล่อง
+เว็บไซต์นี้ใช้คุกกี้||คุณเปลี่ยนการตั้งค่าได้
+""",
+}
+
+#: Lines that are one unit without a final mark, and notices.
+LINES = {
+    "en": ["Accept all?||Reject", "Home · Maps · Help", "Home | Sign in | Contact", "Home » Maps » Help", "About us", "Contact", "Maps", "Help", "Home", "Sign in", "District {i}: a long day", "Precinct {i} news", "Results for {P}", "How it works", "{i}. the {w} file", "{i}. rows {i} to {i} of the book", "a) Form {f}", "b) the map", "- the {w} log", "• Form {f}", "• the road to Mt. {P}", "{P}\t{i}\t{i}\t{f}", "{P}, {i} Hall St.", "Printed by {N} & Co.", "© {y} www.{p}.example", "Notice No. {i}", "Error {i}", "No personal data leaves the county", "a) the Dept. of Records note", "Who is on the list in {P}?", "c) {i} {w} boxes"],
+    "de": ["Alle akzeptieren?||Nur nötige", "Karten", "Über uns", "Ergebnisse für {P}", "So wird gezählt", "Mitteilung Nr. {i}", "- Liste Nr. {i}", "• den {i}. Bericht", "{i}. Umschläge", "a) die Briefe", "Seite nicht gefunden", "{P}, {i} Hall St."],
+    "fr": ["Tout accepter ?||Continuer sans accepter", "Accueil", "À propos", "Résultats de {P}", "Avis n° {i}", "Comment compte-t-on ?", "- la liste n° {i}", "{i}. les plis", "Page introuvable", "• l’annexe {f}"],
+    "es": ["¿Acepta todas?||Solo necesarias", "Inicio", "Acerca de", "Resultados de {P}", "Aviso núm. {i}", "¿Cómo se cuenta?", "- la lista núm. {i}", "{i}. sobres", "b) el anexo {f}"],
+    "ru": ["Главная", "Карты", "Итоги по округу {i}", "Как считают голоса", "- список № {i}", "• копию за {i} окт.", "• данные за {y} г.", "{i}. {i} тыс. бюллетеней", "a) протокол"],
+    "el": ["Αρχική", "Χάρτες", "Αποτελέσματα {i}ης περιφέρειας", "- τη λίστα αρ. {i}", "• το άρθρο {f}", "{i}. το πρακτικό"],
+    "hi": ["मुखपृष्ठ", "नक्शे  नतीजे", "क्षेत्र {i} के नतीजे", "- सूची सं. {i} के पन्ने", "a) मतपत्र", "{i}. मतपत्र"],
+    "ar": ["النتائج", "الخرائط » اتصل بنا", "نتائج الدائرة {i}", "- القائمة رقم {i}", "{i}. محضر الفرز"],
+    "zh": ["首页", "地图  结果", "第{i}选区结果", "我们如何计票", "- 签名卡", "{i}. 第{f}节的说明", "a) 名单"],
+    "ja": ["ホーム", "地図", "第{i}区の結果", "開票のしくみ", "- 在外票を", "{i}. 署名カードを", "• {i}個の箱を"],
+    "th": ["หน้าแรก » แผนที่", "ผลคะแนน", "ผลการนับคะแนน", "- บัตร {i} ใบ", "{i}. รายชื่อ", "หน้าแรก · ติดต่อ"],
+}
+
+NAMES = "Tarvin Obrel Quist Hanlow Merrik Dovane Salter Ivers Brandt Keller Orlov Pereda Lindh Castan".split()
+PLACES = "Arden Westbury Millford Oakham Hartley Linfield Rosedale Norbury Stoke Wexley".split()
+ADJECTIVES = "late early brief quiet narrow long hidden small busy grey tired rural steady".split()
+RUSSIAN, GREEK, HINDI, ARABIC = "Орлов Петров Седов Лазарев".split(), "Παππάς Νικολής Ρήγας".split(), "शर्मा वर्मा जोशी".split(), "سمير كريم نادر".split()
