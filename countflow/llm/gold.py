@@ -129,7 +129,7 @@ El Sr. {N} firmó el {i} de oct. de {y}.||La Sra. {N} firmó la lista p. ej. por
 
 #: Lines that are one unit without a final mark, and notices.
 LINES = {
-    "en": ["Accept all?||Reject", "Home · Maps · Help", "Home | Sign in | Contact", "Home » Maps » Help", "About us", "Contact", "Maps", "Help", "Home", "Sign in", "District {i}: a long day", "Precinct {i} news", "Results for {P}", "How it works", "{i}. the {w} file", "{i}. rows {i} to {i} of the book", "a) Form {f}", "b) the map", "- the {w} log", "• Form {f}", "• the road to Mt. {P}", "{P}\t{i}\t{i}\t{f}", "{P}, {i} Hall St.", "Printed by {N} & Co.", "© {y} www.{p}.example", "Notice No. {i}", "Error {i}", "No personal data leaves the county", "a) the Dept. of Records note", "Who is on the list in {P}?", "c) {i} {w} boxes"],
+    "en": ["Accept all?||Reject", "Small files help us to count all visits.||No personal data leaves the county", "Results · About us · Archive · Home · Maps · News · Help", "News | Archive | Maps | About us | Contact | Candidates | Help", "Archive » Contact » Home » About us » Help » Sign in » News", "Small files help us.||No personal data leaves the small county office", "Home · Maps · Help", "Home | Sign in | Contact", "Home » Maps » Help", "About us", "Contact", "Maps", "Help", "Home", "Sign in", "District {i}: a long day", "Precinct {i} news", "Results for {P}", "How it works", "{i}. the {w} file", "{i}. rows {i} to {i} of the book", "a) Form {f}", "b) the map", "- the {w} log", "• Form {f}", "• the road to Mt. {P}", "{P}\t{i}\t{i}\t{f}", "{P}, {i} Hall St.", "Printed by {N} & Co.", "© {y} www.{p}.example", "Notice No. {i}", "Error {i}", "No personal data leaves the county", "a) the Dept. of Records note", "Who is on the list in {P}?", "c) {i} {w} boxes"],
     "de": ["Alle akzeptieren?||Nur nötige", "Karten", "Über uns", "Ergebnisse für {P}", "So wird gezählt", "Mitteilung Nr. {i}", "- Liste Nr. {i}", "• den {i}. Bericht", "{i}. Umschläge", "a) die Briefe", "Seite nicht gefunden", "{P}, {i} Hall St."],
     "fr": ["Tout accepter ?||Continuer sans accepter", "Accueil", "À propos", "Résultats de {P}", "Avis n° {i}", "Comment compte-t-on ?", "- la liste n° {i}", "{i}. les plis", "Page introuvable", "• l’annexe {f}"],
     "es": ["¿Acepta todas?||Solo necesarias", "Inicio", "Acerca de", "Resultados de {P}", "Aviso núm. {i}", "¿Cómo se cuenta?", "- la lista núm. {i}", "{i}. sobres", "b) el anexo {f}"],
