@@ -1,8 +1,12 @@
 """Queries of the text problems; imported by the driver entry only where this subpackage exists."""
 
-from countflow.llm import sentences
+from countflow.llm import mixing, packing, sentences
 
 QUERIES = {
+    "p7_containers": packing.p7_containers,
+    "p7_report": packing.p7_report,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
     "p9_found": sentences.p9_found,
 }
 
