@@ -69,13 +69,11 @@ def number_by_key(df: DataFrame, key: str) -> DataFrame:
     """df, read straight from files, with `_n`: the row's 0-based number within its key, in input order.
 
     df must still carry the file metadata column, so pass a scan with projections and
-    filters only. Null keys are numbered as one key. Columns that begin with an
-    underscore are reserved for the operator. An empty frame gives an empty frame.
+    filters only. Null keys are numbered as one key. Input columns named like the operator's
+    own (_n, _chunk, _path, _start, _key, _p, _s, _offset) are replaced. An empty frame gives
+    an empty frame.
     """
-    taken = {c for c in df.columns if c.startswith("_")}
-    if taken:
-        raise ValueError(f"reserved column names: {sorted(taken)}")
-    split = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    split = df.drop("_path", "_start", "_n", "_chunk", "_key", "_p", "_s", "_offset").select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
     counts = split.groupBy("_path", "_start", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_k"))
     before = Window.partitionBy("_key").orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(counts.withColumn("_offset", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k"))

@@ -16,12 +16,12 @@ from countflow.functions.common import bounded, repaired_id, repaired_state, tab
 
 def spans(target: DataFrame, keys: list[str], added: str = "added_at", removed: str = "removed_at") -> DataFrame:
     """The target reduced to one row per key with the spans in which the key exists."""
-    return target.groupBy(*keys).agg(F.collect_set(F.struct(F.col(added).alias("a"), F.col(removed).alias("r"))).alias("_spans"))
+    return target.groupBy(*keys).agg(F.collect_set(F.struct(F.col(added).alias("a"), F.col(removed).alias("r"))).alias("_cf_spans"))
 
 
 def _at(moment: Column) -> Column:
     """Whether one of the spans holds the moment; unknown moments lie in no span."""
-    inside = F.exists("_spans", lambda s: (s["a"] <= moment) & (s["r"].isNull() | (s["r"] > moment)))
+    inside = F.exists("_cf_spans", lambda s: (s["a"] <= moment) & (s["r"].isNull() | (s["r"] > moment)))
     return F.coalesce(inside, F.lit(False))
 
 
@@ -33,9 +33,9 @@ def anti(refs: DataFrame, target: DataFrame, keys: list[str], at: str) -> DataFr
     per target key means the join never multiplies rows.
     """
     known = bounded(spans(target.dropna(subset=keys), keys))
-    known = known.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_spans")
-    same = [F.col(k) == F.col(f"_t_{k}") for k in keys]
-    return refs.join(known, same, "left").filter(~_at(F.col(at))).drop("_spans", *[f"_t_{k}" for k in keys])
+    known = known.select(*[F.col(k).alias(f"_cf_t_{k}") for k in keys], "_cf_spans")
+    same = [F.col(k) == F.col(f"_cf_t_{k}") for k in keys]
+    return refs.join(known, same, "left").filter(~_at(F.col(at))).drop("_cf_spans", *[f"_cf_t_{k}" for k in keys])
 
 
 def orphans(refs: DataFrame, targets: dict[tuple[str, ...], DataFrame], at: str, match: str = "each") -> DataFrame:

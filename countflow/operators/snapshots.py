@@ -64,7 +64,9 @@ def changes(snapshots: DataFrame, register: DataFrame, compare: list[str]) -> Da
     before the shuffle, so a unit repeated without end costs one row per task.
     """
     seq = bounded(sequence(register))
-    rows = snapshots.filter(F.col("unit").isNotNull()).join(seq, "snapshot_id")
+    inner = {c: f"_c{k}" for k, c in enumerate(compare)}
+    rows = snapshots.filter(F.col("unit").isNotNull()).select("snapshot_id", "unit", "last_modified", *[F.col(c).alias(n) for c, n in inner.items()])
+    rows, compare = rows.join(seq, "snapshot_id"), list(inner.values())
     latest = F.max(F.struct("last_modified", *compare)).alias("_last")
     one = rows.groupBy("election_id", "unit", "seq", "snapshot_id", "next_id").agg(latest)
     one = one.select("election_id", "unit", "seq", "snapshot_id", "next_id", *[F.col(f"_last.{c}").alias(c) for c in compare])

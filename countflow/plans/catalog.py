@@ -1,2 +1,576 @@
+"""Registered queries of the estimation operators and their SQL."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from countflow.functions.common import cut, repaired_id, table
+from countflow.functions.nulls import half_even
+from countflow.operators import bootstrap, conformal, evaluate, features, measures, ordered, replay, rollup, units, versioned
+from countflow.plans import sql, views
+from countflow.plans.views import COVARIATES, RESULTS, SCOPE, THRESHOLD
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+KEYS = ["election_id", "postal_code", "geographic_unit_fips"]
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            SQL[name] = oracle
+        return f
+
+    return add
+
+
+def r(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _classified(spark, d, **rules) -> DataFrame:
+    return measures.add_residual(views.classified(spark, d, **rules), "dem")
+
+
+def _units(spark, d) -> DataFrame:
+    """The classified units, written once: models read them many times, and they are few beside the loads."""
+    return cut(_classified(spark, d))
+
+
+def _predicted(spark, d, known: DataFrame | None = None) -> DataFrame:
+    return conformal.predict_swing(known if known is not None else _units(spark, d), "dem", SCOPE)
+
+
+# --- combining and classifying ---
+
+
+@query("q_minimum_slice", sql.rollup("election_id, postal_code", "postal_code is not null"))
+def minimum_slice(spark, d):
+    return rollup.predictions(_predicted(spark, d), ["election_id", "postal_code"], "dem")
+
+
+@query("q_units_combined", f"{sql.VIEWS} select {sql.K}, results_dem, results_gop, results_turnout, percent_expected_vote, round(turnout_factor, 6) as turnout_factor from comb")
+def units_combined(spark, d):
+    return views.combined(spark, d).select(*KEYS, *RESULTS, "percent_expected_vote", r("turnout_factor").alias("turnout_factor"))
+
+
+@query("q_unreporting_zero", f"""{sql.VIEWS} select {sql.K}, coalesce(results_dem, 0) as results_dem, coalesce(results_gop, 0) as results_gop, coalesce(results_turnout, 0) as results_turnout,
+ case when results_dem is null or results_gop is null or results_turnout is null then 0 else percent_expected_vote end as percent_expected_vote from lefted""")
+def unreporting_zero(spark, d):
+    return views.combined(spark, d, "zero").select(*KEYS, *RESULTS, "percent_expected_vote")
+
+
+@query("q_unit_roles", f"{sql.UNITS} select {sql.K}, role, unit_category, reporting from roles")
+def unit_roles(spark, d):
+    return views.classified(spark, d).select(*KEYS, "role", "unit_category", "reporting")
+
+
+@query("q_unexpected_units", f"{sql.UNITS} select {sql.K}, county_fips, district, results_turnout from unex")
+def unexpected_units(spark, d):
+    cur, _ = measures.add_results(views.current(spark, d), ["dem", "margin"])
+    return units.unexpected(cur, views.combined(spark, d), ["county_fips", "district"], "county", SCOPE).select(*KEYS, "county_fips", "district", "results_turnout")
+
+
+_BLOCKED = "postal_code in ('ZA', 'QC') or geographic_unit_fips in ('39601', '25140')"
+
+
+@query("q_non_modeled_priority", f"{sql.UNITS} select {sql.K}, case when {_BLOCKED} then 'non-modeled: blocklisted' else {sql.CATEGORY} end as unit_category from comb where {_BLOCKED} or {sql.CATEGORY} is not null")
+def non_modeled_priority(spark, d):
+    rule = units.category(THRESHOLD, units_blocked=["39601", "25140"], states_blocked=["ZA", "QC"])
+    return views.combined(spark, d).withColumn("unit_category", rule).filter("unit_category is not null").select(*KEYS, "unit_category")
+
+
+@query("q_outlier_rule_intercept", f"""{sql.UNITS}, x as (select r.*, m.med from roles r join {sql.wmedian("(select * from roles where role = 'reporting')", "election_id", "turnout_factor", "baseline_weights", "med")} m using (election_id) where role = 'reporting'),
+ y as (select *, abs(turnout_factor - med) as off from x)
+ select {sql.K} from (select *, off > avg(off) over w + 2.0 * stddev_pop(off) over w and count(off) over w > 20 as flag from y window w as (partition by election_id)) where flag""")
+def outlier_rule(spark, d):
+    u = views.classified(spark, d).filter("role = 'reporting'")
+    med = ordered.weighted_median(u, SCOPE, "turnout_factor", "baseline_weights", ["geographic_unit_fips"], "med")
+    u = u.join(F.broadcast(med), SCOPE)
+    return u.withColumn("flag", units.residual_outliers(u, "turnout_factor", "med", 2.0, SCOPE)).filter("flag").select(*KEYS)
+
+
+@query("q_outlier_rule_covariates")
+def outlier_rule_covariates(spark, d):
+    u = views.classified(spark, d).filter("role = 'reporting'").withColumns({"residuals_tf": F.col("turnout_factor"), "last_election_results_tf": F.col("baseline_weights"), "train": F.lit(True)})
+    fit = conformal.fit_scores(u, "tf", COVARIATES, [0.5], SCOPE)
+    u = u.join(fit, [*SCOPE, "geographic_unit_fips"])
+    return u.withColumn("flag", units.residual_outliers(u, "turnout_factor", "q_0", 2.0, SCOPE)).filter("flag").select(*KEYS)
+
+
+@query("q_semi_join", "select c_custkey, c_nationkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
+def semi_join(spark, d):
+    o = table(spark, d, "orders").filter("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return units.semi_join(table(spark, d, "customer"), o, ["c_custkey"]).select("c_custkey", "c_nationkey")
+
+
+@query("q_state_filter", f"with {sql.BASE} select postal_code, count(*) as n from base where postal_code in ('ZA', 'QC', 'XG') group by 1")
+def state_filter(spark, d):
+    return units.in_states(views.baseline(spark, d), ["ZA", "QC", "XG"]).groupBy("postal_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_id_parse", f"with {sql.BASE} select geographic_unit_fips, case when geographic_unit_type like '%district%' and contains(geographic_unit_fips, '_') then split_part(geographic_unit_fips, '_', 2) else split_part(geographic_unit_fips, '_', 1) end as county, split_part(geographic_unit_fips, '_', 1) as district_part from base")
+def id_parse(spark, d):
+    return views.baseline(spark, d).select("geographic_unit_fips", units.county_of(F.col("geographic_unit_type")).alias("county"), units.id_part(0).alias("district_part"))
+
+
+@query("q_duplicate_units", f"select l.election_id, {sql.U} as geographic_unit_fips, count(*) as n from current_loads join load_register l using (load_id) where geographic_unit_fips is not null group by 1, 2, load_id having count(*) > 1")
+def duplicate_units(spark, d):
+    c = table(spark, d, "current_loads").join(table(spark, d, "load_register").select("load_id", "election_id"), "load_id").withColumn("geographic_unit_fips", repaired_id("geographic_unit_fips"))
+    return c.filter("geographic_unit_fips is not null").groupBy("election_id", "geographic_unit_fips", "load_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("load_id")
+
+
+# --- measures ---
+
+
+@query("q_estimand_margin", f"{sql.VIEWS} select {sql.K}, results_weights, results_margin, round(results_normalized_margin, 6) as results_normalized_margin, round(baseline_normalized_margin, 6) as baseline_normalized_margin from comb")
+def estimand_margin(spark, d):
+    return views.combined(spark, d).select(*KEYS, "results_weights", "results_margin", r("results_normalized_margin").alias("results_normalized_margin"), r("baseline_normalized_margin").alias("baseline_normalized_margin"))
+
+
+@query("q_vote_share", f"{sql.VIEWS} select {sql.K}, round(case when results_dem = 0 and results_turnout = 0 then 0 when results_turnout = 0 then null else results_dem / results_turnout end, 6) as results_party_vote_share_dem from comb")
+def vote_share(spark, d):
+    df, _ = measures.share_dem(views.combined(spark, d), "results_")
+    return df.select(*KEYS, r("results_party_vote_share_dem").alias("results_party_vote_share_dem"))
+
+
+@query("q_residuals", f"{sql.UNITS} select {sql.K}, last_election_results_dem, round(residuals_dem, 6) as residuals_dem from roles where role = 'reporting'")
+def residuals(spark, d):
+    return _classified(spark, d).filter("role = 'reporting'").select(*KEYS, "last_election_results_dem", r("residuals_dem").alias("residuals_dem"))
+
+
+# --- roll-ups ---
+
+for _name, _by, _where in (("state", "election_id, postal_code", "postal_code is not null"), ("county", "election_id, postal_code, county_fips", "postal_code is not null and county_fips is not null"), ("class", "election_id, postal_code, county_classification", "postal_code is not null and county_classification is not null and role <> 'unexpected'"), ("district", "election_id, postal_code, district", "postal_code is not null and district is not null")):
+    QUERIES[f"q_aggregate_predictions_{_name}"] = lambda spark, d, by=_by: rollup.predictions(_predicted(spark, d), by.split(", "), "dem")
+    SQL[f"q_aggregate_predictions_{_name}"] = sql.rollup(_by, _where)
+
+
+@query("q_reporting_votes", f"{sql.UNITS} select election_id, postal_code, coalesce(sum(results_dem), 0.0) as results_dem, cast(sum(reporting) as bigint) as reporting from roles where postal_code is not null and role <> 'nonreporting' group by 1, 2")
+def reporting_votes(spark, d):
+    return rollup.known_votes(_classified(spark, d), ["election_id", "postal_code"], "dem")
+
+
+@query("q_nonreporting_votes", f"{sql.PRED} select election_id, postal_code, coalesce(sum(results_dem), 0.0) as results_dem, coalesce(sum(pred_dem), 0.0) as pred_dem from pred where postal_code is not null and role = 'nonreporting' group by 1, 2")
+def nonreporting_votes(spark, d):
+    return rollup.open_votes(_predicted(spark, d), ["election_id", "postal_code"], "dem")
+
+
+_LEVELS = ["postal_code", "county_classification", "district"]
+_ALL = " union all ".join(f"select election_id, '{k}' as level, {k} as key, coalesce(sum(case when role = 'nonreporting' then pred_dem else results_dem end), 0.0) as pred_dem, cast(sum(reporting) as bigint) as reporting, count(*) as units from pred where {k} is not null group by election_id, {k}" for k in _LEVELS)
+
+
+@query("q_rollup_grouping_sets", f"{sql.PRED} {_ALL} union all select election_id, 'all', 'all', coalesce(sum(case when role = 'nonreporting' then pred_dem else results_dem end), 0.0), cast(sum(reporting) as bigint), count(*) from pred group by 1")
+def grouping_sets(spark, d):
+    return rollup.all_levels(_predicted(spark, d), SCOPE, _LEVELS, "dem")
+
+
+@query("q_contests_with_units", f"{sql.UNITS} select election_id, postal_code, count(*) as n, count(distinct district) as districts from roles where postal_code is not null group by 1, 2 having count(*) > 10 and count(distinct district) > 1")
+def contests_with_units(spark, d):
+    u = _classified(spark, d).filter("postal_code is not null").groupBy("election_id", "postal_code")
+    return u.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district").alias("districts")).filter("n > 10 and districts > 1")
+
+
+@query("q_baseline_margin_state", f"{sql.UNITS} select election_id, postal_code, round((sum(baseline_dem) - sum(baseline_gop)) / (sum(baseline_turnout) + 1), 6) as baseline_margin from roles where postal_code is not null group by 1, 2")
+def baseline_margin_state(spark, d):
+    return rollup.baseline_margin(_classified(spark, d), ["election_id", "postal_code"]).withColumn("baseline_margin", r("baseline_margin"))
+
+
+# --- ordered sets ---
+
+_REP = "(select * from roles where role = 'reporting')"
+
+
+@query("q_weighted_median_by_group", f"{sql.UNITS} select election_id, county_classification, round(weighted_median, 6) as weighted_median from {sql.wmedian(_REP + ' q', 'election_id, county_classification', 'residuals_dem', 'last_election_results_dem', 'weighted_median')}")
+def weighted_median_by_group(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting'")
+    return ordered.weighted_median(u, ["election_id", "county_classification"], "residuals_dem", "last_election_results_dem", ["geographic_unit_fips"]).withColumn("weighted_median", r("weighted_median"))
+
+
+@query("q_var_inflate", f"{sql.UNITS} select election_id, county_classification, round(sum(last_election_results_dem * last_election_results_dem) / pow(sum(last_election_results_dem), 2), 8) as var_inflate from roles where role = 'reporting' group by 1, 2")
+def var_inflate(spark, d):
+    return _classified(spark, d).filter("role = 'reporting'").groupBy("election_id", "county_classification").agg(r(ordered.inflate("last_election_results_dem"), 8).alias("var_inflate"))
+
+
+@query("q_winsor_std", f"""{sql.UNITS}, x as (select election_id, residuals_dem as v, row_number() over (partition by election_id order by residuals_dem, geographic_unit_fips) as k, count(*) over (partition by election_id) as n from roles where role = 'reporting' and residuals_dem is not null),
+ y as (select *, min(case when k > floor(0.05 * n) and k <= n - floor(0.05 * n) then v end) over (partition by election_id) as lo, max(case when k > floor(0.05 * n) and k <= n - floor(0.05 * n) then v end) over (partition by election_id) as hi from x)
+ select election_id, round(stddev_samp(greatest(least(v, hi), lo)), 6) as winsorized_std from y group by 1""")
+def winsor_std(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting'")
+    return ordered.winsorized_std(u, SCOPE, "residuals_dem", ["geographic_unit_fips"]).withColumn("winsorized_std", r("winsorized_std"))
+
+
+@query("q_population_correction", f"""{sql.UNITS} select election_id, round(min(case when c > 0.8 * t then v end), 6) as correction from (select election_id, residuals_dem as v, sum(last_election_results_dem) over (partition by election_id order by residuals_dem, geographic_unit_fips rows unbounded preceding) as c,
+ sum(last_election_results_dem) over (partition by election_id) as t from roles where role = 'reporting') group by 1""")
+def population_correction(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting'")
+    return ordered.population_correction(u, SCOPE, "residuals_dem", "last_election_results_dem", 0.8, ["geographic_unit_fips"]).withColumn("correction", r("correction"))
+
+
+@query("q_quantile_linear", f"{sql.UNITS} select election_id, round(quantile_cont(residuals_dem, 0.05), 6) as q05, round(quantile_cont(residuals_dem, 0.9), 6) as q90 from roles where role = 'reporting' group by 1")
+def quantile_linear(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting'")
+    return u.groupBy("election_id").agg(r(F.percentile("residuals_dem", F.lit(0.05))).alias("q05"), r(F.percentile("residuals_dem", F.lit(0.9))).alias("q90"))
+
+
+# --- features ---
+
+
+@query("q_center_scale", f"{sql.UNITS} select {sql.K}, round((median_household_income - avg(median_household_income) over w) / nullif(stddev_samp(median_household_income) over w, 0), 6) as median_household_income, round((percent_bachelor_or_higher - avg(percent_bachelor_or_higher) over w) / nullif(stddev_samp(percent_bachelor_or_higher) over w, 0), 6) as percent_bachelor_or_higher from roles where role <> 'unexpected' window w as (partition by election_id)")
+def center_scale(spark, d):
+    u = _classified(spark, d).filter("role <> 'unexpected'")
+    x = COVARIATES[:2]
+    return features.center_scale(u, x, scope=SCOPE).select(*KEYS, *[r(c).alias(c) for c in x])
+
+
+_CLASSES = ("central", "far_south", "lakeside", "metro_ring", "river_valley", "uplands")
+
+
+@query("q_fixed_effects_onehot", f"""{sql.UNITS}, act as (select min(county_classification) as ref from roles where unit_category = 'expected' and reporting = 1 and county_classification is not null)
+ select {sql.K}, county_classification as level, cast(case when county_classification = ref then 0 else 1 end as double) as dummies_set from roles, act where role <> 'unexpected' and county_classification is not null""")
+def fixed_effects_onehot(spark, d):
+    u = _classified(spark, d).filter("role <> 'unexpected'")
+    e = features.normalise_effects(["county_classification"])
+    known = features.levels(u, e)
+    out = features.one_hot(u, e, known)
+    names = [f"county_classification_{v}" for v in known.expanded("county_classification")]
+    total = sum((F.col(c) for c in names), F.lit(0.0))
+    return out.filter("county_classification is not null").select(*KEYS, F.col("county_classification").alias("level"), total.alias("dummies_set"))
+
+
+@query("q_selective_fe", f"{sql.UNITS} select {sql.K}, case when county_classification in ('central', 'uplands') then county_classification when county_classification is not null then 'other' end as effect from roles where role <> 'unexpected'")
+def selective_fe(spark, d):
+    u = _classified(spark, d).filter("role <> 'unexpected'")
+    return u.select(*KEYS, features.recode("county_classification", ["central", "uplands"]).alias("effect"))
+
+
+@query("q_holdout_fe", f"""{sql.UNITS}, x as (select r.*, case when county_classification = 'uplands' and reporting = 1 then 'non-modeled' else unit_category end as uc from roles r where role <> 'unexpected'),
+ act as (select list(distinct county_classification) as a from x where uc = 'expected' and reporting = 1 and county_classification is not null),
+ y as (select x.*, a, list_min(a) as ref from x, act)
+ select {sql.K}, round(case when county_classification is not null and not list_contains(a, county_classification) then 1.0 / len(a) when coalesce(county_classification = 'lakeside', false) then 1.0 else 0.0 end, 6) as county_classification_lakeside from y""")
+def holdout_fe(spark, d):
+    u = _classified(spark, d).filter("role <> 'unexpected'")
+    # No reporting upland unit takes part in the fit, so that level is held out.
+    u = u.withColumn("unit_category", F.when((F.col("county_classification") == "uplands") & (F.col("reporting") == 1), "non-modeled").otherwise(F.col("unit_category")))
+    e = features.normalise_effects(["county_classification"])
+    out = features.one_hot(u, e, features.levels(u, e), holdout=True)
+    return out.select(*KEYS, r("county_classification_lakeside").alias("county_classification_lakeside"))
+
+
+@query("q_separate_state", f"{sql.UNITS} select {sql.K}, case when postal_code = 'ZA' then 0.0 else age_le_30 end as age_le_30, case when postal_code = 'ZA' then age_le_30 else 0.0 end as age_le_30_ZA from roles where role <> 'unexpected'")
+def separate_state(spark, d):
+    out, _ = features.separate_states(_classified(spark, d).filter("role <> 'unexpected'"), ["age_le_30"], ["ZA"])
+    return out.select(*KEYS, "age_le_30", "age_le_30_ZA")
+
+
+@query("q_ols_normal_equations", f"""{sql.UNITS}, n as (select election_id, sum(w) as s, sum(w * x) as sx, sum(w * x * x) as sxx, sum(w * y) as sy, sum(w * x * y) as sxy from (select election_id, baseline_weights as w, baseline_normalized_margin as x, results_normalized_margin as y from roles where role = 'reporting') group by 1)
+ select election_id, round((s * sxy - sx * sy) / nullif(s * sxx - sx * sx, 0), 5) as slope, round((sy - (s * sxy - sx * sy) / nullif(s * sxx - sx * sx, 0) * sx) / s, 5) as intercept from n""")
+def ols_normal_equations(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting'")
+    w, x, y = F.col("baseline_weights"), F.col("baseline_normalized_margin"), F.col("results_normalized_margin")
+    n = u.groupBy("election_id").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"))
+    slope = F.try_divide(F.expr("s * sxy - sx * sy"), F.expr("s * sxx - sx * sx"))
+    return n.select("election_id", r(slope, 5).alias("slope"), r((F.col("sy") - slope * F.col("sx")) / F.col("s"), 5).alias("intercept"))
+
+
+# --- conformal and Gaussian intervals ---
+
+ALPHA = 0.7
+
+
+def _ends() -> list[Column]:
+    """The ends of the unit intervals; names with a point need quotes."""
+    return [F.col(f"`{side}_{ALPHA}_dem`").alias(side) for side in ("lower", "upper")]
+
+
+def _bounds(spark, d, fraction: float = 0.7, x: list[str] = (), known: DataFrame | None = None) -> DataFrame:
+    return cut(conformal.bounds(known if known is not None else _units(spark, d), "dem", ALPHA, fraction, SCOPE, list(x)))
+
+
+@query("q_conformal_units_intercept")
+def conformal_units(spark, d):
+    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE).select(*KEYS, "correction", *_ends())
+
+
+@query("q_conformal_robust")
+def conformal_robust(spark, d):
+    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE, robust=True).select(*KEYS, "correction", *_ends())
+
+
+@query("q_calibration_data")
+def calibration_data(spark, d):
+    return _bounds(spark, d).filter("calibration").select(*KEYS, "lower_raw", "upper_raw", "lower_score", "upper_score")
+
+
+@query("q_conformal_aggregate")
+def conformal_aggregate(spark, d):
+    u = _units(spark, d)
+    ends = conformal.nonparametric(_bounds(spark, d, known=u), "dem", ALPHA, SCOPE).select(*KEYS, *_ends())
+    return rollup.predictions(_predicted(spark, d, u).join(ends, KEYS, "left"), ["election_id", "postal_code"], "dem", ["lower", "upper"])
+
+
+@query("q_qr_covariates")
+def qr_covariates(spark, d):
+    return conformal.nonparametric(_bounds(spark, d, 0.7, COVARIATES), "dem", ALPHA, SCOPE).select(*KEYS, *_ends())
+
+
+@query("q_gaussian_group_counts", f"{sql.UNITS}, a as (select distinct election_id, postal_code, county_classification from roles where role = 'nonreporting'), b as (select election_id, postal_code, county_classification, count(*) as n from roles where role = 'reporting' group by all) select coalesce(a.election_id, b.election_id) as election_id, coalesce(a.postal_code, b.postal_code) as postal_code, coalesce(a.county_classification, b.county_classification) as county_classification, coalesce(n, 0) as n from a full join b on a.election_id = b.election_id and a.postal_code = b.postal_code and a.county_classification is not distinct from b.county_classification")
+def gaussian_group_counts(spark, d):
+    u = _classified(spark, d).filter("role in ('reporting', 'nonreporting')")
+    return u.groupBy("election_id", "postal_code", "county_classification").agg(F.sum((F.col("role") == "reporting").cast("long")).alias("n"))
+
+
+_Z = NormalDist().inv_cdf((3 + ALPHA) / 4)
+#: A bounded frame that SQL can rebuild: everything calibrates, raw bounds are fixed rates.
+_RAW = """bd as (select *, -0.1 as lower_raw, 0.1 as upper_raw, -0.1 - residuals_dem as lower_score, residuals_dem - 0.1 as upper_score from roles where role in ('reporting', 'nonreporting'))"""
+_CAL = "(select * from bd where role = 'reporting')"
+
+
+def _fixed_bounds(spark, d) -> DataFrame:
+    u = _units(spark, d).filter("role in ('reporting', 'nonreporting')").withColumns({"lower_raw": F.lit(-0.1), "upper_raw": F.lit(0.1), "calibration": F.col("role") == "reporting"})
+    return u.withColumns({"lower_score": F.when(F.col("calibration"), F.col("lower_raw") - F.col("residuals_dem")), "upper_score": F.when(F.col("calibration"), F.col("residuals_dem") - F.col("upper_raw"))})
+
+
+@query("q_conformal_units_sql", f"""{sql.UNITS}, {_RAW}, c as (select election_id, min(case when c > 0.7 * (1 + 1.0 / n) * t then s end) as correction from (select election_id, greatest(lower_score, upper_score) as s, count(*) over (partition by election_id) as n, sum(last_election_results_dem) over (partition by election_id order by greatest(lower_score, upper_score), geographic_unit_fips rows unbounded preceding) as c,
+ sum(last_election_results_dem) over (partition by election_id) as t from bd where role = 'reporting') group by 1)
+ select {sql.K}, round(correction, 6) as correction, case when correction is null then null else round_even(greatest(last_election_results_dem * (lower_raw - correction + 1), results_dem), 0) end as lower, case when correction is null then null else round_even(greatest(last_election_results_dem * (upper_raw + correction + 1), results_dem), 0) end as upper from bd left join c using (election_id) where role = 'nonreporting'""")
+def conformal_units_sql(spark, d):
+    return conformal.nonparametric(_fixed_bounds(spark, d), "dem", ALPHA, SCOPE).select(*KEYS, r("correction").alias("correction"), *_ends())
+
+
+def _gauss_sql(by: str) -> str:
+    return f"""select a.*, mu_lower, mu_upper from (select {by}, count(*) as n, sum(last_election_results_dem * last_election_results_dem) / pow(sum(last_election_results_dem), 2) as var_inflate, stddev_samp(lower_score) as sigma_lower, stddev_samp(upper_score) as sigma_upper from bd where role = 'reporting' group by {by}) a
+ join {sql.wmedian(_CAL + ' q', by, 'lower_score', 'last_election_results_dem', 'mu_lower')} b using ({by}) join {sql.wmedian(_CAL + ' q', by, 'upper_score', 'last_election_results_dem', 'mu_upper')} c using ({by})"""
+
+
+@query("q_gaussian_bounds_sql", f"""{sql.UNITS}, {_RAW}, m as ({_gauss_sql("election_id")}) select {sql.K},
+ round_even(greatest(last_election_results_dem * (lower_raw - (mu_lower + {_Z} * sqrt(var_inflate + 1) * sigma_lower) + 1), results_dem), 0) as lower, round_even(greatest(last_election_results_dem * (upper_raw + (mu_upper + {_Z} * sqrt(var_inflate + 1) * sigma_upper) + 1), results_dem), 0) as upper
+ from bd join m using (election_id) where role = 'nonreporting' and sigma_lower is not null""")
+def gaussian_bounds(spark, d):
+    out = conformal.gaussian(_fixed_bounds(spark, d), "dem", ALPHA, SCOPE, bootstrap=False)
+    return out.filter(F.col("sigma_lower").isNotNull()).select(*KEYS, *_ends())
+
+
+@query("q_gaussian_fallback", f"""{sql.UNITS}, {_RAW}, m2 as ({_gauss_sql("election_id, postal_code, county_classification")}), m1 as ({_gauss_sql("election_id, postal_code")}), m0 as ({_gauss_sql("election_id")}), w as (select distinct election_id, postal_code, county_classification from bd where role = 'nonreporting' and county_classification is not null)
+ select w.*, case when m2.n >= 10 then 2 when m1.n >= 10 then 1 when m0.n is not null then 0 end as level, case when m2.n >= 10 then m2.n when m1.n >= 10 then m1.n else m0.n end as n, round(case when m2.n >= 10 then m2.mu_lower when m1.n >= 10 then m1.mu_lower else m0.mu_lower end, 6) as mu_lower, round(case when m2.n >= 10 then m2.sigma_upper when m1.n >= 10 then m1.sigma_upper else m0.sigma_upper end, 6) as sigma_upper
+ from w left join m2 using (election_id, postal_code, county_classification) left join m1 on m1.election_id = w.election_id and m1.postal_code = w.postal_code left join m0 on m0.election_id = w.election_id""")
+def gaussian_fallback(spark, d):
+    b = _fixed_bounds(spark, d)
+    want = b.filter("not calibration and county_classification is not null")
+    m = conformal.fallback_models(b.filter("calibration"), want, "dem", ALPHA, ["postal_code", "county_classification"], SCOPE, bootstrap=False)
+    return m.select("election_id", "postal_code", "county_classification", "level", "n", r("mu_lower").alias("mu_lower"), r("sigma_upper").alias("sigma_upper"))
+
+
+@query("q_gaussian_full")
+def gaussian_full(spark, d):
+    u = _units(spark, d)
+    return conformal.gaussian_aggregate(_bounds(spark, d, known=u), _predicted(spark, d, u), "dem", ALPHA, ["postal_code"], SCOPE)
+
+
+@query("q_gaussian_units")
+def gaussian_units(spark, d):
+    return conformal.gaussian(_bounds(spark, d), "dem", ALPHA, SCOPE).select(*KEYS, *_ends())
+
+
+# --- bootstrap ---
+
+
+@query("q_contest_epsilon", f"{sql.UNITS} select election_id, postal_code, round(case when count(residuals_dem) < 2 then 0 else avg(residuals_dem) end, 6) as epsilon from roles where role = 'reporting' group by 1, 2")
+def contest_epsilon(spark, d):
+    return bootstrap.effects(_classified(spark, d).filter("role = 'reporting'"), "residuals_dem", ["election_id", "postal_code"]).withColumn("epsilon", r("epsilon"))
+
+
+@query("q_delta", f"{sql.UNITS} select {sql.K}, round(residuals_dem - case when count(residuals_dem) over w < 2 then 0 else avg(residuals_dem) over w end, 6) as delta from roles where role = 'reporting' window w as (partition by election_id, postal_code)")
+def delta(spark, d):
+    return bootstrap.delta(_classified(spark, d).filter("role = 'reporting'"), "residuals_dem", ["election_id", "postal_code"]).select(*KEYS, r("delta").alias("delta"))
+
+
+@query("q_nonreporting_bounds", f"""{sql.UNITS}, x as (select *, least(percent_expected_vote, 100) / 100 as f from roles where role = 'nonreporting'), y as (select *, f < 0.5 or abs(f - 1) <= 1.001e-5 as naive, turnout_factor / greatest(f - 0.5, 0.01) as hi from x)
+ select {sql.K}, round(case when naive then -1 else f * results_normalized_margin - (1 - f) end, 6) as y_lower, round(case when naive then 1 else f * results_normalized_margin + (1 - f) end, 6) as y_upper, round(case when naive then 0.5 else turnout_factor / (f + 0.5) end, 6) as z_lower, round(case when naive or abs(hi) <= 1e-8 then 1.5 else hi end, 6) as z_upper from y""")
+def nonreporting_bounds(spark, d):
+    out = bootstrap.open_bounds(_classified(spark, d).filter("role = 'nonreporting'"))
+    return out.select(*KEYS, *[r(c).alias(c) for c in ("y_lower", "y_upper", "z_lower", "z_upper")])
+
+
+@query("q_strata_quantiles", f"""{sql.UNITS}, x as (select election_id, county_classification, residuals_dem, row_number() over w as k, count(*) over (partition by election_id, county_classification) as n from roles where role = 'reporting' and residuals_dem is not null window w as (partition by election_id, county_classification order by residuals_dem, geographic_unit_fips))
+ select election_id, county_classification, round(min(case when k >= ceil(n * 0.25) then residuals_dem end), 6) as q25, round(min(case when k >= ceil(n * 0.75) then residuals_dem end), 6) as q75 from x group by 1, 2""")
+def strata_quantiles(spark, d):
+    u = _classified(spark, d).filter("role = 'reporting' and residuals_dem is not null")
+    w = Window.partitionBy("election_id", "county_classification")
+    u = u.withColumns({"k": F.row_number().over(w.orderBy("residuals_dem", "geographic_unit_fips")), "n": F.count(F.lit(1)).over(w)})
+    at = lambda q: r(F.min(F.when(F.col("k") >= F.ceil(F.col("n") * F.lit(q)), F.col("residuals_dem"))))
+    return u.groupBy("election_id", "county_classification").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
+
+
+#: A lead prediction that SQL can rebuild: open units keep their baseline lead at their last turnout.
+_SIMPLE = """pm as (select *, case when role = 'nonreporting' then round_even(baseline_normalized_margin * baseline_weights, 0) else results_margin end as pred_margin, case when role = 'nonreporting' then baseline_weights else results_weights end as pred_turnout from roles),
+ nm as (select election_id, postal_code, case when sum(pred_turnout) = 0 and sum(pred_margin) = 0 then 0 when sum(pred_turnout) = 0 then null else sum(pred_margin) / sum(pred_turnout) end as pred_margin, case when sum(results_weights) = 0 and sum(results_margin) = 0 then 0 when sum(results_weights) = 0 then null else sum(results_margin) / sum(results_weights) end as results_margin, cast(sum(reporting) as bigint) as reporting, sum(pred_turnout) as pred_turnout from pm where postal_code is not null group by 1, 2)"""
+
+
+def _leads(spark, d) -> DataFrame:
+    u = _classified(spark, d).withColumns({"pred_margin": half_even(F.col("baseline_normalized_margin") * F.col("baseline_weights")), "pred_turnout": F.col("baseline_weights")})
+    return rollup.normalized_margin(u, ["election_id", "postal_code"])
+
+
+@query("q_normalized_margin_state", f"{sql.UNITS}, {_SIMPLE} select election_id, postal_code, round(pred_margin, 6) as pred_margin, round(results_margin, 6) as results_margin, reporting, pred_turnout from nm")
+def normalized_margin_state(spark, d):
+    return _leads(spark, d).withColumns({"pred_margin": r("pred_margin"), "results_margin": r("results_margin")})
+
+
+@query("q_called_contests", f"{sql.UNITS}, {_SIMPLE} select election_id, postal_code, round(case when postal_code in ('ZA', 'XG') then greatest(pred_margin, 0.005) when postal_code = 'QC' then least(pred_margin, -0.005) else pred_margin end, 6) as pred_margin from nm")
+def called_contests(spark, d):
+    c = bootstrap.calls(spark, {"lhs": ["ZA", "XG"], "rhs": ["QC"]}, {"ZA", "XG", "QC"}).withColumnRenamed("contest", "postal_code")
+    j = _leads(spark, d).join(F.broadcast(c), "postal_code", "left")
+    return j.select("election_id", "postal_code", r(bootstrap.apply_call(F.col("pred_margin"), F.col("call"))).alias("pred_margin"))
+
+
+@query("q_national_summary_hard", f"{sql.UNITS}, {_SIMPLE} select election_id, round_even(sum(case when pred_margin > 0 then nat_sum_weight else 0 end) + 3, 2) as agg_pred from nm join (select {sql.S} as postal_code, max(nat_sum_weight) as nat_sum_weight from state_weights where removed_at is null group by 1) w using (postal_code) group by 1")
+def national_summary_hard(spark, d):
+    w = table(spark, d, "state_weights").filter("removed_at is null").groupBy(F.upper(F.trim("postal_code")).alias("postal_code")).agg(F.max("nat_sum_weight").alias("weight"))
+    j = _leads(spark, d).join(F.broadcast(w), "postal_code")
+    return j.groupBy("election_id").agg(F.bround(F.sum(F.when(F.col("pred_margin") > 0, F.col("weight")).otherwise(0)).cast("double") + 3, 2).alias("agg_pred"))
+
+
+_DRAWS = bootstrap.Settings(draws=100, ridge=None)
+
+
+def _drawn(spark, d) -> tuple[DataFrame, DataFrame]:
+    u = _units(spark, d)
+    return u, cut(bootstrap.unit_draws(u, SCOPE, _DRAWS))
+
+
+@query("q_bootstrap_units")
+def bootstrap_units(spark, d):
+    _, drawn = _drawn(spark, d)
+    return bootstrap.unit_intervals(drawn, SCOPE, ALPHA, _DRAWS.draws).join(drawn.select("election_id", "geographic_unit_fips", "pred_margin", "pred_turnout"), ["election_id", "geographic_unit_fips"])
+
+
+def _bootstrap_state(spark, d) -> tuple[DataFrame, DataFrame]:
+    u, drawn = _drawn(spark, d)
+    p = u.join(drawn.select("election_id", "geographic_unit_fips", "pred_margin", "pred_turnout"), ["election_id", "geographic_unit_fips"], "left")
+    return rollup.normalized_margin(p.filter("role <> 'nonreporting' or pred_margin is not null"), ["election_id", "postal_code"]), bootstrap.group_draws(u, drawn, SCOPE, ["postal_code"])
+
+
+@query("q_bootstrap_state")
+def bootstrap_state(spark, d):
+    p, g = _bootstrap_state(spark, d)
+    return bootstrap.group_intervals(g, p, ["election_id", "postal_code"], ALPHA, _DRAWS.draws)
+
+
+@query("q_bootstrap_national")
+def bootstrap_national(spark, d):
+    p, g = _bootstrap_state(spark, d)
+    w = p.select("postal_code").distinct().join(table(spark, d, "state_weights").filter("removed_at is null").groupBy("postal_code").agg(F.max("nat_sum_weight").alias("weight")), "postal_code", "left").fillna(1, ["weight"])
+    return bootstrap.national_summary(p, g, w, ["election_id", "postal_code"], ALPHA, _DRAWS.draws)
+
+
+# --- versioned results ---
+
+_VKEYS = ["election_id", "unit"]
+
+
+def _versions(spark, d) -> DataFrame:
+    v = table(spark, d, "versioned_results").withColumn("unit", repaired_id("geographic_unit_fips"))
+    ok = (F.col("last_modified") <= F.col("received_at")) & (F.col("last_modified") >= F.col("received_at") - F.expr("INTERVAL 2 DAYS"))
+    v = v.filter(ok & F.col("unit").isNotNull() & F.col("election_id").isNotNull())
+    return v.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("percent_expected_vote", "results_normalized_margin")})
+
+
+@query("q_versioned_batch_margin", f"with {sql.VERS} select election_id, unit, row_id, round(pct, 6) as pct, round(batch, 6) + 0.0 as batch from vc")
+def versioned_batch_margin(spark, d):
+    return versioned.courses(_versions(spark, d), _VKEYS, "row_id").select(*_VKEYS, "row_id", r("pct").alias("pct"), r("batch").alias("batch"))
+
+
+@query("q_versioned_errors", f"with {sql.VERS} select error_type, count(distinct (election_id, unit)) as units, count(*) as versions from vc group by 1")
+def versioned_errors(spark, d):
+    c = versioned.courses(_versions(spark, d), _VKEYS, "row_id").groupBy(*_VKEYS, "error_type").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("error_type").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("versions"))
+
+
+@query("q_versioned_interpolation", f"with {sql.ESTIMATE} select election_id, unit, p as percent_expected_vote, round(near, 6) as nearest_observed_vote, round(m, 6) + 0.0 as est_margin, round(ln - m, 6) + 0.0 as est_correction, error_type from est union all select election_id, unit, unnest(generate_series(0, 100)), null, null, null, error_type from vc where error_type <> 'none' and k = 1")
+def versioned_interpolation(spark, d):
+    e = versioned.estimate(_versions(spark, d), _VKEYS, "row_id")
+    return e.select(*_VKEYS, "percent_expected_vote", *[r(c).alias(c) for c in ("nearest_observed_vote", "est_margin", "est_correction")], "error_type")
+
+
+def _donors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counties of each election whose last percent is at least 90 are donors for those from 40 to 90."""
+    b = views.baseline(spark, d).filter("geographic_unit_type = 'county'").select("postal_code", "geographic_unit_fips", "geographic_unit_type")
+    v = _versions(spark, d)
+    last = v.groupBy("election_id", F.col("unit").alias("geographic_unit_fips")).agg(F.max_by("percent_expected_vote", F.when(F.col("percent_expected_vote").isNotNull(), F.struct("last_modified", "row_id"))).alias("percent_expected_vote"))
+    u = last.join(b, "geographic_unit_fips")
+    est = versioned.estimate(v, _VKEYS, "row_id").withColumnRenamed("unit", "geographic_unit_fips")
+    return u.filter("percent_expected_vote >= 40 and percent_expected_vote < 90"), u.filter("percent_expected_vote >= 90").select("election_id", "postal_code", "geographic_unit_fips"), est
+
+
+@query("q_extrapolation_stats", f"""with {sql.BASE}, {sql.ESTIMATE}, lastp as (select election_id, unit, arg_max(pp, (last_modified, row_id)) as p from (select election_id, unit, last_modified, row_id, pp from (select election_id, {sql.U} as unit, last_modified, row_id, case when isnan(percent_expected_vote) then null else percent_expected_vote end as pp, received_at from versioned_results where geographic_unit_fips is not null and election_id is not null) where last_modified <= received_at and last_modified >= received_at - interval 2 day) group by 1, 2),
+ u as (select l.election_id, b.postal_code, l.unit, l.p from lastp l join base b on b.geographic_unit_fips = l.unit where b.geographic_unit_type = 'county'),
+ don as (select * from u where p >= 90), enough as (select election_id, postal_code from don group by 1, 2 having count(*) >= 5),
+ todo as (select u.*, cast(round_even(u.p, 0) as bigint) as at from u join enough using (election_id, postal_code) where u.p >= 40 and u.p < 90),
+ de as (select don.election_id, don.postal_code, est.p, case when abs(est.p - est.near) < 5 then est.ln - est.m end as c from don join est on est.election_id = don.election_id and est.unit = don.unit)
+ select t.election_id, t.postal_code, t.unit as geographic_unit_fips, round(avg(c), 6) as est_correction, round(max(c), 6) as est_correction_max, round(min(c), 6) as est_correction_min, round(stddev_samp(c), 6) as est_correction_std, count(c) as est_correction_count
+ from todo t left join de on de.election_id = t.election_id and de.postal_code = t.postal_code and de.p = t.at group by 1, 2, 3""")
+def extrapolation_stats(spark, d):
+    todo, donors, est = _donors(spark, d)
+    out = versioned.corrections(todo, donors, est, SCOPE, threshold=40.0)
+    names = ["est_correction", "est_correction_max", "est_correction_min", "est_correction_std"]
+    return out.select(*KEYS, *[r(c).alias(c) for c in names], "est_correction_count")
+
+
+@query("q_version_thinning", "select snapshot_id, election_id from (select *, dense_rank() over (partition by election_id order by taken_at) as k from snapshot_register) where (k - 1) % 2 = 0")
+def version_thinning(spark, d):
+    return versioned.thin(table(spark, d, "snapshot_register"), 2, ["election_id"], "taken_at").select("snapshot_id", "election_id")
+
+
+# --- replay and evaluation ---
+
+
+def _truth(spark, d) -> DataFrame:
+    b = views.baseline(spark, d).filter("results_dem is not null")
+    loads = table(spark, d, "load_register").select("election_id").distinct()
+    states = table(spark, d, "election_config").select("election_id", F.explode("states").alias("postal_code")).join(loads, "election_id", "left_semi").distinct()
+    return states.join(b, "postal_code").select(*KEYS, *RESULTS)
+
+
+@query("q_historical_mask", f"with {sql.BASE}, {sql.CUR}, {sql.EXPECTED} select e.election_id, e.postal_code, e.geographic_unit_fips, c.percent_expected_vote, case when coalesce(c.percent_expected_vote >= 60, false) then true_dem else 0 end as results_dem from expected e join cur c using (election_id, postal_code, geographic_unit_fips) where true_dem is not null")
+def historical_mask(spark, d):
+    out = evaluate.mask_history(_truth(spark, d), views.current(spark, d), ["dem"], THRESHOLD, SCOPE)
+    return out.select(*KEYS, "percent_expected_vote", "results_dem")
+
+
+_EVAL = f"""{sql.PRED}, ev as (select election_id, postal_code, county_classification, true_dem as t, pred_dem as p, 0.9 * pred_dem as lo, 1.2 * pred_dem as hi from pred where role <> 'unexpected' and true_dem is not null and pred_dem is not null)"""
+_METRICS = "count(*) as n, round(avg(abs(t - p)), 4) as mae_dem, round(avg(case when t <> 0 then abs((t - p) / t) end), 6) as mape_dem, round(avg(case when lo <= t and t <= hi then 1.0 else 0.0 end), 6) as frac_within_pi_0_dem, round(avg(case when t = 0 and hi = lo then 0 when t = 0 then null else abs((hi - lo) / t) end), 6) as mean_pi_length_0_dem"
+
+
+@query("q_evaluation", f"{_EVAL} select election_id, postal_code, 'group' as level, {_METRICS} from ev group by 1, 2 union all select election_id, null, 'all', {_METRICS} from ev group by 1")
+def evaluation(spark, d):
+    p = _predicted(spark, d).filter("role <> 'unexpected' and pred_dem is not null").withColumns({"lower_0_dem": 0.9 * F.col("pred_dem"), "upper_0_dem": 1.2 * F.col("pred_dem")})
+    t = _truth(spark, d).select(*KEYS, F.col("results_dem").alias("raw_results_dem"))
+    out = evaluate.score(p.select(*KEYS, "pred_dem", "lower_0_dem", "upper_0_dem"), t, KEYS, ["postal_code"], "dem", [0], SCOPE)
+    return out.select("election_id", "postal_code", "level", "n", r("mae_dem", 4).alias("mae_dem"), *[r(c).alias(c) for c in ("mape_dem", "frac_within_pi_0_dem", "mean_pi_length_0_dem")])
+
+
+@query("q_replay_split", f"""with {sql.BASE}, o as (select *, row_number() over (order by geographic_unit_fips) as place, count(*) over () as n from base where true_dem is not null) select geographic_unit_fips, case when place <= ceil(0.4 * n) then true_dem else 0 end as results_dem, true_dem as raw_results_dem, case when place <= ceil(0.4 * n) then 100.0 else 0.0 end as percent_expected_vote from o""")
+def replay_split(spark, d):
+    b = views.baseline(spark, d).filter("results_dem is not null")
+    b = b.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("geographic_unit_fips")))
+    return replay.percent(b, 40, ["dem"]).select("geographic_unit_fips", "results_dem", "raw_results_dem", "percent_expected_vote")
+
+
+@query("q_replay_shuffle")
+def replay_shuffle(spark, d):
+    b = replay.shuffled(views.baseline(spark, d).filter("results_dem is not null"), 7, {"postal_code": {"ZA": 5.0}, "county_classification": {"central": 0.2}}, ["39601"])
+    return replay.first_n(b, 500, ["dem"], unexpected=5).select("geographic_unit_fips", "place", "results_dem", "raw_results_dem", "percent_expected_vote")
+
+
+@query("q_merged_measures", f"{sql.PRED}, a as (select election_id, postal_code, coalesce(sum(case when role = 'nonreporting' then pred_dem else results_dem end), 0.0) as pred_dem, cast(sum(reporting) as bigint) as reporting from pred where postal_code is not null group by 1, 2), b as (select election_id, postal_code, coalesce(sum(results_turnout), 0.0) as results_turnout from pred where postal_code is not null group by 1, 2) select a.*, results_turnout from a join b using (election_id, postal_code)")
+def merged_measures(spark, d):
+    p = _predicted(spark, d)
+    by = ["election_id", "postal_code"]
+    a = rollup.predictions(p, by, "dem").select(*by, "pred_dem", "reporting")
+    b = rollup.predictions(p.withColumn("pred_turnout", F.col("results_turnout")), by, "turnout").select(*by, "results_turnout", "reporting")
+    return evaluate.merge_measures([a, b], by)
