@@ -32,7 +32,7 @@ They wrote: "The clerk sealed {i} boxes."||They wrote: "Mrs. {N} signed the shee
 {N} {N} Jr. and {N} {N} Sr. both signed.||Neither was {w}.
 Sec. {i} says that Prof. {A}. {A}. {N} must wait; cf. Fig. {i}.
 Sec. {i} says that the St. {P} office must wait; cf. Fig. {i}.||Results came.
-Early votes, late votes, etc. were kept apart.||Please bring an ID, e.g. a card.
+Early votes, late votes, etc. were kept apart.||Please bring an ID, e.g. a card or a bill.||The room was {w}.
 By using {P} Online you agree to cookies, etc. in our policy.||You can go.
 She lives at {i} {P} St. and votes in {P}.||He lives at {i} {P} Blvd. and works in {P}.
 Total: {I} votes, approx. {f} percent.||Some {I} cards, mostly {w}, came from {P}.
@@ -47,6 +47,12 @@ Who saw the tape No. {i}?||Who saw the Dept. of Records memo?||Request no. {I} w
 The clerk met {N} with help from {N}.||Who knew?||Your visit has ended.||Please sign in again.
 If Mrs. {N} saw the list, then Deputy {N} saw it too.||Only {I} of {I} voters in {P} came.
 The board read the book in room {f}.||Nobody knew that Rep. {N} read it in {y}.||Sorry!||We can't show this page.
+Turnout in {P} reached {f} percent near {P} Blvd.||Mr. and Mrs. {N} voted.||The clerk met {N} at {i} {P} St.||No ballot came.
+The vendor tried it for approx. {i} hrs.||If the clerk slept, nobody knew.||For approx. {i} hrs., the vendor waited.
+The clerk left at approx. {i} a.m. (the form is on p. {i}).||{N} read it on {i} Nov. (the form is on p. {i}).||Capt. {N} slept.
+Nobody in {P} knew that Capt. {N} lost it.||If Capt. {N} came, then Rep. {N} left.||Nobody knew that Gov. {N} and Judge {A}. {N} met Capt. {N}.
+The {w} part came next: Messrs. {N} and {N} lost the tape.||The {w} part came next: Dr. {N} lost it too.
+The board left at {i}:{i} p.m.||Judge {A}. {N} stayed.||They met at {i} a.m.||Who was {w}?||Was it {w}?||No.||Results came.
 """,
     "de": """
 Die Beteiligung lag in {P} bei {f} Prozent.||Das war knapp!
@@ -59,6 +65,10 @@ Der Vorstand prüfte den {i}. Bericht.||Das Team zählte den {i}. Wahlkreis.||We
 Der Bezirk Nr. {i} las die Liste Nr. {i}.||Wenn der Bezirk Nr. {i} schlief, wartet {P}.
 „Wir haben die ganze Nacht gezählt.||Niemand ging nach Hause“, sagte {N} {N}.
 „Kommen Sie um {i} Uhr“, sagte Dr. {N}.||Die Seite wurde evtl. verschoben.||Bitte nutzen Sie die Suche.
+Das Team las die Liste Nr. {i}.||„Kommen Sie um {i} Uhr“, sagte der Bezirk Nr. {i}.||„Kommen Sie um {i} Uhr“, sagte Frau {N}.||Dr. {N} las die Liste Nr. {i}.||Die Liste lag im Raum {i}.
+Im {i}. Wahlkreis meldete Dr. {N} den Abschnitt {f}.||Das Team zählte im {i}. Wahlkreis {i} Umschläge.||Das Team prüfte die Liste Nr. {i} im {i}. Wahlkreis.
+Frau {N} prüfte die Mappe am {i}. Mai.||Das war knapp!||Die Stadt {P} prüfte sie gegen {f} Uhr.||Im {i}. Stock lag die Liste.
+Das Team prüfte den langen Bericht am {i}. Mai.||Im {i}. Wahlkreis schlief der Vorstand.||Im {i}. Raum lag nichts.
 Ohne Grund schlief Fr. {N} am {i}. Jan. wegen der Störung.||Frau {N} kam z. B. wegen der Störung.
 """,
     "fr": """
@@ -76,14 +86,14 @@ La participación llegó al {f} % en {P}.||¡Qué noche!||¿Por qué?||Porque la
 Aprox. {i} votantes esperaban.||Véase la pág. {i} del texto.||¿Y ahora?||Sobres, listas, etc. quedan en la sala {i}.
 «Nadie se fue.||Contamos todo», dijo la Sra. {N}.||«Vengan a las {i}», dijo el Sr. {N}.
 —Contamos toda la noche —dijo {N} {N}—.||Nadie se fue.||La cuota pasó del {f} al {f} %.
-En {y}, los Sres. {N} y {N} vieron la lista núm. {i} a las {i}:{i} h.||¿Quién vio la lista núm. {i}?
+En {y}, los Sres. {N} y {N} vieron la lista núm. {i} a las {i}:{i} h.||La Dra. {N} firmó a las {i}:{i} h.||¿Quién vio la lista núm. {i}?
 El Sr. {N} firmó el {i} de oct. de {y}.||La Sra. {N} firmó la lista p. ej. por la avería.
 """,
     "ru": """
 Явка составила {f} процента.||Какая ночь!||Почему?||Потому что А. В. {R} спал.
 Доля упала с {f} до {f} %.||Итоги... ещё не ясны.||Сбой устранили в {y} г.||Секретарь пришёл.
-В {y} г. секретарь исправил список № {i}.||В {y} г. А. В. {R} исправил список.||В {y} г. Г-н {R} спал.
-Сбой устранили в {y} г.||И. О. {R} проверил данные за {y} г. в зале № {i}.||Пос. Верхний потерял {i} тыс. бюллетеней.
+В {y} г. секретарь исправил список № {i}.||В {y} г. А. В. {R} исправил список.||В {y} г. г-н {R} спал.
+Сбой устранили в {y} г.||Г-н {R} пришёл.||Сбой устранили в {y} г.||И. О. {R} проверил данные за {y} г. в зале № {i}.||Пос. Верхний потерял {i} тыс. бюллетеней.
 Если пос. Верхний исправил данные за {y} г., комиссия ждёт.||Конверты, списки и т. д. хранятся в комн. {i}.
 Конверты и т. д. лежат в комн. {i}.||Секретарь подписал копию за {i} окт. на ул. Садовой.||Кто это потерял?
 «Мы считали всю ночь.||Никто не ушёл», — сказал {R}.||«Приходите в {i} часов», — сказал пос. Верхний.
@@ -129,7 +139,7 @@ El Sr. {N} firmó el {i} de oct. de {y}.||La Sra. {N} firmó la lista p. ej. por
 
 #: Lines that are one unit without a final mark, and notices.
 LINES = {
-    "en": ["Accept all?||Reject", "Small files help us to count all visits.||No personal data leaves the county", "Results · About us · Archive · Home · Maps · News · Help", "News | Archive | Maps | About us | Contact | Candidates | Help", "Archive » Contact » Home » About us » Help » Sign in » News", "Small files help us.||No personal data leaves the small county office", "Home · Maps · Help", "Home | Sign in | Contact", "Home » Maps » Help", "About us", "Contact", "Maps", "Help", "Home", "Sign in", "District {i}: a long day", "Precinct {i} news", "Results for {P}", "How it works", "{i}. the {w} file", "{i}. rows {i} to {i} of the book", "a) Form {f}", "b) the map", "- the {w} log", "• Form {f}", "• the road to Mt. {P}", "{P}\t{i}\t{i}\t{f}", "{P}, {i} Hall St.", "Printed by {N} & Co.", "© {y} www.{p}.example", "Notice No. {i}", "Error {i}", "No personal data leaves the county", "a) the Dept. of Records note", "Who is on the list in {P}?", "c) {i} {w} boxes"],
+    "en": ["Accept all?||Reject", "Small files help us to count all visits.||No personal data leaves the county", "Results · About us · Archive · Home · Maps · News · Help", "News | Archive | Maps | About us | Contact | Candidates | Help", "Archive » Contact » Home » About us » Help » Sign in » News", "Small files help us.||No personal data leaves the small county office", "Home · Maps · Help", "Home | Sign in | Contact", "Home » Maps » Help", "About us", "Contact", "Maps", "Help", "Home", "Sign in", "District {i}: a long day", "Precinct {i} news", "Results for {P}", "How it works", "{i}. the {w} file", "{i}. Form {f}", "{i}. Sec. {i} of the book", "{i}. rows {i} to {i} of the book", "a) Form {f}", "b) the map", "- the {w} log", "• Form {f}", "• the road to Mt. {P}", "{P}\t{i}\t{i}\t{f}", "{P}, {i} Hall St.", "Printed by {N} & Co.", "© {y} www.{p}.example", "Notice No. {i}", "Error {i}", "No personal data leaves the county", "a) the Dept. of Records note", "Who is on the list in {P}?", "c) {i} {w} boxes"],
     "de": ["Alle akzeptieren?||Nur nötige", "Karten", "Über uns", "Ergebnisse für {P}", "So wird gezählt", "Mitteilung Nr. {i}", "- Liste Nr. {i}", "• den {i}. Bericht", "{i}. Umschläge", "a) die Briefe", "Seite nicht gefunden", "{P}, {i} Hall St."],
     "fr": ["Tout accepter ?||Continuer sans accepter", "Accueil", "À propos", "Résultats de {P}", "Avis n° {i}", "Comment compte-t-on ?", "- la liste n° {i}", "{i}. les plis", "Page introuvable", "• l’annexe {f}"],
     "es": ["¿Acepta todas?||Solo necesarias", "Inicio", "Acerca de", "Resultados de {P}", "Aviso núm. {i}", "¿Cómo se cuenta?", "- la lista núm. {i}", "{i}. sobres", "b) el anexo {f}"],
@@ -142,7 +152,7 @@ LINES = {
     "th": ["หน้าแรก » แผนที่", "ผลคะแนน", "ผลการนับคะแนน", "- บัตร {i} ใบ", "{i}. รายชื่อ", "หน้าแรก · ติดต่อ"],
 }
 
-NAMES = "Tarvin Obrel Quist Hanlow Merrik Dovane Salter Ivers Brandt Keller Orlov Pereda Lindh Castan".split()
-PLACES = "Arden Westbury Millford Oakham Hartley Linfield Rosedale Norbury Stoke Wexley".split()
+NAMES = "Tarvin Obrel Quist Hanlow Merrik Dovane Salter Ivers Brandt Keller Orlov Pereda Lindh Castan Kern Ivo Oda Lund Ames Ruiz".split()
+PLACES = "Arden Westbury Millford Oakham Hartley Linfield Rosedale Norbury Stoke Wexley Wick Ely Bray Ashby".split()
 ADJECTIVES = "late early brief quiet narrow long hidden small busy grey tired rural steady".split()
 RUSSIAN, GREEK, HINDI, ARABIC = "Орлов Петров Седов Лазарев".split(), "Παππάς Νικολής Ρήγας".split(), "शर्मा वर्मा जोशी".split(), "سمير كريم نادر".split()

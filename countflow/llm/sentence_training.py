@@ -60,7 +60,7 @@ def make(r: random.Random, lang: str) -> tuple[str, set[int]]:
         lines.append(part)
     if r.random() < 0.5:
         lines.append(_fill(r.choice(gold.LINES["en"][-12:] if r.random() < 0.5 else gold.LINES[lang]), r, lang).split("||"))
-    lower = lang in ("en", "de", "fr", "es", "ru", "el") and r.random() < 0.07
+    lower = lang in ("en", "de", "fr", "es", "ru", "el") and r.random() < 0.15
     width = r.choice([74, 74, 74, 66, 72, 80]) if r.random() < 0.3 else 0
     between = r.choice(["\n", "\n\n"])
     text, ends = "", set()
@@ -100,7 +100,7 @@ def make(r: random.Random, lang: str) -> tuple[str, set[int]]:
     return text, ends
 
 
-def train(n: int = 6000, epochs: int = 6, seed: int = 7) -> dict[str, float]:
+def train(n: int = 9000, epochs: int = 6, seed: int = 7) -> dict[str, float]:
     r = random.Random(seed)
     langs = list(gold.UNITS)
     data = []
@@ -126,7 +126,7 @@ def train(n: int = 6000, epochs: int = 6, seed: int = 7) -> dict[str, float]:
             for (_, seen, s), g, t in zip(cands, guess, truth):
                 if g != t:
                     wrong += 1
-                    for f in features(seen):
+                    for f in features(seen, s):
                         d = 1.0 if t else -1.0
                         weights[f] += d
                         total[f] += d * step

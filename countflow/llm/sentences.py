@@ -28,8 +28,10 @@ _MARKS = ".?!…。！？।॥؟۔;;"
 _CANDIDATE = re.compile(f"[{_MARKS}]+|\n[\\s]*")
 _THAI_CANDIDATE = re.compile(f"[{_MARKS}]+|\n[\\s]*|(?<=[฀-๿0-9.]) +(?=[฀-๿0-9])")
 _THAI = re.compile("[฀-๿]")
-_CLOSE = re.compile("(?:[   ]?»|[\"”’」』）)\\]›“])*")
+_CLOSE = re.compile("(?:Â?[   ]?»|[\"”’」』）)\\]›“])*")
 _NEXT = re.compile("[^\\w\n]*([^\\W\\d_]+|\\d+)?")
+#: A word with at least two inner points or marks of addresses and file names.
+_ADDRESS = re.compile("[^\\s]*(?:[@/_]|\\w\\.\\w+\\.)\\w")
 _LETTER = re.compile("[^\\W\\d_]")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 
@@ -94,7 +96,7 @@ def _candidates(text: str) -> Iterator[tuple[int, tuple, int]]:
     """(end of the unit that would end here, what is seen there, size class of the stretch since the candidate before)."""
     layout = Layout(text)
     thai = _THAI.search(text) is not None
-    lower_case = text.islower()
+    lower_case = text.islower() and _mostly_cased(text)
     skip = before = 0
     n = len(text)
     for m in (_THAI_CANDIDATE if thai else _CANDIDATE).finditer(text):
@@ -133,6 +135,8 @@ def _candidates(text: str) -> Iterator[tuple[int, tuple, int]]:
                     continue
             if start == 0 or text[start - 1] in " \n" and nxt.isdigit():
                 continue
+            if nxt.islower() and _ADDRESS.match(text, max(text.rfind(" ", 0, start), text.rfind("\n", 0, start)) + 1, end + 40):
+                continue
         close = _closers(text, start, end)
         stop = end + len(close)
         after = stop
@@ -191,6 +195,12 @@ def _around(text: str, start: int, end: int) -> str:
     return "head" if len(after) < 45 and after[-1:] not in _MARKS and after[-1:] not in "»”\"」" else ""
 
 
+def _mostly_cased(text: str) -> bool:
+    """Whether most letters belong to a script with cases, so that the lack of capitals tells something."""
+    some = [c for c in text[:4000] if c.isalpha()]
+    return sum(c.islower() for c in some) > 0.5 * len(some)
+
+
 def _stretch(text: str, a: int, b: int) -> int:
     """0: a long stretch; 1: up to three words; 2: up to three words that begin with a word of time."""
     if b - a > 24:
@@ -228,8 +238,8 @@ def _closers(text: str, start: int, end: int) -> str:
     return close
 
 
-def features(seen: tuple) -> list[str]:
-    """Feature names of what is seen at a candidate."""
+def features(seen: tuple, stretch: int = 0) -> list[str]:
+    """Feature names of what is seen at a candidate, and of the stretch before it."""
     if seen[0] == "th":
         return ["th", f"th:{seen[1]}", f"th>{seen[3]}", f"thm:{seen[2]}{seen[4]}", f"thw:{seen[5]}"] + ([f"thn:{seen[6]}"] if len(seen) > 6 else [])
     if seen[0] == "nl":
@@ -244,7 +254,7 @@ def features(seen: tuple) -> list[str]:
         return [*out, f"wr:{gap}:{odd}"]
     out += [f"kt:{m}{q}:{nk}:{token if nk != 'upper' or low != '9' else ''}", f"qt:{q}:{token}" if q else "-"]
     if m == ".":
-        out += [f"w:{low}", f"wk:{low}:{nk}", f"s:{shape}:{upper}", f"sk:{shape}:{upper}:{nk}", f"wt:{low}:{token}", f"n:{number}"]
+        out += [f"w:{low}", f"wk:{low}:{nk}", f"s:{shape}:{upper}", f"sk:{shape}:{upper}:{nk}", f"wt:{low}:{token}", f"n:{number}", f"ws:{low}:{stretch}", f"ss:{shape}:{nk}:{stretch}"]
         if prior:
             out += [f"p:{shape}:{prior}", f"pk:{shape}:{prior}:{nk}"]
     return out
@@ -258,13 +268,13 @@ class Model:
         self.transition = [[[weights.get(f"t:{a}{b}{s}", 0.0) for b in (0, 1)] for a in (0, 1)] for s in (0, 1, 2)]
         self.known: dict[tuple, float] = {}
 
-    def score(self, seen: tuple) -> float:
-        s = self.known.get(seen)
+    def score(self, seen: tuple, stretch: int) -> float:
+        s = self.known.get((seen, stretch))
         if s is None:
             if len(self.known) > 300_000:
                 self.known.clear()
             get = self.weights.get
-            s = self.known[seen] = sum(get(f, 0.0) for f in features(seen))
+            s = self.known[seen, stretch] = sum(get(f, 0.0) for f in features(seen, stretch))
         return s
 
     def decode(self, cands: list[tuple[int, tuple, int]]) -> list[bool]:
@@ -274,7 +284,7 @@ class Model:
         score, transition = self.score, self.transition
         for _, seen, stretch in cands:
             t = transition[stretch]
-            e = score(seen)
+            e = score(seen, stretch)
             a, b = inside + t[0][0], edge + t[1][0]
             c, d = inside + t[0][1], edge + t[1][1]
             back.append((b > a, d > c))
@@ -324,7 +334,8 @@ def _restore(s: str) -> str | None:
             c = raw.replace(b"\0", bytes([fill])).decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if len(c) == 1:
+        # A blank must stay what it was, or trimming would lose characters of the text.
+        if len(c) == 1 and not c.isspace():
             return c
     return None
 
