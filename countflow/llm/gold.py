@@ -92,6 +92,7 @@ El Sr. {N} firmó el {i} de oct. de {y}.||La Sra. {N} firmó la lista p. ej. por
     "ru": """
 Явка составила {f} процента.||Какая ночь!||Почему?||Потому что А. В. {R} спал.
 Доля упала с {f} до {f} %.||Итоги... ещё не ясны.||Сбой устранили в {y} г.||Секретарь пришёл.
+В {y} г. И. О. {R} издал копию за {i} окт. в зале № {i}.||В {y} г. А. В. {R} подписал протокол.||Сбой устранили в {y} г.||А. В. {R} подписал протокол.
 В {y} г. секретарь исправил список № {i}.||В {y} г. А. В. {R} исправил список.||В {y} г. г-н {R} спал.
 Сбой устранили в {y} г.||Г-н {R} пришёл.||Сбой устранили в {y} г.||И. О. {R} проверил данные за {y} г. в зале № {i}.||Пос. Верхний потерял {i} тыс. бюллетеней.
 Если пос. Верхний исправил данные за {y} г., комиссия ждёт.||Конверты, списки и т. д. хранятся в комн. {i}.

@@ -100,7 +100,7 @@ def make(r: random.Random, lang: str) -> tuple[str, set[int]]:
     return text, ends
 
 
-def train(n: int = 9000, epochs: int = 6, seed: int = 7) -> dict[str, float]:
+def train(n: int = 12000, epochs: int = 8, seed: int = 7) -> dict[str, float]:
     r = random.Random(seed)
     langs = list(gold.UNITS)
     data = []
