@@ -90,7 +90,7 @@ def test_held_out_accuracy():
 
 
 def test_training_learns():
-    w = sentence_training.train(150, 2)
+    w = sentence_training.train(150, 20)
     assert w and any(k.startswith("t:") for k in w)
 
 
