@@ -266,7 +266,7 @@ def unit_draws(units: DataFrame, scope: list[str], s: Settings) -> DataFrame:
         on = ((pdf["role"] == REPORTING) & pdf["results_normalized_margin"].notna() & pdf["turnout_factor"].notna()).to_numpy()
         off = (pdf["role"] == NONREPORTING).to_numpy()
         if on.sum() < 10 or not off.any():
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pdf.loc[pdf.index[:0], keep].assign(pred_margin=pd.Series(dtype=float), pred_turnout=pd.Series(dtype=float), **{f"b{i}": pd.Series(dtype=object) for i in range(1, 5)})
         number = lambda c: pdf[c].to_numpy(float)
         train = {"x": x[on], "contest": contest[on], "stratum": stratum[on], "y": number("results_normalized_margin")[on], "z": number("turnout_factor")[on], "w": np.maximum(number("baseline_weights")[on], 1e-9), "names": list(names)}
         test = {"x": x[off], "contest": contest[off], "stratum": stratum[off], "w": number("baseline_weights")[off], **{c: number(c)[off] for c in ("y_lower", "y_upper", "z_lower", "z_upper")}}

@@ -251,14 +251,16 @@ def selective_fe(spark, d):
 @query("q_holdout_fe", f"""{sql.UNITS}, x as (select r.*, case when county_classification = 'uplands' and reporting = 1 then 'non-modeled' else unit_category end as uc from roles r where role <> 'unexpected'),
  act as (select list(distinct county_classification) as a from x where uc = 'expected' and reporting = 1 and county_classification is not null),
  y as (select x.*, a, list_min(a) as ref from x, act)
- select {sql.K}, round(case when county_classification is not null and not list_contains(a, county_classification) then 1.0 / len(a) when coalesce(county_classification = 'lakeside', false) then 1.0 else 0.0 end, 6) as county_classification_lakeside from y""")
+ select {sql.K}, round(case when county_classification is null then 0.0 when not list_contains(a, county_classification) then (len(a) - 1.0) / len(a) when county_classification = ref then 0.0 else 1.0 end, 6) as dummies_sum from y""")
 def holdout_fe(spark, d):
     u = _classified(spark, d).filter("role <> 'unexpected'")
     # No reporting upland unit takes part in the fit, so that level is held out.
     u = u.withColumn("unit_category", F.when((F.col("county_classification") == "uplands") & (F.col("reporting") == 1), "non-modeled").otherwise(F.col("unit_category")))
     e = features.normalise_effects(["county_classification"])
-    out = features.one_hot(u, e, features.levels(u, e), holdout=True)
-    return out.select(*KEYS, r("county_classification_lakeside").alias("county_classification_lakeside"))
+    known = features.levels(u, e)
+    out = features.one_hot(u, e, known, holdout=True)
+    total = sum((F.col(f"county_classification_{v}") for v in known.kept("county_classification")), F.lit(0.0))
+    return out.select(*KEYS, r(total).alias("dummies_sum"))
 
 
 @query("q_separate_state", f"{sql.UNITS} select {sql.K}, case when postal_code = 'ZA' then 0.0 else age_le_30 end as age_le_30, case when postal_code = 'ZA' then age_le_30 else 0.0 end as age_le_30_ZA from roles where role <> 'unexpected'")

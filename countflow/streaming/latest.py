@@ -18,10 +18,14 @@ def without_copies(readings: DataFrame, keys: list[str], at: str = "last_modifie
     return readings.withWatermark(at, late).dropDuplicatesWithinWatermark([*keys, at])
 
 
-def history(readings: DataFrame, keys: list[str], columns: list[str], every: str = "10 minutes", at: str = "last_modified", late: str = "6 hours") -> DataFrame:
-    """The last reading of every unit in each tumbling window; windows close after the watermark."""
+def history(readings: DataFrame, keys: list[str], columns: list[str], every: str = "10 minutes", at: str = "last_modified", late: str | None = "6 hours") -> DataFrame:
+    """The last reading of every unit in each tumbling window; windows close after the watermark.
+
+    late None: the stream has its watermark already (say, from without_copies).
+    """
     last = F.max_by(F.struct(*columns), at).alias("_last")
-    out = readings.withWatermark(at, late).groupBy(F.window(at, every).alias("_w"), *keys).agg(last, F.count(F.lit(1)).alias("n_readings"))
+    marked = readings.withWatermark(at, late) if late else readings
+    out = marked.groupBy(F.window(at, every).alias("_w"), *keys).agg(last, F.count(F.lit(1)).alias("n_readings"))
     return out.select(*keys, F.col("_w.start").alias("period_start"), "n_readings", *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
