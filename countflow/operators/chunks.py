@@ -28,14 +28,13 @@ def _number_batches(key: str):
         seen: dict = {}
         at = None
         for batch in batches:
-            path, start = batch.column("_path"), batch.column("_start")
+            split = batch.column("_split").to_numpy()
             n = batch.num_rows
             number = np.zeros(n, np.int64)
-            splits = np.flatnonzero(_changes(path) | _changes(start)) if n else []
-            for a, b in zip(splits, [*splits[1:], n]):
-                here = (path[int(a)].as_py(), start[int(a)].as_py())
-                if here != at:
-                    seen, at = {}, here
+            starts = np.flatnonzero(np.append(True, split[1:] != split[:-1])) if n else []
+            for a, b in zip(starts, [*starts[1:], n]):
+                if split[a] != at:
+                    seen, at = {}, split[a]
                 codes = batch.column(key).slice(int(a), int(b - a)).dictionary_encode()
                 names = [*codes.dictionary.to_pylist(), None]
                 idx = codes.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -54,35 +53,27 @@ def _number_batches(key: str):
     return run
 
 
-def _changes(a: pa.Array) -> np.ndarray:
-    """True where an element differs from the one before; True at 0."""
-    import pyarrow.compute as pc
-
-    out = np.ones(len(a), bool)
-    if len(a) > 1:
-        differ = pc.not_equal(a[1:], a[:-1]).to_numpy(zero_copy_only=False)
-        out[1:] = differ.astype(bool)
-    return out
-
-
 def number_by_key(df: DataFrame, key: str) -> DataFrame:
     """df, read straight from files, with `_n`: the row's 0-based number within its key, in input order.
 
     df must still carry the file metadata column, so pass a scan with projections and
     filters only. Null keys are numbered as one key. Input columns named like the operator's
-    own (_n, _chunk, _path, _start, _key, _p, _s, _offset) are replaced. An empty frame gives
+    own (_n, _chunk, _split, _path, _start, _key, _s, _offset) are replaced. An empty frame gives
     an empty frame.
     """
-    split = df.drop("_path", "_start", "_n", "_chunk", "_key", "_p", "_s", "_offset").select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
-    counts = split.groupBy("_path", "_start", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_k"))
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    scan = df.drop("_split", "_path", "_start", "_n", "_chunk", "_key", "_s", "_offset")
+    # Rows carry a hash of their split, not its path, through Python.
+    split = scan.select("*", F.xxhash64(path, start).alias("_split"))
+    counts = scan.select(F.col(key).alias("_key"), path.alias("_path"), start.alias("_start")).groupBy("_path", "_start", "_key").agg(F.count(F.lit(1)).alias("_k"))
     before = Window.partitionBy("_key").orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(counts.withColumn("_offset", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k"))
-    offsets = offsets.select(F.col("_path").alias("_p"), F.col("_start").alias("_s"), "_key", "_offset")
+    offsets = offsets.select(F.xxhash64("_path", "_start").alias("_s"), "_key", "_offset")
     schema = T.StructType([*split.schema.fields, T.StructField("_n", T.LongType())])
     numbered = split.mapInArrow(_number_batches(key), schema)
-    same = (F.col("_path") == F.col("_p")) & (F.col("_start") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_key"))
+    same = (F.col("_split") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_key"))
     out = numbered.join(bounded(offsets), same, "left")
-    return out.withColumn("_n", F.col("_n") + F.coalesce("_offset", F.lit(0))).drop("_path", "_start", "_p", "_s", "_key", "_offset")
+    return out.withColumn("_n", F.col("_n") + F.coalesce("_offset", F.lit(0))).drop("_split", "_s", "_key", "_offset")
 
 
 def chunked(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -117,13 +108,15 @@ def last_readings(spark, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame
 
 def state_rollup(spark, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Counts and roll-ups per state over all readings, and sums over the last reading of each unit."""
-    rows = _chunks_of(spark, sf_dir, ("state", "election_id", "results_turnout", "results_dem", "results_gop", "percent_expected_vote", "received_at"), chunk_rows)
+    rows = _chunks_of(spark, sf_dir, ("election_id", "state", "unit", "last_modified", "received_at", "row_id", "results_turnout", "results_dem", "results_gop", "percent_expected_vote"), chunk_rows)
     pev = F.when(~F.isnan("percent_expected_vote"), F.col("percent_expected_vote"))
-    state = [F.count(F.lit(1)).alias("n"), F.count("results_dem").alias("n_dem"), F.count(pev).alias("n_pev"), F.sum("results_turnout").alias("turnout"), F.max(pev).alias("max_pev"), F.min("received_at").alias("first"), F.max("received_at").alias("last")]
-    part = chunk_states(rows, "state", state)
-    counts = part.groupBy("state").agg(F.sum("n").alias("n_rows"), F.sum("n_dem").alias("n_dem"), F.sum("n_pev").alias("n_percent"), F.sum("turnout").alias("sum_turnout"), F.max("max_pev").alias("max_percent"), F.min("first").alias("first_received"), F.max("last").alias("last_received"), F.count(F.lit(1)).alias("_chunks")).drop("_chunks")
-    units = last_readings(spark, sf_dir, chunk_rows).groupBy("state").agg(F.count(F.lit(1)).alias("n_units"), F.sum("results_dem").alias("last_dem"), F.sum("results_gop").alias("last_gop"))
-    return counts.join(units.withColumnRenamed("state", "_s"), F.col("state").eqNullSafe(F.col("_s")), "left").drop("_s")
+    last = F.max(F.struct(F.struct("last_modified", "received_at", "row_id").alias("place"), "results_dem", "results_gop")).alias("last")
+    state = [last, F.count(F.lit(1)).alias("n"), F.count("results_dem").alias("n_dem"), F.count(pev).alias("n_pev"), F.sum("results_turnout").alias("turnout"), F.max(pev).alias("max_pev"), F.min("received_at").alias("from"), F.max("received_at").alias("to")]
+    sums = [F.sum(c).alias(c) for c in ("n", "n_dem", "n_pev", "turnout")]
+    ends = [F.max("max_pev").alias("max_pev"), F.min("from").alias("from"), F.max("to").alias("to")]
+    units = chunk_states(rows, "state", state, ("election_id", "unit")).groupBy("state", "election_id", "unit").agg(F.max("last").alias("last"), *sums, *ends)
+    out = units.groupBy("state").agg(*sums, *ends, F.count(F.lit(1)).alias("n_units"), F.sum("last.results_dem").alias("last_dem"), F.sum("last.results_gop").alias("last_gop"))
+    return out.withColumnsRenamed({"n": "n_rows", "n_pev": "n_percent", "turnout": "sum_turnout", "max_pev": "max_percent", "from": "first_received", "to": "last_received"})
 
 
 def arrival_gaps(spark, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
