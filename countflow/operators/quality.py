@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,9 +30,7 @@ def _open(path: str):
     if "://" not in path and not path.startswith("file:"):
         return pq.ParquetFile(path)
     if path.startswith("file:"):
-        from urllib.parse import unquote
-
-        return pq.ParquetFile("/" + unquote(path[5:]).lstrip("/"))
+        return pq.ParquetFile(_local(path))
     fs, inner = pyarrow.fs.FileSystem.from_uri(path)
     return pq.ParquetFile(fs.open_input_file(inner))
 
@@ -101,29 +100,49 @@ def _scan_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCANNED.split(", ")])
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct values of each chunk, straight from its dictionary where it has one."""
-    import pyarrow.compute as pc
-    import pyarrow.parquet as pq
+def _candidates(names: list[str]):
+    """The distinct values of each chunk, straight from its dictionary where it has one: (column number, number, text).
 
-    for batch in batches:
-        for (path, g), part in batch.groupby(["path", "row_group"]):
-            for name in part.column_name:
+    Numbers travel as their 64 bits, so that only text is carried as text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path, g, name in zip(*(batch.column(c).to_pylist() for c in ("path", "row_group", "column_name"))):
                 f = _open(path)
-                kind = f.schema_arrow.field(name).type
-                if pa.types.is_string(kind):
-                    f = pq.ParquetFile(path[5:] if path.startswith("file:") else path, read_dictionary=[name]) if "://" not in path.replace("file://", "") else f
+                if pa.types.is_string(f.schema_arrow.field(name).type) and path.startswith("file:"):
+                    f = pq.ParquetFile(_local(path), read_dictionary=[name])
                 a = f.read_row_group(int(g), columns=[name]).column(0)
                 for piece in a.chunks:
                     values = piece.dictionary if pa.types.is_dictionary(piece.type) else pc.unique(piece)
-                    if pa.types.is_timestamp(values.type):
-                        values = values.cast(pa.int64())
+                    values = values.drop_null()
+                    bits = texts = None
                     if pa.types.is_floating(values.type):
-                        values = values.filter(pc.invert(pc.is_nan(values)))
-                        values = pc.add(values, 0.0)
-                    values = values.drop_null().cast(pa.string())
-                    for i in range(0, len(values), 50_000):
-                        yield pd.DataFrame({"column_name": name, "value": values.slice(i, 50_000).to_pandas()})
+                        x = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                        bits = (x[~np.isnan(x)] + 0.0).view(np.int64)
+                    elif pa.types.is_integer(values.type) or pa.types.is_timestamp(values.type) or pa.types.is_date(values.type):
+                        values = values.cast(pa.timestamp("us")) if pa.types.is_date(values.type) else values
+                        bits = values.cast(pa.int64()).to_numpy(zero_copy_only=False)
+                    else:
+                        texts = values.cast(pa.string())
+                    n = len(bits) if bits is not None else len(texts)
+                    for i in range(0, n, 50_000):
+                        k = min(50_000, n - i)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(k, names.index(name)), pa.int32()), pa.array(bits[i : i + k], pa.int64()) if bits is not None else pa.nulls(k, pa.int64()), texts.slice(i, k) if texts is not None else pa.nulls(k, pa.string())],
+                            names=["_c", "num", "text"],
+                        )
+
+    return run
+
+
+def _local(path: str) -> str:
+    from urllib.parse import unquote
+
+    return "/" + unquote(path[5:]).lstrip("/")
 
 
 def profile(spark: SparkSession, scan: DataFrame) -> DataFrame:
@@ -141,8 +160,10 @@ def profile(spark: SparkSession, scan: DataFrame) -> DataFrame:
     facts = parts.groupBy("column_name").agg(F.sum("n_null").alias("n_null"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_text").alias("low_text"), F.max("high_text").alias("high_text"))
     every = chunks.select("path", "row_group", "column_name").repartition(n, "path", "row_group", "column_name")
     # Repeated candidates meet per value, not per column, before they are counted.
-    values = every.mapInPandas(_candidates, "column_name string, value string").distinct()
-    distinct = values.groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+    names = [f.name for f in scan.schema.fields]
+    values = every.mapInArrow(_candidates(names), "_c int, num long, text string").distinct()
+    distinct = values.groupBy("_c").agg(F.count(F.lit(1)).alias("n_distinct"))
+    distinct = distinct.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("_c")).alias("column_name"), "n_distinct")
     rows = chunks.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"))
     out = rows.join(facts, "column_name").join(distinct, "column_name", "left")
     return out.select("column_name", "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "low", "high", "low_text", "high_text")
