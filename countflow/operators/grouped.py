@@ -40,6 +40,18 @@ def prefix_number(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     return out.drop("_b", "_ob", "_offset", *[f"_o_{k}" for k in keys])
 
 
+def split_hot(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows of the other groups, rows of groups of more than `rows` rows, keys of those groups); None where there are none."""
+    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > rows).drop("_k"))
+    if hot.limit(1).count() == 0:
+        return df, None, None
+    named = bounded(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi"), hot
+
+
 def segmented(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, halo: int) -> DataFrame:
     """df with `_seg` and `_halo`: groups of more than `rows` rows are cut into overlapping segments.
 

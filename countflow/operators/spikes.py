@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countflow.functions.common import repaired_id, table
-from countflow.operators import grouped
+from countflow.operators import grouped, hot_spikes
 
 #: Fixed values of the problem: longest excursion, missed updates of a stuck value, highest percent.
 MAX_EXCURSION = 3
@@ -55,18 +55,27 @@ def robust_pca(m: np.ndarray, seen: np.ndarray, iterations: int = RANK_ITERATION
     low = np.zeros_like(m)
     for _ in range(iterations):
         x = np.where(seen, m - s + y / mu, low)
-        gram = np.matmul(x.transpose(0, 2, 1), x)
-        values, vectors = np.linalg.eigh(gram)
-        sigma = np.sqrt(np.maximum(values, 0.0))
-        keep = np.maximum(1.0 - (1.0 / mu[:, :, 0]) / np.maximum(sigma, 1e-12), 0.0)
-        low = np.matmul(x, np.matmul(vectors * keep[:, None, :], vectors.transpose(0, 2, 1)))
-        rest = m - low + y / mu
-        s = np.where(seen, np.sign(rest) * np.maximum(np.abs(rest) - lam / mu, 0.0), 0.0)
-        y = np.where(seen, y + mu * (m - low - s), 0.0)
+        low, s, y = shrunk(m, seen, x, y, shares(np.matmul(x.transpose(0, 2, 1), x), mu), mu, lam)
         mu = np.minimum(mu * 1.6, limit)
     return s
 
 
+def shares(gram: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """The maps (sources x measures x measures) that threshold the singular values of matrices with these Gram matrices."""
+    values, vectors = np.linalg.eigh(gram)
+    sigma = np.sqrt(np.maximum(values, 0.0))
+    keep = np.maximum(1.0 - (1.0 / mu[:, :, 0]) / np.maximum(sigma, 1e-12), 0.0)
+    return np.matmul(vectors * keep[:, None, :], vectors.transpose(0, 2, 1))
+
+
+def shrunk(m: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, share: np.ndarray, mu: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low-rank part, sparse part and multipliers after one step; each reading's depend on its own row and share only."""
+    low = np.matmul(x, share)
+    rest = m - low + y / mu
+    s = np.where(seen, np.sign(rest) * np.maximum(np.abs(rest) - lam / mu, 0.0), 0.0)
+    return low, s, np.where(seen, y + mu * (m - low - s), 0.0)
+
+
 def _padded(starts: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of similar length together: (group rows as positions, mask, groups) for each padded block."""
     lengths = np.diff(np.append(starts, n))
@@ -128,22 +137,14 @@ def find(t: pa.Table, starts: np.ndarray) -> pa.Table:
     group = np.cumsum(group) - 1
 
     # Readings sent twice count once for the course and get the verdict of their first copy.
-    same = np.zeros(n, bool)
-    if n > 1:
-        equal = (values[1:] == values[:-1]) | (np.isnan(values[1:]) & np.isnan(values[:-1]))
-        same[1:] = (group[1:] == group[:-1]) & (lm[1:] == lm[:-1]) & equal.all(axis=1)
-    first = ~same
-    reading = np.cumsum(first) - 1
+    copy_of = _first_copies(group, lm, values)
+    first = copy_of == np.arange(n)
+    reading = (np.cumsum(first) - 1)[copy_of]
     v, g = values[first], group[first]
     r = len(v)
     begin = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if r else np.zeros(0, np.int64)
 
-    impossible = np.zeros((r, 3), bool)
-    with np.errstate(invalid="ignore"):
-        impossible |= v[:, :3] < 0
-        impossible[:, 0] |= v[:, 0] > MAX_PERCENT
-        above = v[:, 2] > v[:, 1]
-
+    impossible, above = ranges(v)
     sparse = np.zeros((r, len(PROFILE)))
     noise = np.zeros((r, len(PROFILE)))
     scale = np.ones((r, len(PROFILE)))
@@ -168,14 +169,44 @@ def find(t: pa.Table, starts: np.ndarray) -> pa.Table:
         idx = np.flatnonzero(held)
         x, gg = v[idx, f], g[idx]
         stuck[idx, f] = _stuck(x, gg, others_moved(f)[idx])
-        level = np.maximum(np.abs(v[idx, f]) / scale[idx, f], 0.05)
-        # The part of all counts that moved together may lie in the percent instead, and the other way round.
-        other = (1, 4) if f == 0 else (0,)
-        part = np.maximum(sparse[idx, f], sparse[idx][:, other].max(axis=1))
-        doubt = (part > np.maximum(SPARSE * level, 0.01 + noise[idx, f])) | impossible[idx, f] | above[idx]
+        doubt = doubted(f, v[idx, f], sparse[idx], noise[idx, f], scale[idx, f]) | impossible[idx, f] | above[idx]
         found[idx, f] |= _excursions(x, doubt & ~stuck[idx, f], gg, scale[idx, f])
     found |= stuck
-    # More dem than weights: the field that left its course; where neither did, the one the other counts contradict.
+    settle(v, above, found)
+    return cases(grouped.ints(t, "row_id"), found[reading] & np.isfinite(values[:, :3]))
+
+
+def _first_copies(group: np.ndarray, lm: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the first row of its group with the same moment and measures."""
+    out = np.arange(len(lm))
+    tie = np.append(False, (group[1:] == group[:-1]) & (lm[1:] == lm[:-1]))
+    tied = np.flatnonzero(tie | np.append(tie[1:], False))
+    if len(tied):
+        bits = np.where(np.isnan(values[tied]), np.nan, values[tied] + 0.0).view(np.int64)
+        _, at, which = np.unique(np.column_stack([group[tied], lm[tied], bits]), axis=0, return_index=True, return_inverse=True)
+        out[tied] = tied[at[which.ravel()]]
+    return out
+
+
+def ranges(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of FIELDS that no unit can have, and readings with more dem than weights."""
+    with np.errstate(invalid="ignore"):
+        impossible = v[:, :3] < 0
+        impossible[:, 0] |= v[:, 0] > MAX_PERCENT
+        return impossible, v[:, 2] > v[:, 1]
+
+
+def doubted(f: int, x: np.ndarray, sparse: np.ndarray, noise: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Values x of field f with a sparse part; sparse: readings x measures."""
+    level = np.maximum(np.abs(x) / scale, 0.05)
+    # The part of all counts that moved together may lie in the percent instead, and the other way round.
+    other = (1, 4) if f == 0 else (0,)
+    part = np.maximum(sparse[:, f], sparse[:, other].max(axis=1))
+    return part > np.maximum(SPARSE * level, 0.01 + noise)
+
+
+def settle(v: np.ndarray, above: np.ndarray, found: np.ndarray) -> None:
+    """More dem than weights: the field that left its course; where neither did, the one the other counts contradict."""
     open_ = above & ~found[:, 1] & ~found[:, 2]
     if open_.any():
         implied = v[:, 5] + v[:, 3]
@@ -183,11 +214,9 @@ def find(t: pa.Table, starts: np.ndarray) -> pa.Table:
         found[dem_wrong, 2] = True
         found[open_ & ~dem_wrong, 1] = True
 
-    verdict = found[reading] & np.isfinite(values[:, :3])
-    if "_halo" in t.column_names:
-        verdict &= ~t.column("_halo").to_numpy().astype(bool)[:, None]
+
+def cases(row_id: np.ndarray, verdict: np.ndarray) -> pa.Table:
     rows, fields = np.nonzero(verdict)
-    row_id = grouped.ints(t, "row_id")
     return pa.table({"row_id": pa.array(row_id[rows], pa.int64()), "field": pa.array(np.array(FIELDS)[fields], pa.string())})
 
 
@@ -222,8 +251,11 @@ def _updates(v: np.ndarray, g: np.ndarray):
     return of
 
 
-def _stuck(x: np.ndarray, group: np.ndarray, moved: np.ndarray) -> np.ndarray:
-    """Rows of constant runs from the first missed update on, where at least MISSED_UPDATES updates were missed."""
+def _stuck(x: np.ndarray, group: np.ndarray, moved: np.ndarray, before: float = 0, after: float = 0) -> np.ndarray:
+    """Rows of constant runs from the first missed update on, where at least MISSED_UPDATES updates were missed.
+
+    before, after: updates that the first run missed before these rows, and the last run after them.
+    """
     n = len(x)
     if not n:
         return np.zeros(0, bool)
@@ -231,8 +263,11 @@ def _stuck(x: np.ndarray, group: np.ndarray, moved: np.ndarray) -> np.ndarray:
     run = np.cumsum(new) - 1
     missed = moved & ~new
     total = np.bincount(run, weights=missed)
+    total[0] += before
+    total[-1] += after
     so_far = np.cumsum(missed)
-    at_start = so_far[np.flatnonzero(new)]
+    at_start = so_far[np.flatnonzero(new)].astype(float)
+    at_start[0] -= before
     return (total[run] >= MISSED_UPDATES) & (so_far - at_start[run] > 0)
 
 
@@ -243,8 +278,8 @@ def wrong_values(readings: DataFrame) -> DataFrame:
     Null and NaN values are never reported. Rows that name no source (null election or
     unit) or have no trustworthy time (last_modified null, after received_at or over two
     days before it) take no part in the course of a source; of them only impossible values
-    are reported. Copies of a row get the same verdict. A third of all rows in one source is
-    handled in overlapping segments (grouped.segmented).
+    are reported. Copies of a row get the same verdict. A source of more than
+    grouped.SEGMENT_ROWS rows is handled by many tasks with the same result (hot_spikes).
     """
     r = readings
     for c in PROFILE:
@@ -254,8 +289,10 @@ def wrong_values(readings: DataFrame) -> DataFrame:
     r = r.select("row_id", "election_id", "unit", "last_modified", *PROFILE, (timed & sourced).alias("_ok"))
     keys, order = ["election_id", "unit"], ["last_modified", "row_id"]
     on_course = r.filter("_ok").drop("_ok")
-    on_course = grouped.segmented(on_course, keys, order, F.floor(F.unix_seconds("last_modified") / 600), grouped.SEGMENT_ROWS, grouped.HALO_ROWS)
-    course = grouped.map_groups(on_course, [*keys, "_seg"], order, find, "row_id long, field string")
+    calm, hot, names = grouped.split_hot(on_course, keys, grouped.SEGMENT_ROWS)
+    course = grouped.map_groups(calm, keys, order, find, "row_id long, field string")
+    if names is not None:
+        course = course.unionByName(hot_spikes.wrong_values(hot, names, keys, order))
     p, w, d, g, m = (F.col(c) for c in ("percent_expected_vote", "results_weights", "results_dem", "results_gop", "results_margin"))
     dem_off = F.coalesce(F.abs(m + g - d) > F.abs(d + g - w), F.lit(False))
     tests = F.array(
