@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countflow.functions.common import repaired_id, table
-from countflow.operators import grouped
+from countflow.operators import grouped, hot_grid
 from countflow.operators.spikes import _padded
 
 PERIOD_S = 600
@@ -111,23 +111,12 @@ def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
     time = grouped.ints(t, "last_modified") / 1e6
     values = np.column_stack([grouped.floats(t, c) for c in FIELDS])
     values[~np.isfinite(values)] = np.nan
-    halo = t.column("_halo").to_numpy().astype(bool)
     period = np.floor(time / PERIOD_S).astype(np.int64)
-
-    # Periods that this segment owns: after the last reading of the overlap before it, up to its last own reading.
-    own = np.flatnonzero(~halo)
-    first_own = np.full(k, n)
-    np.minimum.at(first_own, group[own], own)
-    last_own = np.full(k, -1)
-    np.maximum.at(last_own, group[own], own)
-    has = last_own >= 0
-    fo, lo = np.where(has, first_own, 0), np.where(has, last_own, 0)
-    before = np.where(fo > starts, period[np.maximum(fo - 1, 0)] + 1, period[fo])
-    upto = np.where(has, period[lo], before - 1)
-    counts = np.where(has, np.maximum(upto - before + 1, 0), 0)
+    first = period[starts]
+    counts = period[np.append(starts[1:], n) - 1] - first + 1
 
     gg = np.repeat(np.arange(k), counts)
-    gp = np.repeat(before, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    gp = np.repeat(first, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     # Readings in each period: positions by a joint key of group and period.
     base = int(period.min())
     span = int(period.max()) - base + 2
@@ -163,10 +152,14 @@ def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
         none[:, c] = np.bincount(group[np.isfinite(values[:, c])], minlength=k) == 0
     level[none[gg]], sd[none[gg]] = np.nan, np.nan
 
+    names = {c: t.column(c).combine_chunks().take(pa.array(starts[gg])) for c in ("election_id", "unit")}
+    return _rows(names, gp, readings, level, sd)
+
+
+def _rows(names: dict, gp: np.ndarray, readings: np.ndarray, level: np.ndarray, sd: np.ndarray) -> pa.Table:
     def number(x: np.ndarray) -> pa.Array:
         return pa.array(x, pa.float64(), from_pandas=True)
 
-    names = {c: t.column(c).combine_chunks().take(pa.array(starts[gg])) for c in ("election_id", "unit")}
     return pa.table({**names, "period_start": pa.array(gp * PERIOD_S, pa.int64()), "n_readings": pa.array(readings, pa.int64()), "missing": pa.array(readings == 0), "percent_expected_vote": number(level[:, 0]), "percent_expected_vote_sd": number(sd[:, 0]), "results_margin": number(level[:, 1]), "results_margin_sd": number(sd[:, 1])})
 
 
@@ -178,7 +171,8 @@ def on_grid(readings: DataFrame) -> DataFrame:
     most two days before it, and one of the measures. Values are smoothed levels at the
     middle of the period, sd their standard deviations; a measure that the source never
     reports is null. `missing` marks periods that hold no reading. Readings of one moment
-    are taken one after the other; repeated rows count as readings of their own.
+    are taken one after the other; repeated rows count as readings of their own. A source of
+    more than grouped.SEGMENT_ROWS readings is streamed with the same result (hot_grid).
     """
     r = readings
     for c in FIELDS:
@@ -188,8 +182,9 @@ def on_grid(readings: DataFrame) -> DataFrame:
     r = r.filter(timed & held & F.col("unit").isNotNull() & F.col("election_id").isNotNull())
     r = r.select("election_id", "unit", "last_modified", "row_id", *FIELDS)
     keys, order = ["election_id", "unit"], ["last_modified", "row_id"]
-    r = grouped.segmented(r, keys, order, F.floor(F.unix_seconds("last_modified") / PERIOD_S), grouped.SEGMENT_ROWS, grouped.HALO_ROWS)
-    return grouped.map_groups(r, [*keys, "_seg"], order, regular, SCHEMA)
+    calm, hot, _ = grouped.split_hot(r, keys, grouped.SEGMENT_ROWS)
+    out = grouped.map_groups(calm, keys, order, regular, SCHEMA)
+    return out if hot is None else out.unionByName(hot_grid.on_grid(hot, keys, order))
 
 
 def p4_grid(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,201 @@
+"""Problem 4 for sources that are too large for memory: the grid of grid.regular, read from a file piece by piece.
+
+The filter takes one reading after the other, each with the state that the one before left,
+so a source stays in one task. Its readings (a time and two values) go to a local file; the
+filter runs once through it and keeps its state at the begin of each piece, and the smoother
+goes back piece by piece, with the filter repeated inside the piece.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from countflow.operators import grid, grouped
+from countflow.operators.hot_spikes import DIGITS
+
+#: Readings handled at once.
+PIECE = 20_000
+
+
+def _forward(dt: list, x: list, r: float, q: float, state: tuple, kept: list | None = None) -> tuple:
+    """The state (level, slope, their covariance) after the events; kept gets what the way back needs of each."""
+    a, b, paa, pab, pbb = state
+    gate = grid.GATE**2
+    for d, value in zip(dt, x, strict=True):
+        a = a + d * b
+        paa = paa + d * (2 * pab + d * pbb) + q * d**3 / 3
+        pab = pab + d * pbb + q * d**2 / 2
+        pbb = pbb + q * d
+        ka = kb = inverse = scaled = 0.0
+        if value == value:
+            v = value - a
+            s = paa + r
+            s = s * max(v * v / (gate * s), 1.0)
+            inverse = 1.0 / s
+            ka, kb, scaled = paa * inverse, pab * inverse, inverse * v
+            a, b = a + ka * v, b + kb * v
+            pbb = max(pbb - kb * pab, 0.0)
+            paa, pab = (1 - ka) * paa, (1 - ka) * pab
+        if kept is not None:
+            kept.append((a, paa, pab, ka, kb, inverse, scaled))
+    return a, b, paa, pab, pbb
+
+
+def _backward(dt: list, kept: list, asked: list, adjoint: tuple) -> tuple[tuple, list, list]:
+    """The adjoint before the events, and smoothed levels and variances of the events asked for, in order."""
+    la, lb, haa, hab, hbb = adjoint
+    out, var = [], []
+    for i in range(len(kept) - 1, -1, -1):
+        a, paa, pab, ka, kb, inverse, scaled = kept[i]
+        if asked[i]:
+            out.append(a - (paa * la + pab * lb))
+            var.append(max(paa - (paa * (paa * haa + 2 * pab * hab) + pab * pab * hbb), 0.0))
+        c = 1 - ka
+        la = c * la - kb * lb - scaled
+        haa, hab = c * (c * haa - kb * hab) - kb * (c * hab - kb * hbb) + inverse, c * hab - kb * hbb
+        d = dt[i]
+        lb = lb + d * la
+        hbb = hbb + d * (2 * hab + d * haa)
+        hab = hab + d * haa
+    return (la, lb, haa, hab, hbb), out[::-1], var[::-1]
+
+
+class _Source:
+    """The readings of one source in a file, in order."""
+
+    def __init__(self, names: dict) -> None:
+        self.names, self.file, self.n = names, tempfile.TemporaryFile(), 0
+        self.counts: Counter = Counter()
+
+    def add(self, time: np.ndarray, values: np.ndarray) -> None:
+        self.file.write(np.column_stack([time, values]).tobytes())
+        self.n += len(time)
+        self.counts.update(dict(zip(*(x.tolist() for x in np.unique(np.floor(time / grid.PERIOD_S).astype(np.int64), return_counts=True)), strict=True)))
+
+    def piece(self, k: int) -> np.ndarray:
+        self.file.seek(k * PIECE * 24)
+        return np.frombuffer(self.file.read(PIECE * 24)).reshape(-1, 3)
+
+    def noise(self, c: int) -> tuple[float, float, float, float]:
+        """(r, q, first value, largest size) of a measure, as in grid._trend_noise; the last two are 0 without values."""
+        size, first, turns, held = 0.0, None, 0, np.zeros((0, 2))
+        with tempfile.TemporaryFile() as f:
+            for k in range(self.pieces):
+                rows = self.piece(k)
+                rows = rows[np.isfinite(rows[:, c + 1])][:, [0, c + 1]]
+                if not len(rows):
+                    continue
+                first = float(rows[0, 1]) if first is None else first
+                size = max(size, float(np.abs(rows[:, 1]).max()))
+                rows = np.vstack([held, rows])
+                if len(rows) > 2:
+                    dt = np.maximum(np.diff(rows[:, 0]), 60.0)
+                    turn = np.diff(np.diff(rows[:, 1]) / dt) ** 2 / ((dt[1:] + dt[:-1]) / 2)
+                    f.write(turn.tobytes())
+                    turns += len(turn)
+                held = rows[-2:]
+            q = _ranked(f, turns, int(0.7 * max(turns - 1, 0))) * 0.5 if turns else 0.0
+        return max(grid.NOISE * size, 1e-3) ** 2, max(q, (1e-7 * (size + 1)) ** 2), first or 0.0, size if first is not None else float("nan")
+
+    @property
+    def pieces(self) -> int:
+        return -(-self.n // PIECE)
+
+    def events(self, k: int, last: float) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, float]:
+        """Piece k with the middles of periods among it: (seconds since the event before, values, which are middles, their periods, last time)."""
+        rows = self.piece(k)
+        low, high = self.first if k == 0 else self._period_after(rows[0, 0]), self.end
+        if k + 1 < self.pieces:
+            self.file.seek((k + 1) * PIECE * 24)
+            high = self._period_after(np.frombuffer(self.file.read(8))[0])
+        asked = np.arange(low, high)
+        time = np.concatenate([rows[:, 0], asked * grid.PERIOD_S + grid.PERIOD_S / 2])
+        order = np.argsort(time, kind="stable")
+        values = np.vstack([rows[:, 1:], np.full((len(asked), 2), np.nan)])[order]
+        time = time[order]
+        dt = np.maximum(np.diff(time, prepend=time[0] if k == 0 else last), 0.0)
+        return dt.tolist(), values, order >= len(rows), asked, float(time[-1])
+
+    @staticmethod
+    def _period_after(t: float) -> int:
+        """The first period whose middle is not before t."""
+        return int(np.ceil((t - grid.PERIOD_S / 2) / grid.PERIOD_S))
+
+    def smoothed(self) -> Iterator[pa.Table]:
+        self.file.flush()
+        self.first, self.end = min(self.counts), max(self.counts) + 1
+        noise = [self.noise(c) for c in range(2)]
+        state = []
+        for _, _, start, size in noise:
+            size = (0.0 if np.isnan(size) else size) + 1.0
+            state.append((start, 0.0, (2 * size) ** 2, 0.0, (size / 600.0) ** 2))
+        begin, last = [], 0.0
+        for k in range(self.pieces):
+            begin.append((last, list(state)))
+            dt, x, _, _, last = self.events(k, last)
+            state = [_forward(dt, x[:, c].tolist(), *noise[c][:2], state[c]) for c in range(2)]
+        adjoint = [(0.0,) * 5] * 2
+        for k in range(self.pieces - 1, -1, -1):
+            last, state = begin[k]
+            dt, x, middle, asked, _ = self.events(k, last)
+            level, sd = np.full((len(asked), 2), np.nan), np.full((len(asked), 2), np.nan)
+            for c in range(2):
+                kept: list = []
+                _forward(dt, x[:, c].tolist(), *noise[c][:2], state[c], kept)
+                adjoint[c], out, var = _backward(dt, kept, middle.tolist(), adjoint[c])
+                if not np.isnan(noise[c][3]):
+                    level[:, c], sd[:, c] = out, np.sqrt(var)
+            if len(asked):
+                names = {n: pa.array([v] * len(asked), pa.string()) for n, v in self.names.items()}
+                yield grid._rows(names, asked, np.array([self.counts.get(p, 0) for p in asked.tolist()], np.int64), level, sd)
+        self.file.close()
+
+
+def _ranked(f, n: int, rank: int) -> float:
+    """The value with this 0-based rank among the n non-negative doubles of a file."""
+    prefix = 0
+    for shift, width in DIGITS:
+        hist = np.zeros(1 << width, np.int64)
+        f.seek(0)
+        while len(raw := f.read(8 * 1_000_000)):
+            bits = np.frombuffer(raw, np.int64)
+            fits = bits[(bits >> (shift + width)) == prefix]
+            hist += np.bincount((fits >> shift) & ((1 << width) - 1), minlength=1 << width)
+        up = np.cumsum(hist)
+        digit = int(np.searchsorted(up, rank, side="right"))
+        rank -= int(up[digit] - hist[digit])
+        prefix = (prefix << width) | digit
+    return float(np.array([prefix], np.int64).view(np.float64)[0])
+
+
+def on_grid(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of grid.on_grid for the sources of these readings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, held = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.flatnonzero(grouped.new_group(b, keys))
+            time = grouped.ints(b, "last_modified") / 1e6
+            values = np.column_stack([grouped.floats(b, c) for c in grid.FIELDS])
+            values[~np.isfinite(values)] = np.nan
+            for i, j in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+                names = {k: b.column(k)[int(i)].as_py() for k in keys}
+                if names != held:
+                    if source is not None:
+                        for t in source.smoothed():
+                            yield from t.to_batches()
+                    source, held = _Source(names), names
+                source.add(time[i:j], values[i:j])
+        if source is not None:
+            for t in source.smoothed():
+                yield from t.to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, grid.SCHEMA)

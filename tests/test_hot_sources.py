@@ -1,8 +1,11 @@
 """Sources with more rows than one task takes: the same results as for a whole source."""
 
+import datetime
+import random
+
 import pytest
 
-from countflow.operators import grouped, spikes
+from countflow.operators import grid, grouped, hot_grid, spikes
 from tests.test_spikes import SCHEMA, D, P, W, course
 
 
@@ -46,3 +49,43 @@ def test_segments_of_all_sources_find_the_same(spark, data, monkeypatch):
     monkeypatch.setattr(grouped, "SEGMENT_ROWS", 40)
     monkeypatch.setattr(grouped, "HALO_ROWS", 4)
     assert {tuple(x) for x in spikes.p2_found(spark, data).collect()} == whole
+
+
+READ = "row_id long, election_id string, unit string, last_modified timestamp, received_at timestamp, percent_expected_vote double, results_margin double"
+
+
+def night():
+    """A crowded period over several segments, a gap, lone readings, nulls, and a source without margin."""
+    r, t0, rows = random.Random(3), datetime.datetime(2024, 11, 6, 1), []
+    seconds = sorted([r.uniform(0, 600) for _ in range(40)] + [r.uniform(600, 1200) for _ in range(300)] + [r.uniform(4000, 9000) for _ in range(60)])
+    for i, at in enumerate(seconds):
+        t = t0 + datetime.timedelta(seconds=at)
+        p, m = at / 100 + r.gauss(0, 0.1), at * 3 + r.gauss(0, 20)
+        rows.append((i, "e", "u", t, t, None if i % 7 == 0 else 300.0 if i == 90 else p, None if i % 7 and i % 3 == 0 else m))
+        if i % 4 == 0:
+            rows.append((1000 + i, "e", "v", t, t, p, None))
+    return rows
+
+
+@pytest.mark.parametrize("size", [100, 30])
+def test_crowded_periods_count_all_readings_and_keep_their_levels(spark, data, monkeypatch, size):
+    df = spark.createDataFrame(night(), READ)
+    whole = grid.on_grid(df).orderBy("unit", "period_start").collect()
+    assert [x.n_readings for x in whole if x.unit == "u"][:3] == [40, 300, 0]
+    monkeypatch.setattr(grouped, "SEGMENT_ROWS", size)
+    monkeypatch.setattr(grouped, "HALO_ROWS", size // 10)
+    monkeypatch.setattr(hot_grid, "PIECE", size)
+    parts = grid.on_grid(df).orderBy("unit", "period_start").collect()
+    assert [x[:5] for x in parts] == [x[:5] for x in whole]
+    for a, b in zip(parts, whole, strict=True):
+        assert [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b[5:]] == list(a[5:])
+
+
+def test_large_sources_of_the_tables_keep_their_grid(spark, data, monkeypatch):
+    whole = {x[:3]: x[3:] for x in grid.p4_grid(spark, data).collect()}
+    monkeypatch.setattr(grouped, "SEGMENT_ROWS", 40)
+    parts = {x[:3]: x[3:] for x in grid.p4_grid(spark, data).collect()}
+    assert parts.keys() == whole.keys()
+    for k, b in whole.items():
+        assert parts[k][:2] == b[:2]
+        assert [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b[2:]] == list(parts[k][2:])
