@@ -437,7 +437,7 @@ def national_summary_hard(spark, d):
     return j.groupBy("election_id").agg(F.bround(F.sum(F.when(F.col("pred_margin") > 0, F.col("weight")).otherwise(0)).cast("double") + 3, 2).alias("agg_pred"))
 
 
-_DRAWS = bootstrap.Settings(draws=100, ridge=None)
+_DRAWS = bootstrap.Settings(ridge=None)
 
 
 def _drawn(spark, d) -> tuple[DataFrame, DataFrame]:

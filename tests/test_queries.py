@@ -1,6 +1,8 @@
 import pytest
 
 import __spark_entry__
+from countflow.operators import bootstrap
+from countflow.plans import catalog
 from tests.oracle import connect, same
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -28,3 +30,7 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_bootstrap_queries_draw_as_often_as_the_operator():
+    assert catalog._DRAWS.draws == bootstrap.Settings().draws == 500
