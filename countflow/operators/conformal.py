@@ -61,15 +61,17 @@ def predict_swing(units: DataFrame, e: str, scope: list[str] = ()) -> DataFrame:
     return joined.withColumn(f"pred_{e}", F.when(F.col("role") == NONREPORTING, to_votes(e, F.col("swing"))).otherwise(F.col(f"results_{e}"))).drop("swing")
 
 
-def fit_scores(units: DataFrame, e: str, features: list[str], taus: list[float], scope: list[str], train: str = "train", ridge: float = 0.0) -> DataFrame:
+def fit_scores(units: DataFrame, e: str, features: list[str], taus: list[float], scope: list[str], train: str = "train", ridge: float = 0.0, effects: list[str] = ()) -> DataFrame:
     """Quantile fits per scope (rows with `train` true) scored on all its units: columns q_0, q_1, ... in order of taus.
 
     The units of one estimate (up to some 10^5) meet in one task, many estimates run side by
-    side. A unit with a null feature takes its scope's mean (0 after centring).
+    side. A unit with a null feature takes its scope's mean (0 after centring). effects: columns
+    of which each level among the scope's fitted units, but for the first, gets a 0/1 column; a
+    level that no fitted unit has is taken as the mean of the others.
     """
     keep = [*scope, "geographic_unit_fips"]
     x = ["_intercept", *features]
-    rows = units.withColumn("_intercept", F.lit(1.0)).select(*keep, *x, F.col(train).alias("_train"), F.col(f"residuals_{e}").cast("double").alias("_y"), F.col(f"last_election_results_{e}").cast("double").alias("_w"))
+    rows = units.withColumn("_intercept", F.lit(1.0)).select(*keep, *x, *[F.col(c).alias(f"_e{k}") for k, c in enumerate(effects)], F.col(train).alias("_train"), F.col(f"residuals_{e}").cast("double").alias("_y"), F.col(f"last_election_results_{e}").cast("double").alias("_w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("geographic_unit_fips", kind="stable")
@@ -77,6 +79,12 @@ def fit_scores(units: DataFrame, e: str, features: list[str], taus: list[float],
         m[:, 1:] -= np.nan_to_num(np.nanmean(m[:, 1:], axis=0)) if m.shape[1] > 1 and len(m) else 0
         m = np.nan_to_num(m)
         on = pdf["_train"].fillna(False).to_numpy(bool) & np.isfinite(pdf["_y"].to_numpy(float))
+        for k in range(len(effects)):
+            level = pdf[f"_e{k}"]
+            levels = sorted(level[on].dropna().unique())
+            hot = np.column_stack([np.zeros((len(m), 0)), *[(level == v).to_numpy(float) for v in levels[1:]]])
+            hot[(level.notna() & ~level.isin(levels)).to_numpy()] = 1.0 / max(len(levels), 1)
+            m = np.column_stack([m, hot])
         out = pdf[keep].copy()
         for k, tau in enumerate(taus):
             b = quantile_regression(m[on], pdf["_y"].to_numpy(float)[on], tau, pdf["_w"].to_numpy(float)[on], ridge) if on.any() else np.full(m.shape[1], np.nan)

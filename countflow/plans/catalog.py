@@ -97,7 +97,7 @@ def outlier_rule(spark, d):
 @query("q_outlier_rule_covariates")
 def outlier_rule_covariates(spark, d):
     u = views.classified(spark, d).filter("role = 'reporting'").withColumns({"residuals_tf": F.col("turnout_factor"), "last_election_results_tf": F.col("baseline_weights"), "train": F.lit(True)})
-    fit = conformal.fit_scores(u, "tf", COVARIATES, [0.5], SCOPE)
+    fit = conformal.fit_scores(u, "tf", [*COVARIATES, "baseline_normalized_margin"], [0.5], SCOPE, effects=["postal_code"])
     u = u.join(fit, [*SCOPE, "geographic_unit_fips"])
     return u.withColumn("flag", units.residual_outliers(u, "turnout_factor", "q_0", 2.0, SCOPE)).filter("flag").select(*KEYS)
 

@@ -48,7 +48,7 @@ class Client:
         return cut(out)
 
     def _outliers(self, u: DataFrame, r: Request) -> DataFrame | None:
-        """Reporting units that a weighted median fit on the covariates finds strange (turnout first, then the margin)."""
+        """Reporting units that a weighted median fit on the covariates and states finds strange (turnout first, then the margin)."""
         p, z = r.model_parameters, r.model_parameters.get("outlier_z_threshold", 2.0)
         tests = [("turnout_factor", units.STRANGE_TURNOUT)] if p.get("fit_turnout_outlier_model", True) else []
         if "margin" in r.measures and p.get("fit_margin_outlier_model", True):
@@ -58,11 +58,11 @@ class Client:
             return None
         if len(tests) > 1:
             on = on.withColumn("_margin_change", F.col("results_normalized_margin") - F.col("baseline_normalized_margin"))
-        covariates = [c for c in ("median_household_income", "percent_bachelor_or_higher", "age_le_30", "ethnicity_group_a", "baseline_normalized_margin") if c in on.columns]
+        covariates = [c for c in ("median_household_income", "percent_bachelor_or_higher", "age_le_30", "ethnicity_group_a", "baseline_normalized_margin", "race_black_or_african_american", "ethnicity_likely_african_american", "education_bachelors_or_higher") if c in on.columns]
         found = None
         for k, (value, name) in enumerate(tests):
             rows = on.withColumns({"residuals_o": F.col(value), "last_election_results_o": F.col("baseline_weights"), "train": F.lit(True)})
-            fit = conformal.fit_scores(rows, "o", covariates, [0.5], [])
+            fit = conformal.fit_scores(rows, "o", covariates, [0.5], [], effects=["postal_code"] if "postal_code" in on.columns else [])
             rows = rows.join(fit, "geographic_unit_fips")
             hit = rows.withColumn("_f", units.residual_outliers(rows, value, "q_0", z)).filter("_f").select("geographic_unit_fips", F.lit(k).alias("_rank"), F.lit(name).alias("_odd"))
             found = hit if found is None else found.unionByName(hit)
