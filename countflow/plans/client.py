@@ -150,6 +150,8 @@ class Client:
 
     def _bootstrap(self, u: DataFrame, r: Request, aggregates: list[str], versions, sibling) -> dict[str, DataFrame]:
         p = r.model_parameters
+        if r.fixed_effects or p.get("states_for_separate_model"):
+            raise bootstrap.BootstrapError("the bootstrap fits no fixed effects and no separate states")
         district = config.is_district(self.contest.office)
         contest = ["postal_code", "district"] if district else ["postal_code"]
         s = bootstrap.Settings(draws=p.get("B", 500), ridge=p.get("lambda_"), seed=p.get("seed", 0), features=list(dict.fromkeys(["baseline_normalized_margin", *r.features])), strata=p.get("strata", ["county_classification"]), contest=contest, correlations=p.get("contest_correlations", []))
