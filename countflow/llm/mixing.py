@@ -32,6 +32,11 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str]
     return df.join(offsets, [*keys, "_b"]).withColumn(name, F.sum(value).over(inside) + F.col("_offset")).drop("_b", "_offset")
 
 
+def shuffled(c: str, seed: int = SEED) -> Column:
+    """A seeded shuffle as a number: the first 60 bits of a hash that every SQL engine has."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def mix(sized: DataFrame, targets: DataFrame, budget_tokens: int | None = None, seed: int = SEED) -> DataFrame:
     """The drawn documents: (mix_id, source, doc_id, repeat_no, n_tokens, finish, upto_tokens).
 
@@ -54,8 +59,8 @@ def mix(sized: DataFrame, targets: DataFrame, budget_tokens: int | None = None,
     # Buckets are ranges of the hash (its top bits), about BUCKET_ROWS documents each.
     bits = max(1, min(20, (docs.count() // BUCKET_ROWS).bit_length()))
     buckets = 1 << bits
-    docs = docs.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1))
-    queued = running_sum(docs, ["source"], F.shiftrightunsigned("_h", 63 - bits), ["_h", "doc_id"], "n_tokens", "_upto").drop("_h")
+    docs = docs.withColumn("_h", shuffled("doc_id", seed))
+    queued = running_sum(docs, ["source"], F.shiftrightunsigned("_h", 60 - bits), ["_h", "doc_id"], "n_tokens", "_upto").drop("_h")
 
     rows = queued.join(bounded(t), "source")
     # With exhausted sources virtual time runs ahead of served tokens, so no pass can be left out beforehand.
@@ -88,3 +93,23 @@ def p8_mix(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def p8_shares(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return shares(p8_mix(spark, sf_dir, vocabulary), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_by_characters(spark, sf_dir: str) -> DataFrame:
+    """The same queues with sizes in characters, which SQL can count."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"), F.length("text").cast("long").alias("n_tokens"))
+    return mix(sized, table(spark, sf_dir, "mix_targets")).select("mix_id", "source", "doc_id", "repeat_no", F.col("n_tokens").alias("n_characters"), F.col("upto_tokens").alias("upto_characters"))
+
+
+BY_CHARACTERS = f"""
+with docs as (select doc_id, lower(translate(trim(source, ' '), '-', '_')) as source, length(text) as n, cast('0x' || substr(md5('{SEED}:' || doc_id), 1, 15) as bigint) as h
+  from documents where length(text) > 0 and source is not null),
+queue as (select *, sum(n) over (partition by source order by h, doc_id) as own, sum(n) over (partition by source) as total from docs),
+targets as (select mix_id, source, max_repeats, total, target_share / sum(target_share) over (partition by mix_id) as weight
+  from mix_targets join (select distinct source, total from queue) using (source) where target_share > 0 and max_repeats > 0),
+budgets as (select *, min(max_repeats * total / weight) over (partition by mix_id) as budget from targets),
+passes as (select b.mix_id, b.source, q.doc_id, r.repeat_no, q.n, ((r.repeat_no - 1) * q.total + q.own) / b.weight as finish, b.budget
+  from budgets b join queue q using (source) join (select unnest(range(1, 1001)) as repeat_no) r on r.repeat_no <= b.max_repeats),
+served as (select *, sum(n) over (partition by mix_id order by finish, source, doc_id, repeat_no) as upto from passes)
+select mix_id, source, doc_id, cast(repeat_no as int) as repeat_no, n as n_characters, cast(upto as bigint) as upto_characters from served where upto <= budget
+"""

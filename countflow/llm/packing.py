@@ -2,9 +2,8 @@
 
 Items meet in groups of bounded size; each group is packed on its own. A first packing
 (largest first into the fullest bin with room) is improved by exchanging one item for one,
-two for one or moving one item between underfull bins. Each step takes from a less filled
-bin and gives to a fuller one, so the sum of squared fills grows until the least filled
-bins are empty.
+two for one or moving one item between underfull bins. Each step raises the sum of
+squared fills, and steps go on until none does or a round empties no bin more.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from countflow.functions.common import bounded, cut, table
 from countflow.llm.tokens import VOCABULARY, with_sizes
 
-#: Items that are packed together, and rounds of local search over them.
-GROUP_ITEMS, ROUNDS = 8_000, 6
+#: Items that are packed together (a parameter: memory and time of one task).
+GROUP_ITEMS = 8_000
 
 SCHEMA = "container_kind string, container_id string, doc_id long, piece int, start_token long, n_tokens long"
 
@@ -63,77 +62,129 @@ def first_packing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search on the underfull bins of a packing; returns the bins that still hold items."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    where: dict[int, int] = {i: k for k, b in enumerate(bins) for i in b}
-    for _ in range(rounds):
-        open_ = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: -fill[k])
-        if len(open_) < 2:
-            break
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for k in open_:
-            for i in bins[k]:
-                by_size[sizes[i]].append(i)
-        # Pairs come from the emptiest bins, which are to be dissolved.
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k in open_[-max(2, len(open_) // 8) :]:
-            own = bins[k]
-            for x in range(min(len(own), 24)):
-                for y in range(x):
-                    pairs[sizes[own[x]] + sizes[own[y]]].append((own[x], own[y]))
-        changed = 0
-        for k in open_:
-            room = capacity - fill[k]
-            if not room or not fill[k]:
-                continue
-            step = _best(k, room, bins, sizes, fill, where, by_size, pairs)
-            while step:
-                give, take, a = step
-                # Bin k takes `take` from bin a and gives `give` back.
-                for i in take:
-                    bins[a].remove(i)
-                    bins[k].append(i)
-                    where[i] = k
-                for i in give:
-                    bins[k].remove(i)
-                    bins[a].append(i)
-                    where[i] = a
-                d = sum(sizes[i] for i in take) - sum(sizes[i] for i in give)
-                fill[k] += d
-                fill[a] -= d
-                changed += 1
-                room = capacity - fill[k]
-                step = _best(k, room, bins, sizes, fill, where, by_size, pairs) if room else None
-        if not changed:
-            break
-    return [b for b in bins if b]
+class _Search:
+    """Local search over the underfull bins of a packing, which are kept as counts of sizes.
+
+    Items of one size are alike, so a bin has few distinct sizes (their sum is at most the
+    capacity), and so few distinct pairs. Sizes and pair sums on hand are bits of an
+    integer, so that the largest one that fits is found at once.
+    """
+
+    def __init__(self, bins: list[dict[int, int]], capacity: int) -> None:
+        self.bins, self.capacity = bins, capacity
+        self.fill = [sum(s * n for s, n in b.items()) for b in bins]
+        self.version = [0] * len(bins)
+        self.holders: dict[int, set[int]] = defaultdict(set)
+        self.pairs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.sizes = self.sums = 0
+        for k in self.open():
+            self._enter(k)
+
+    def open(self) -> list[int]:
+        return [k for k, f in enumerate(self.fill) if 0 < f < self.capacity]
 
+    def _enter(self, k: int) -> None:
+        own = sorted(self.bins[k])
+        for x, s in enumerate(own):
+            self.holders[s].add(k)
+            self.sizes |= 1 << s
+            for t in own[x + (self.bins[k][s] < 2) :]:
+                self.pairs[s + t].append((k, s, self.version[k]))
+                self.sums |= 1 << s + t
 
-def _best(k, room, bins, sizes, fill, where, by_size, pairs):
-    """A step that fills bin k exactly, or failing that a move into its room; None if there is none.
+    def _leave(self, k: int) -> None:
+        self.version[k] += 1
+        for s in self.bins[k]:
+            self.holders[s].discard(k)
+            if not self.holders[s]:
+                self.sizes &= ~(1 << s)
 
-    The giving bin is never fuller than k, so every step increases the squared fill.
+    def _change(self, k: int, less: tuple[int, ...], more: tuple[int, ...]) -> None:
+        own = self.bins[k]
+        for s in less:
+            own[s] -= 1
+            if not own[s]:
+                del own[s]
+        for s in more:
+            own[s] = own.get(s, 0) + 1
+        self.fill[k] += sum(more) - sum(less)
+
+    def step(self, k: int) -> bool:
+        """The exchange or move that fills bin k most, if one raises the squared fill; whether there was one.
+
+        With d the gain of k, the squared fill grows if k with d is fuller than the giver was.
+        """
+        room, mine, best = self.capacity - self.fill[k], self.fill[k], 0
+        found = None
+        for give in (0, *self.bins[k]):
+            for held, pick in ((self.sizes, self._one), (self.sums, self._two) if give else (0, None)):
+                at = held & (1 << room + give + 1) - 1
+                while at:
+                    total = at.bit_length() - 1
+                    d = total - give
+                    if d <= best:
+                        break
+                    got = pick(k, total, mine + d)
+                    if got is not None:
+                        best, found = d, (give, *got)
+                        break
+                    at ^= 1 << total
+            if best == room:
+                break
+        if found is None:
+            return False
+        give, a, take = found
+        self._leave(k)
+        self._leave(a)
+        back = (give,) if give else ()
+        self._change(k, back, take)
+        self._change(a, take, back)
+        for b in (k, a):
+            if 0 < self.fill[b] < self.capacity:
+                self._enter(b)
+        return True
+
+    def _one(self, k: int, size: int, below: int):
+        others = [a for a in self.holders[size] if a != k and self.fill[a] < below]
+        return (min(others, key=lambda a: (self.fill[a], a)), (size,)) if others else None
+
+    def _two(self, k: int, total: int, below: int):
+        now = self.pairs[total] = [x for x in self.pairs[total] if self.version[x[0]] == x[2]]
+        if not now:
+            self.sums &= ~(1 << total)
+        others = [x for x in now if x[0] != k and self.fill[x[0]] < below]
+        if not others:
+            return None
+        a, s, _ = min(others, key=lambda x: (self.fill[x[0]], x))
+        return a, (s, total - s)
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search on the underfull bins of a packing; returns the bins that still hold items.
+
+    Bins are served from the fullest to the emptiest; each takes the best exchange of one
+    for one, two for one, or move until none raises the squared fill. Rounds follow until
+    one empties no bin.
     """
-    mine = fill[k]
-    for y in (None, *bins[k]):
-        want = room + (sizes[y] if y is not None else 0)
-        give = () if y is None else (y,)
-        for i in by_size.get(want, ())[-4:]:
-            a = where[i]
-            if a != k and fill[a] <= mine and sizes[i] == want:
-                return give, (i,), a
-        if y is not None:
-            for i, j in pairs.get(want, ())[-4:]:
-                a = where[i]
-                if a != k and where[j] == a and fill[a] <= mine:
-                    return give, (i, j), a
-    for size in range(room - 1, max(0, room - 16), -1):
-        for i in by_size.get(size, ())[-2:]:
-            a = where[i]
-            if a != k and fill[a] <= mine:
-                return (), (i,), a
-    return None
+    counts: list[dict[int, int]] = []
+    for b in bins:
+        own: dict[int, int] = defaultdict(int)
+        for i in b:
+            own[sizes[i]] += 1
+        counts.append(dict(own))
+    search = _Search(counts, capacity)
+    while True:
+        before = sum(f > 0 for f in search.fill)
+        for k in sorted(search.open(), key=lambda k: (-search.fill[k], k)):
+            while 0 < search.fill[k] < capacity and search.step(k):
+                pass
+        if sum(f > 0 for f in search.fill) == before:
+            break
+    # Items of a size take the places of that size in order.
+    waiting: dict[int, list[int]] = defaultdict(list)
+    for i in sorted((i for b in bins for i in b), reverse=True):
+        waiting[sizes[i]].append(i)
+    return [[waiting[s].pop() for s in sorted(b) for _ in range(b[s])] for b in counts if b]
 
 
 def pack(sizes: list[int], capacity: int) -> np.ndarray:
@@ -144,18 +195,21 @@ def pack(sizes: list[int], capacity: int) -> np.ndarray:
     return out
 
 
-def _fill_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    kind, group, capacity = key[0], int(key[1]), int(pdf["capacity_tokens"].iloc[0])
+def _places(pdf: pd.DataFrame, capacity: int):
+    """Ids and sizes of a group in a fixed order, their full containers, and what is left to pack."""
     pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
-    doc, size = pdf["doc_id"].to_numpy(), pdf["n_tokens"].to_numpy()
+    doc, size = np.repeat(pdf["doc_id"].to_numpy(), pdf["copies"].to_numpy()), np.repeat(pdf["n_tokens"].to_numpy(), pdf["copies"].to_numpy())
     # Texts beyond the capacity: full containers of their own, and a rest that is packed like a text.
-    whole, rest = size // capacity, size % capacity
-    split = size > capacity
-    n_full = np.where(split, whole, 0)
-    left = np.where(split, rest, size)
-    at = np.repeat(np.arange(len(size)), n_full)
+    n_full = np.where(size > capacity, size // capacity, 0)
+    left = np.where(size > capacity, size % capacity, size)
+    return doc, n_full, left, np.flatnonzero(left > 0)
+
+
+def _fill_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    kind, group, capacity = key[0], int(key[1]), int(pdf["capacity_tokens"].iloc[0])
+    doc, n_full, left, some = _places(pdf, capacity)
+    at = np.repeat(np.arange(len(doc)), n_full)
     piece = np.arange(len(at)) - np.repeat(np.cumsum(n_full) - n_full, n_full)
-    some = np.flatnonzero(left > 0)
     bins = pack(left[some].tolist(), capacity)
     ids = [f"{group}-{k}" for k in bins] + [f"{group}-s{k}" for k in range(len(at))]
     return pd.DataFrame({
@@ -168,36 +222,84 @@ def _fill_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+REPORT = "container_kind string, containers long, before_search long, items long, tokens long"
+
+
+def _report_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    capacity = int(pdf["capacity_tokens"].iloc[0])
+    _, n_full, left, some = _places(pdf, capacity)
+    sizes, full = left[some].tolist(), int(n_full.sum())
+    first = first_packing(sizes, capacity)
+    before = len(first)
+    after = len(improve(first, sizes, capacity))
+    return pd.DataFrame([(key[0], after + full, before + full, len(sizes) + full, sum(sizes) + full * capacity)], columns=[c.split()[0] for c in REPORT.split(", ")])
+
+
+#: Copies of a text that stay together at most.
+COPIES = 1_000
+
+
+def _grouped(sized: DataFrame, kinds: DataFrame, group_items: int):
+    items = cut(sized.filter(F.col("n_tokens") > 0).groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("_n")))
+    n = items.agg(F.sum("_n")).first()[0] or 0
+    groups = max(1, -(-n // group_items))
+    # Repeated rows are counted before they move, and spread in parts of a bounded number of copies.
+    parts = items.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES), F.col("_n") - F.col("_part") * COPIES).alias("copies")
+    parts = parts.select("doc_id", "n_tokens", copies, F.pmod(F.xxhash64("doc_id", "n_tokens", "_part"), F.lit(groups)).alias("_g"))
+    kinds = kinds.filter(F.col("capacity_tokens") > 0).select("container_kind", "capacity_tokens")
+    # Each text is wanted once per kind: the few kinds ride along as one array.
+    every = bounded(kinds.agg(F.collect_list(F.struct("container_kind", "capacity_tokens")).alias("_kinds")))
+    rows = parts.join(every, F.lit(True)).withColumn("_k", F.explode("_kinds"))
+    return rows.select("doc_id", "n_tokens", "copies", "_g", F.col("_k.container_kind").alias("container_kind"), F.col("_k.capacity_tokens").alias("capacity_tokens")).groupBy("container_kind", "_g")
+
+
 def fill_containers(sized: DataFrame, kinds: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Every text in a container of each kind: (container_kind, container_id, doc_id, piece, start_token, n_tokens).
 
     sized: doc_id, n_tokens. kinds: container_kind, capacity_tokens (positive). A text is
     split only where it alone exceeds the capacity: into full containers and one rest. Texts
     without tokens (null or empty) need no place and are left out; repeated rows are placed
-    each. Groups are formed by a hash of the id, so their size depends on no key.
+    each. Groups are formed by a hash of id and size, so they depend on no key and on no
+    partitioning.
     """
-    items = cut(sized.filter(F.col("n_tokens") > 0).select("doc_id", "n_tokens"))
-    n = items.count()
-    groups = max(1, -(-n // group_items))
-    # Repeated ids would share a group; the row's own number spreads them.
-    spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups))
-    kinds = bounded(kinds.filter(F.col("capacity_tokens") > 0).select("container_kind", "capacity_tokens"))
-    # Each text is wanted once per kind: the few kinds ride along as one array.
-    every = F.broadcast(kinds.agg(F.collect_list(F.struct("container_kind", "capacity_tokens")).alias("_kinds")))
-    rows = items.withColumn("_g", spread).join(every, F.lit(True)).withColumn("_k", F.explode("_kinds"))
-    rows = rows.select("doc_id", "n_tokens", "_g", F.col("_k.container_kind").alias("container_kind"), F.col("_k.capacity_tokens").alias("capacity_tokens"))
-    return rows.groupBy("container_kind", "_g").applyInPandas(_fill_group, SCHEMA)
+    return _grouped(sized, kinds, group_items).applyInPandas(_fill_group, SCHEMA)
+
+
+def report(sized: DataFrame, kinds: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """Per kind: containers after and before the search, the least number that could hold all tokens, items, tokens and the share of the capacity used."""
+    out = _grouped(sized, kinds, group_items).applyInPandas(_report_group, REPORT)
+    out = out.groupBy("container_kind").agg(*[F.sum(c).alias(c) for c in ("containers", "before_search", "items", "tokens")]).join(bounded(kinds), "container_kind")
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers")
+    return out.select("container_kind", "capacity_tokens", "containers", "before_search", least, "items", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("share_used"))
+
+
+def _sized(spark, sf_dir: str, vocabulary: str) -> DataFrame:
+    return with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
 def p7_containers(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    sized = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return fill_containers(sized, table(spark, sf_dir, "container_sizes"))
+    return fill_containers(_sized(spark, sf_dir, vocabulary), table(spark, sf_dir, "container_sizes"))
 
 
 def p7_report(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per kind: containers, items, tokens and the share of the capacity that is used."""
-    sizes = bounded(table(spark, sf_dir, "container_sizes"))
-    packed = p7_containers(spark, sf_dir, vocabulary)
-    bins = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("items"))
-    out = bins.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"))
-    return out.join(sizes, "container_kind").withColumn("share_used", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+    return report(_sized(spark, sf_dir, vocabulary), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_by_characters(spark, sf_dir: str) -> DataFrame:
+    """The same packing with sizes in characters, which SQL can count: texts, pieces and characters placed, and faults (none may occur)."""
+    kinds = table(spark, sf_dir, "container_sizes")
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_tokens"))
+    packed = fill_containers(sized, kinds)
+    bins = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    full = bins.join(bounded(kinds), "container_kind").groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("upto"))
+    held = texts.groupBy("container_kind").agg(F.count(F.lit(1)).alias("texts"), F.sum("pieces").alias("pieces"), F.sum("n").alias("characters"), F.count_if(F.col("n") != F.col("upto")).alias("gaps"))
+    return held.join(full, "container_kind")
+
+
+BY_CHARACTERS = """
+select container_kind, count(*) as texts, cast(sum(case when n <= capacity_tokens then 1 else (n + capacity_tokens - 1) // capacity_tokens end) as bigint) as pieces,
+  cast(sum(n) as bigint) as characters, cast(0 as bigint) as gaps, cast(0 as bigint) as overfull
+from (select doc_id, length(text) as n from documents where length(text) > 0) d cross join container_sizes group by container_kind
+"""
