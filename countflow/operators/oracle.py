@@ -70,8 +70,9 @@ def _p6(t: str, c: str) -> str:
     real = c in ("percent_expected_vote", "results_normalized_margin") or t == "current_loads" and c.startswith("results_")
     v = f"case when isnan({c}) then null else {c} end" if real else c
     number = "cast(null as double)" if text else "{a}(epoch(" + c + "))" if c in _TIME else "cast({a}(" + v + ") as double)"
+    whole = "cast(null as bigint)" if text or real else "epoch_us({a}(" + c + "))" if c in _TIME else "{a}(" + c + ")"
     words = "{a}(" + c + ")" if text else "cast(null as varchar)"
-    return f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({v}) as n_null, count(distinct {v}) as n_distinct, {number.format(a='min')} as low, {number.format(a='max')} as high, {words.format(a='min')} as low_text, {words.format(a='max')} as high_text, '{t}' as table_name from {t}"
+    return f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({v}) as n_null, count(distinct {v}) as n_distinct, {number.format(a='min')} as low, {number.format(a='max')} as high, {whole.format(a='min')} as low_whole, {whole.format(a='max')} as high_whole, {words.format(a='min')} as low_text, {words.format(a='max')} as high_text, '{t}' as table_name from {t}"
 
 
 P6_PROFILE = " union all ".join(_p6(t, c) for t, cs in _COLUMNS.items() for c in cs)

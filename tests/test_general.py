@@ -157,9 +157,83 @@ def test_profile_with_and_without_statistics(spark, tmp_path):
     assert (out["n"].n_null, out["n"].n_distinct, out["n"].low) == (8, 0, None)
 
 
-def test_footers_spare_clean_files(spark, tmp_path):
-    low = [(1, 1.0, 0.5, 5.0, "")] * 10
-    spark.createDataFrame(low, LOAD).coalesce(1).write.parquet(str(tmp_path / "l.parquet"))
-    chunks = quality.footers(spark, spark.read.parquet(str(tmp_path / "l.parquet"))).filter(F.col("column_name") == "percent_expected_vote").collect()
-    assert len(chunks) == 1 and chunks[0].extrema_valid and not chunks[0].nulls_valid
-    assert quality.range_breaks(spark, spark.read.parquet(str(tmp_path / "l.parquet"))).count() == 0
+def test_profile_of_every_kind_is_exact(spark, tmp_path):
+    import decimal
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 300
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 100) for i in range(n)]
+    t = pa.table({
+        "big": pa.array([9007199254740993 + i for i in range(n)]), "day": pa.array(days), "money": pa.array([decimal.Decimal(i % 50) / 4 for i in range(n)], pa.decimal128(10, 2)),
+        "flag": pa.array([i % 3 == 0 for i in range(n)]), "small": pa.array([i % 7 - 3 for i in range(n)], pa.int8()), "when": pa.array([T0 + datetime.timedelta(microseconds=i) for i in range(n)], pa.timestamp("us")),
+        "long_text": pa.array(["x" * 100 + str(i % 9) for i in range(n)]), "raw": pa.array([bytes([i % 5]) for i in range(n)]), "real": pa.array([float(i % 20) if i % 4 else math.nan for i in range(n)], pa.float32()), "zero": pa.array([0.0 if i % 2 else -0.0 for i in range(n)]),
+    })
+    (tmp_path / "k.parquet").mkdir()
+    for k, options in enumerate(({}, {"use_dictionary": False}, {"dictionary_pagesize_limit": 64, "compression": "zstd"}, {"data_page_version": "2.0", "compression": "gzip", "write_statistics": False})):
+        pq.write_table(t, tmp_path / f"k.parquet/{k}.parquet", row_group_size=130, **options)
+    out = {x.column_name: x for x in quality.profile(spark, spark.read.parquet(str(tmp_path / "k.parquet"))).collect()}
+    assert {c: x.n_distinct for c, x in out.items()} == {"big": n, "day": 100, "money": 50, "flag": 2, "small": 7, "when": n, "long_text": 9, "raw": 5, "real": 15, "zero": 1}
+    assert (out["big"].low_whole, out["big"].high_whole) == (9007199254740993, 9007199254740992 + n)
+    assert (out["day"].low_whole, out["day"].high_whole) == (19723, 19822)
+    assert (out["money"].low_decimal, out["money"].high_decimal) == (0, decimal.Decimal("12.25"))
+    assert (out["flag"].low_whole, out["flag"].high_whole, out["small"].low, out["small"].high) == (0, 1, -3, 3)
+    assert (out["long_text"].low_text, out["long_text"].high_text) == ("x" * 100 + "0", "x" * 100 + "8")
+    assert out["real"].n_null == 4 * 75 and (out["real"].low, out["real"].high) == (1.0, 19.0)
+    assert out["when"].high_whole - out["when"].low_whole == n - 1
+
+
+def test_chunks_apart_count_alone(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "a.parquet").mkdir()
+    for k in range(4):
+        pq.write_table(pa.table({"id": list(range(100 * k, 100 * k + 100)), "s": [f"{k}{i % 10}" for i in range(100)], "both": [i % 13 + 5 * k for i in range(100)]}), tmp_path / f"a.parquet/{k}.parquet")
+    out = {x.column_name: x.n_distinct for x in quality.profile(spark, spark.read.parquet(str(tmp_path / "a.parquet"))).collect()}
+    assert out == {"id": 400, "s": 40, "both": 28}
+
+
+def test_dictionaries_name_all_values_or_nothing(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from countflow.sources import pages
+
+    t = pa.table({"s": pa.array(["b", None, "a", "b"] * 50), "x": pa.array([1.5, None, math.nan, 1.5] * 50), "i": pa.array([3, 4, None, 3] * 50, pa.int32())})
+    for k, (options, some) in enumerate((({}, True), ({"use_dictionary": False}, False), ({"compression": "none"}, True), ({"data_page_size": 16, "write_batch_size": 8, "data_page_version": "2.0"}, True))):
+        path = str(tmp_path / f"{k}.parquet")
+        pq.write_table(t, path, **options)
+        got = [pages.dictionary(path, 0, c) for c in range(3)]
+        assert [g is not None for g in got] == [some] * 3
+        if some:
+            assert got[0].to_pylist() == ["b", "a"] and got[1].to_pylist()[0] == 1.5 and math.isnan(got[1].to_pylist()[1]) and got[2].to_pylist() == [3, 4]
+    unlike = pa.table({"x": [float(i) for i in range(5000)]})
+    pq.write_table(unlike, str(tmp_path / "f.parquet"), dictionary_pagesize_limit=1000, data_page_size=1000, write_batch_size=100)
+    assert pages.dictionary(str(tmp_path / "f.parquet"), 0, 0) is None
+
+
+def test_clean_chunks_are_not_read(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from countflow.sources import pages
+
+    rows = [(1, 1.0, 0.5, 5.0, "")] * 10
+    spark.createDataFrame(rows, LOAD).coalesce(1).write.parquet(str(tmp_path / "l.parquet"))
+    scan = spark.read.parquet(str(tmp_path / "l.parquet"))
+    path = pages.paths(scan).first()[0]
+    _, f = pages.open_file(path)
+    names = [f.metadata.row_group(0).column(c).path_in_schema for c in range(f.metadata.num_columns)]
+    work = pa.RecordBatch.from_pylist([{"path": path, "row_group": 0, "_chunks": [{"column_no": names.index(c), "column_name": c} for c in quality.RULES]}])
+    monkeypatch.setattr(type(f), "read_row_group", lambda *a, **k: pytest.fail("a clean chunk was read"))
+    assert list(quality._break_chunks(iter([work]))) == []
+    monkeypatch.undo()
+    assert quality.form_breaks(scan).count() == 0
+
+
+def test_rows_without_a_load_find_nothing(spark, tmp_path):
+    rows = [(None, -5.0, 7.0, 500.5555, "")] * 3 + [(1, 1.0, 0.5, 5.0, "")] * 3
+    spark.createDataFrame(rows, LOAD).coalesce(1).write.parquet(str(tmp_path / "n.parquet"))
+    reg = spark.createDataFrame([(1, None)], "load_id long, prev_load_id long")
+    assert quality.findings(spark, spark.read.parquet(str(tmp_path / "n.parquet")), reg).count() == 0
