@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,17 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
     """Broadcast hint for a side that is counted first; a larger side is left to Spark's own join choice."""
+    most = BROADCAST_ROWS if most is None else most
     n = df.limit(most + 1).count()
     return F.broadcast(df) if n <= most else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is named (tests)."""
+    """The checkpoint folder that the cluster names; a temporary one only on a local master where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="countflow-"))
     return sc.getCheckpointDir()
 

@@ -10,20 +10,35 @@ states of a key are then merged in order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from countflow.functions.common import bounded, cut, repaired_id, repaired_state, table
+from countflow.functions import common
+from countflow.functions.common import cut, repaired_id, repaired_state, shared_dir, table
 
 CHUNK_ROWS = 50_000
+#: Folders over which offsets are spread where they are too many to broadcast.
+BUCKETS = 512
 
 
-def _number_batches(key: str):
+def _offsets_of(folder: str, split: int) -> dict:
+    """The offsets of one split, read from the folder of its bucket."""
+    fs, path = pa.fs.FileSystem.from_uri(f"{folder}/_b={split % BUCKETS}")
+    if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+        return {}
+    t = ds.dataset(path, filesystem=fs, format="parquet").to_table(filter=ds.field("_s") == int(split))
+    return dict(zip(t.column("_key").to_pylist(), t.column("_offset").to_pylist()))
+
+
+def _number_batches(key: str, folder: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         at = None
@@ -34,7 +49,7 @@ def _number_batches(key: str):
             starts = np.flatnonzero(np.append(True, split[1:] != split[:-1])) if n else []
             for a, b in zip(starts, [*starts[1:], n]):
                 if split[a] != at:
-                    seen, at = {}, split[a]
+                    seen, at = ({} if folder is None else _offsets_of(folder, split[a])), split[a]
                 codes = batch.column(key).slice(int(a), int(b - a)).dictionary_encode()
                 names = [*codes.dictionary.to_pylist(), None]
                 idx = codes.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,9 +85,14 @@ def number_by_key(df: DataFrame, key: str) -> DataFrame:
     offsets = cut(counts.withColumn("_offset", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k"))
     offsets = offsets.select(F.xxhash64("_path", "_start").alias("_s"), "_key", "_offset")
     schema = T.StructType([*split.schema.fields, T.StructField("_n", T.LongType())])
+    if offsets.limit(common.BROADCAST_ROWS + 1).count() > common.BROADCAST_ROWS:
+        # Too many to broadcast: each numbering task fetches those of its own splits, and no row moves.
+        folder = f"{shared_dir(df.sparkSession)}/offsets-{uuid.uuid4().hex}"
+        offsets.withColumn("_b", F.pmod("_s", F.lit(BUCKETS))).repartition("_b").write.partitionBy("_b").parquet(folder)
+        return split.mapInArrow(_number_batches(key, folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"), schema).drop("_split")
     numbered = split.mapInArrow(_number_batches(key), schema)
     same = (F.col("_split") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_key"))
-    out = numbered.join(bounded(offsets), same, "left")
+    out = numbered.join(F.broadcast(offsets), same, "left")
     return out.withColumn("_n", F.col("_n") + F.coalesce("_offset", F.lit(0))).drop("_split", "_s", "_key", "_offset")
 
 

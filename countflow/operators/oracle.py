@@ -48,6 +48,17 @@ _P5 = " union all ".join(_p5(t) for t in ("versioned_results", "result_snapshots
 P5 = f"select table_name, row_id, field from ({_P5})"
 P5_COUNTS = f"select table_name, field, strftime(make_timestamp(epoch_us(received_at)), '%Y-%m-%d') as period, count(*) as n from ({_P5}) group by all"
 
+
+
+def _partial(name: str) -> str:
+    refs = f"select row_id, received_at, {U} as u, {S} as s from {name} where geographic_unit_fips is not null or postal_code is not null"
+    held = f"select 1 from (select {U} as u, {S} as s, added_at, removed_at from baseline_units) b where (t.u is null or b.u = t.u) and (t.s is null or b.s = t.s) and b.added_at <= t.received_at and (b.removed_at is null or b.removed_at > t.received_at)"
+    return f"select '{name}' as table_name, case when u is null then 'postal_code' when s is null then 'geographic_unit_fips' else 'postal_code+geographic_unit_fips' end as field, received_at from ({refs}) t where not exists ({held})"
+
+
+_PARTIAL = " union all ".join(_partial(t) for t in ("versioned_results", "result_snapshots", "current_loads"))
+P5_PARTIAL = f"select table_name, field, strftime(make_timestamp(epoch_us(received_at)), '%Y-%m-%d') as period, count(*) as n from ({_PARTIAL}) group by all"
+
 _RULES = (("results_weights", 0, "1e308", 0), ("results_normalized_margin", -1, 1, 6), ("percent_expected_vote", 0, 105, 2))
 _STACK = " union all ".join(f"select load_id, '{c}' as column_name, case when isnan({c}) then null else {c} end as v, {lo} as lo, {hi} as hi, {10**k}.0 as f from current_loads" for c, lo, hi, k in _RULES)
 P6 = f"""with s as ({_STACK}), t as (select load_id, column_name, count(*) as n, count(*) - count(v) as z, count(distinct v) as u, quantile_cont(v, 0.25) as a, quantile_cont(v, 0.5) as m, quantile_cont(v, 0.75) as b,
@@ -77,4 +88,4 @@ def _p6(t: str, c: str) -> str:
 
 P6_PROFILE = " union all ".join(_p6(t, c) for t, cs in _COLUMNS.items() for c in cs)
 
-SQL = {"p1_last_reading": P1_LAST, "p1_state_rollup": P1_ROLLUP, "p1_arrival_gaps": P1_GAPS, "p3_found": P3, "p3_change_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_orphan_counts": P5_COUNTS, "p6_found": P6, "p6_profile": P6_PROFILE}
+SQL = {"p1_last_reading": P1_LAST, "p1_state_rollup": P1_ROLLUP, "p1_arrival_gaps": P1_GAPS, "p3_found": P3, "p3_change_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_orphan_counts": P5_COUNTS, "p5_partial_counts": P5_PARTIAL, "p6_found": P6, "p6_profile": P6_PROFILE}

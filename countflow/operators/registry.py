@@ -13,6 +13,7 @@ QUERIES = {
     "p4_grid": grid.p4_grid,
     "p5_found": orphans.p5_found,
     "p5_orphan_counts": orphans.orphan_counts,
+    "p5_partial_counts": orphans.partial_counts,
     "p6_found": quality.p6_found,
     "p6_profile": quality.p6_profile,
 }

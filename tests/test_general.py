@@ -141,6 +141,31 @@ def test_quartiles_are_exact(spark):
     assert out[3].median is None and out[3].n_null == 1 and out[3].n_distinct == 0
 
 
+def test_partial_keys_are_matched_mask_by_mask(spark):
+    import itertools
+
+    rng = np.random.default_rng(8)
+    pick = lambda *v: v[rng.integers(len(v))]
+    target = [(pick("a", "b", None), pick("x", "y", "z", None), at(int(rng.integers(0, 20))), pick(None, at(int(rng.integers(20, 40))))) for _ in range(25)]
+    refs = [(i, pick("a", "b", "c", None), pick("x", "y", "w", None), pick(at(int(rng.integers(0, 45))), None)) for i in range(120)] * 2
+    t = spark.createDataFrame(target, "p string, q string, added_at timestamp, removed_at timestamp")
+    r = spark.createDataFrame(refs, "id long, p string, q string, at timestamp")
+    for match, masks in (("partial", {(1, 0), (0, 1), (1, 1)}), ("simple", {(1, 1)})):
+        want = []
+        for i, p, q, when in refs:
+            mask = (int(p is not None), int(q is not None))
+            if mask in masks:
+                held = any((p is None or p == tp) and (q is None or q == tq) and when is not None and a <= when and (e is None or e > when) for tp, tq, a, e in target)
+                want += [] if held else [(i, "+".join(itertools.compress("pq", mask)))]
+        got = [(x.id, x._field) for x in orphans.orphans(r, {("p", "q"): t}, "at", match).collect()]
+        assert sorted(got) == sorted(want) and want
+
+
+def test_orphans_scan_each_table_once(spark, data):
+    plan = orphans.p5_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_id") and sum(line.count("Relation [row_id") for line in plan.split("\n")) == 3
+
+
 def test_profile_with_and_without_statistics(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
