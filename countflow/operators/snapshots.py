@@ -8,6 +8,8 @@ typed changes. No snapshot is joined with another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,8 +30,26 @@ def sequence(register: DataFrame, series: str = "election_id", at: str = "taken_
     return done.select("snapshot_id", series, F.row_number().over(w).cast("long").alias("seq"), F.lead("snapshot_id").over(w).alias("next_id"))
 
 
+def _latest(keys: list[str], order: list[str]):
+    """Of several rows of a key in one batch only the last by order goes on; nulls come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows > 1:
+                by = [(c, "ascending") for c in (*keys, *order)]
+                batch = batch.take(pc.sort_indices(batch, sort_keys=by, null_placement="at_start"))
+                last = np.append(grouped.new_group(batch, keys)[1:], True)
+                batch = batch.filter(pa.array(last))
+            yield batch
+
+    return run
+
+
 def _merge(columns: list[str]):
     def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        # Copies that met only now: the last of a key and snapshot counts.
+        t = t.filter(pa.array(np.append(grouped.new_group(t, ["election_id", "unit", "seq"])[1:], True)))
+        starts = np.flatnonzero(grouped.new_group(t, ["election_id", "unit"]))
         n = t.num_rows
         seq, at, later = (grouped.ints(t, c) if c != "next_id" else np.nan_to_num(grouped.floats(t, c), nan=-1).astype(np.int64) for c in ("seq", "snapshot_id", "next_id"))
         first = np.zeros(n, bool)
@@ -61,16 +81,17 @@ def changes(snapshots: DataFrame, register: DataFrame, compare: list[str]) -> Da
     earliest; among equal ones the largest by the compared columns). Null differs from
     every value and equals null. Rows without a unit have no key and are passed over, as
     are rows of snapshots that the register does not name. Copies of a unit are reduced
-    before the shuffle, so a unit repeated without end costs one row per task.
+    batch by batch before the one shuffle, so a unit repeated without end costs one row per
+    batch. A compared NaN differs from everything.
     """
     seq = bounded(sequence(register))
     inner = {c: f"_c{k}" for k, c in enumerate(compare)}
     rows = snapshots.filter(F.col("unit").isNotNull()).select("snapshot_id", "unit", "last_modified", *[F.col(c).alias(n) for c, n in inner.items()])
     rows, compare = rows.join(seq, "snapshot_id"), list(inner.values())
-    latest = F.max(F.struct("last_modified", *compare)).alias("_last")
-    one = rows.groupBy("election_id", "unit", "seq", "snapshot_id", "next_id").agg(latest)
-    one = one.select("election_id", "unit", "seq", "snapshot_id", "next_id", *[F.col(f"_last.{c}").alias(c) for c in compare])
-    return grouped.map_groups(one, ["election_id", "unit"], ["seq"], _merge(compare), "snapshot_id long, unit string, change_type string", ranged=True)
+    rows = rows.select("election_id", "unit", "seq", "snapshot_id", "next_id", "last_modified", *compare)
+    order = ["last_modified", *compare]
+    one = rows.mapInArrow(_latest(["election_id", "unit", "seq"], order), rows.schema)
+    return grouped.map_groups(one, ["election_id", "unit"], ["seq", *order], _merge(compare), "snapshot_id long, unit string, change_type string", ranged=True)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
