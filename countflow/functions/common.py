@@ -26,6 +26,11 @@ def repaired_state(c: str | Column) -> Column:
     return F.upper(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
 
 
+def seeded(c: str | Column, seed: int) -> Column:
+    """A seeded shuffle as a number: the first 60 bits of a hash that every SQL engine has, so that an order can be rebuilt anywhere."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(c).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def nan_to_null(c: str | Column) -> Column:
     return F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
 

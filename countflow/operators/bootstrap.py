@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countflow.functions.common import bounded
 from countflow.functions.nulls import half_even, strict_ratio
 from countflow.operators.solvers import Ridge, choose_ridge, quantile_regression
 from countflow.operators.units import NONREPORTING, REPORTING, UNEXPECTED
@@ -26,7 +27,8 @@ class BootstrapError(Exception):
     """Contradictory calls, unknown contests or wrong weights."""
 
 
-#: Grids of levels below and above the median; the upper grid's 26th step lies a hair above .75, as wanted.
+#: Grids of levels below and above the median (fixed values). Built by repeated steps, as the method's grid is: from the
+#: 25th step on the upper levels lie a hair above the decimal, so that a level at which n tau is whole takes the next error.
 TAUS_LOWER, TAUS_UPPER = np.arange(0.01, 0.5, 0.01), np.arange(0.5, 1, 0.01)
 TAUS = np.concatenate([TAUS_LOWER, TAUS_UPPER])
 IQR_SCALE = 1.349
@@ -102,6 +104,39 @@ class Stratum:
         return float(((self.inverse(np.array(0.75)) - self.inverse(np.array(0.25))) / IQR_SCALE) ** 2)
 
 
+def strata_points(units: DataFrame, residual: str, by: list[str], taus: list[float], worst: tuple[float, float]) -> DataFrame:
+    """Points of each stratum's error distribution (q_0, q_1, ... in order of taus), with its worst cases; null errors are left out."""
+    rows = units.filter(F.col(residual).isNotNull()).select(*by, F.col(residual).cast("double").alias("_e"))
+    at = [int(np.abs(TAUS - t).argmin()) for t in taus]
+    fields = [f for f in rows.schema.fields if f.name in by]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[by].head(1).copy()
+        points = Stratum(pdf["_e"].to_numpy(), worst).points
+        for k, i in enumerate(at):
+            out[f"q_{k}"] = float(points[i])
+        return out
+
+    return rows.groupBy(*by).applyInPandas(run, T.StructType([*fields, *(T.StructField(f"q_{k}", T.DoubleType()) for k in range(len(taus)))]))
+
+
+def coefficients(units: DataFrame, y: str, features: list[str], weight: str, by: list[str], ridge: float = 0.0) -> DataFrame:
+    """The weighted ridge fit of y per scope: intercept and one coefficient per feature, null where they cannot be told apart. Rows with nulls are left out."""
+    rows = units.dropna(subset=[y, *features, weight]).select(*by, F.col(y).alias("_y"), F.col(weight).alias("_w"), *features)
+    names = ["intercept", *features]
+    fields = [f for f in rows.schema.fields if f.name in by]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
+        w = pdf["_w"].to_numpy(float)
+        beta = np.full(len(names), np.nan)
+        if w.sum() > 0 and np.linalg.matrix_rank(x[w > 0]) == len(names):
+            beta = Ridge(x, w, ridge).fit(pdf["_y"].to_numpy(float))
+        return pdf[by].head(1).assign(**{n: [None if np.isnan(v) else float(v)] for n, v in zip(names, beta)})
+
+    return rows.groupBy(*by).applyInPandas(run, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
 class Additive(Stratum):
     """A stratum of several label columns: additive quantile fits over all of them."""
 
@@ -353,7 +388,7 @@ def group_intervals(draws_: DataFrame, predictions: DataFrame, by: list[str], al
     p = F.col("pred_margin")
     low, high = F.least(p - F.col("_hi"), p - 0.001), F.greatest(p - F.col("_lo"), p + 0.001)
     if called is not None:
-        j = j.join(F.broadcast(called.withColumnRenamed("contest", by[-1])), by[-1], "left")
+        j = j.join(bounded(called.withColumnRenamed("contest", by[-1])), by[-1], "left")
         call, stop = F.coalesce("call", F.lit(-1)), F.coalesce("stop", F.lit(False))
         low = F.when((low < 0) & (call == 1), CALLED).otherwise(low)
         high = F.when((high > 0) & (call == 0), -CALLED).otherwise(high)
@@ -376,8 +411,8 @@ def national_summary(predictions: DataFrame, draws_: DataFrame, weights: DataFra
         raise BootstrapError("every contest needs a weight")
     d = draws_.join(predictions.select(*by, "pred_margin"), by).withColumn("_x", F.col("pred_margin") - (F.col("e1") - F.col("e2")))
     share = d.groupBy(*by).agg(F.avg((F.col("_x") > 0).cast("double")).alias("_up"), F.avg((F.col("_x") < 0).cast("double")).alias("_down"))
-    j = predictions.join(share, by, "left").join(F.broadcast(weights), key)
-    j = j.join(F.broadcast(called.withColumnRenamed("contest", key)), key, "left") if called is not None else j.withColumns({"call": F.lit(-1), "stop": F.lit(False)})
+    j = predictions.join(share, by, "left").join(bounded(weights), key)
+    j = j.join(bounded(called.withColumnRenamed("contest", key)), key, "left") if called is not None else j.withColumns({"call": F.lit(-1), "stop": F.lit(False)})
     ahead = F.col("pred_margin") > 0
     up, down = F.coalesce("_up", ahead.cast("double")), F.coalesce("_down", (~ahead).cast("double"))
     open_ = F.coalesce("call", F.lit(-1)) == -1

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countflow.functions.common import bounded, seeded
 from countflow.functions.nulls import half_even, larger
-from countflow.operators.ordered import inflate, population_correction, weighted_median, weighted_quantile
+from countflow.operators.ordered import inflate, linear_quantile, population_correction, weighted_median, weighted_quantile
 from countflow.operators.solvers import quantile_regression, sigma_bound
 from countflow.operators.units import NONREPORTING, REPORTING
 
@@ -38,7 +39,7 @@ def gaussian_minimum() -> float:
 def split(reporting: DataFrame, fraction: float, scope: list[str] = (), seed: int = SEED) -> DataFrame:
     """`train` marks the first floor(n * fraction) units in a seeded order that no partitioning changes."""
     w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "geographic_unit_fips"), "geographic_unit_fips"))
+    place = F.row_number().over(w.orderBy(seeded("geographic_unit_fips", seed), "geographic_unit_fips"))
     return reporting.withColumn("train", place <= F.floor(F.count(F.lit(1)).over(w) * F.lit(fraction)))
 
 
@@ -56,7 +57,7 @@ def to_votes(e: str, rate: Column) -> Column:
 
 def predict_swing(units: DataFrame, e: str, scope: list[str] = ()) -> DataFrame:
     """pred_e of every unit by uniform swing; counted results where the unit is not open."""
-    s = F.broadcast(swing(units, e, 0.5, scope))
+    s = bounded(swing(units, e, 0.5, scope))
     joined = units.join(s, list(scope), "left") if scope else units.join(s, F.lit(True), "left")
     return joined.withColumn(f"pred_{e}", F.when(F.col("role") == NONREPORTING, to_votes(e, F.col("swing"))).otherwise(F.col(f"results_{e}"))).drop("swing")
 
@@ -112,7 +113,7 @@ def bounds(units: DataFrame, e: str, alpha: float, fraction: float, scope: list[
         a = weighted_quantile(train, list(scope), f"residuals_{e}", f"last_election_results_{e}", lo, ["geographic_unit_fips"], "lower_raw")
         b = weighted_quantile(train, list(scope), f"residuals_{e}", f"last_election_results_{e}", hi, ["geographic_unit_fips"], "upper_raw")
         on = list(scope)
-        both = both.join(F.broadcast(a), on, "left").join(F.broadcast(b), on, "left") if on else both.join(F.broadcast(a), F.lit(True), "left").join(F.broadcast(b), F.lit(True), "left")
+        both = both.join(bounded(a), on, "left").join(bounded(b), on, "left") if on else both.join(bounded(a), F.lit(True), "left").join(bounded(b), F.lit(True), "left")
     both = both.filter(~F.col("train")).withColumn("calibration", F.col("role") == REPORTING)
     r = F.col(f"residuals_{e}")
     return both.withColumns({"lower_score": F.when(F.col("calibration"), F.col("lower_raw") - r), "upper_score": F.when(F.col("calibration"), r - F.col("upper_raw"))})
@@ -130,22 +131,13 @@ def nonparametric(bounded_units: DataFrame, e: str, alpha: float, scope: list[st
     cal = cal.withColumn("_q", F.lit(alpha) * (1 + 1 / n))
     c = population_correction(cal, list(scope), "score", f"last_election_results_{e}", F.col("_q"), ["geographic_unit_fips"])
     if robust:
-        plain = _plain_quantile(cal, list(scope))
+        plain = linear_quantile(cal, list(scope), "score", F.col("_q"), ["geographic_unit_fips"], "_plain")
         c = (c.join(plain, list(scope)) if scope else c.join(plain, F.lit(True))).withColumn("correction", F.greatest("correction", "_plain")).drop("_plain")
     rows = bounded_units.filter(~F.col("calibration"))
-    rows = rows.join(F.broadcast(c), list(scope), "left") if scope else rows.join(F.broadcast(c), F.lit(True), "left")
+    rows = rows.join(bounded(c), list(scope), "left") if scope else rows.join(bounded(c), F.lit(True), "left")
     return _in_votes(rows, e, alpha, F.col("correction"), F.col("correction"))
 
 
-def _plain_quantile(cal: DataFrame, scope: list[str]) -> DataFrame:
-    """Linear-interpolation quantile of the scores at each scope's own level."""
-    part = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    rows = cal.withColumns({"_k": F.row_number().over(part.orderBy("score", "geographic_unit_fips")) - 1, "_m": F.count(F.lit(1)).over(part)})
-    h = F.least(F.col("_q"), F.lit(1.0)) * (F.col("_m") - 1)
-    lo, hi = F.max(F.when(F.col("_k") == F.floor(h), F.col("score"))), F.max(F.when(F.col("_k") == F.ceil(h), F.col("score")))
-    return rows.withColumn("_h", h).groupBy(*scope).agg((lo + (F.max("_h") - F.floor(F.max("_h"))) * (hi - lo)).alias("_plain"))
-
-
 def _in_votes(rows: DataFrame, e: str, alpha: float, low, high) -> DataFrame:
     return rows.withColumns({f"lower_{alpha}_{e}": to_votes(e, F.col("lower_raw") - low), f"upper_{alpha}_{e}": to_votes(e, F.col("upper_raw") + high)})
 
@@ -186,6 +178,12 @@ def group_models(cal: DataFrame, e: str, alpha: float, keys: list[str], scope: l
     return base
 
 
+def group_counts(units: DataFrame, keys: list[str], scope: list[str] = ()) -> DataFrame:
+    """Reporting units per group of modeled units, 0 where only open ones are."""
+    modeled = units.filter(F.col("role").isin(REPORTING, NONREPORTING))
+    return modeled.groupBy(*scope, *keys).agg(F.sum((F.col("role") == REPORTING).cast("long")).alias("n"))
+
+
 def fallback_models(cal: DataFrame, wanted: DataFrame, e: str, alpha: float, keys: list[str], scope: list[str] = (), least: int = GAUSSIAN_GROUP, **how) -> DataFrame:
     """For every group of `wanted` the model of its longest key prefix with at least `least` calibration units.
 
@@ -207,7 +205,7 @@ def fallback_models(cal: DataFrame, wanted: DataFrame, e: str, alpha: float, key
 
 def gaussian(bounded_units: DataFrame, e: str, alpha: float, scope: list[str] = (), **how) -> DataFrame:
     """Unit intervals of open units from one Gaussian model of the calibration scores per scope."""
-    m = F.broadcast(group_models(bounded_units.filter("calibration"), e, alpha, [], scope, **how).drop("n"))
+    m = bounded(group_models(bounded_units.filter("calibration"), e, alpha, [], scope, **how).drop("n"))
     rows = bounded_units.filter(~F.col("calibration"))
     rows = rows.join(m, list(scope), "left") if scope else rows.join(m, F.lit(True), "left")
     z = NormalDist().inv_cdf((3 + alpha) / 4)

@@ -194,3 +194,8 @@ def p4_grid(spark, sf_dir: str) -> DataFrame:
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
     return p4_grid(spark, sf_dir).filter("missing").select("election_id", "geographic_unit_fips", "period_start")
+
+
+def periods(spark, sf_dir: str) -> DataFrame:
+    """The periods of the grid with their readings, without the smoothed levels."""
+    return p4_grid(spark, sf_dir).select("election_id", "geographic_unit_fips", "period_start", "n_readings", "missing")

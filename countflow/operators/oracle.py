@@ -35,6 +35,15 @@ P4 = f"""with r as (select distinct election_id, {U} as u, cast(floor(epoch(last
  select g.election_id, g.u as geographic_unit_fips, g.p * 600 as period_start from g left join r on g.election_id = r.election_id and g.u = r.u and g.p = r.p where r.p is null"""
 
 
+P2_IMPOSSIBLE = " union all ".join(f"select row_id, '{c}' as field from versioned_results where {c} < 0" + (f" or ({c} > 105 and not isnan({c}))" if c == "percent_expected_vote" else "") for c in ("percent_expected_vote", "results_weights", "results_dem"))
+
+P4_PERIODS = f"""with r as (select election_id, {U} as u, cast(floor(epoch(last_modified) / 600) as bigint) as p, count(*) as n from versioned_results
+ where last_modified <= received_at and last_modified >= received_at - interval 2 day and geographic_unit_fips is not null and election_id is not null
+ and (percent_expected_vote is not null and not isnan(percent_expected_vote) or results_margin is not null) group by 1, 2, 3),
+ g as (select election_id, u, unnest(generate_series(min(p), max(p))) as p from r group by 1, 2)
+ select g.election_id, g.u as geographic_unit_fips, g.p * 600 as period_start, coalesce(n, 0) as n_readings, n is null as missing from g left join r on g.election_id = r.election_id and g.u = r.u and g.p = r.p"""
+
+
 def _p5(name: str) -> str:
     cols = (("geographic_unit_fips", U, "baseline_units"), ("postal_code", S, "state_weights"))
     return " union all ".join(
@@ -88,4 +97,4 @@ def _p6(t: str, c: str) -> str:
 
 P6_PROFILE = " union all ".join(_p6(t, c) for t, cs in _COLUMNS.items() for c in cs)
 
-SQL = {"p1_last_reading": P1_LAST, "p1_state_rollup": P1_ROLLUP, "p1_arrival_gaps": P1_GAPS, "p3_found": P3, "p3_change_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_orphan_counts": P5_COUNTS, "p5_partial_counts": P5_PARTIAL, "p6_found": P6, "p6_profile": P6_PROFILE}
+SQL = {"p1_last_reading": P1_LAST, "p1_state_rollup": P1_ROLLUP, "p1_arrival_gaps": P1_GAPS, "p2_impossible": P2_IMPOSSIBLE, "p4_periods": P4_PERIODS, "p3_found": P3, "p3_change_counts": P3_COUNTS, "p4_found": P4, "p5_found": P5, "p5_orphan_counts": P5_COUNTS, "p5_partial_counts": P5_PARTIAL, "p6_found": P6, "p6_profile": P6_PROFILE}

@@ -39,6 +39,17 @@ def population_correction(df: DataFrame, by: list[str], score: str, weight: str,
     return rows.groupBy(*by).agg(F.min(F.when(over, F.col(score))).alias(name))
 
 
+def linear_quantile(df: DataFrame, by: list[str], value: str, q: Column | float, tie: list[str], name: str) -> DataFrame:
+    """Linear-interpolation quantile per group; q may be a column that is constant in each group. Nulls are left out."""
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    level = F.least((q if isinstance(q, Column) else F.lit(float(q))), F.lit(1.0))
+    rows = df.withColumn("_q", level).filter(F.col(value).isNotNull())
+    rows = rows.withColumns({"_k": F.row_number().over(part.orderBy(value, *tie)) - 1, "_h": F.col("_q") * (F.count(F.lit(1)).over(part) - 1)})
+    h = F.col("_h")
+    lo, hi = F.max(F.when(F.col("_k") == F.floor(h), F.col(value))), F.max(F.when(F.col("_k") == F.ceil(h), F.col(value)))
+    return rows.groupBy(*by).agg((lo + (F.max(h) - F.floor(F.max(h))) * (hi - lo)).alias(name))
+
+
 def inflate(c: str) -> Column:
     """Sum of squares over squared sum."""
     return F.try_divide(F.sum(F.col(c) * F.col(c)), F.pow(F.sum(c), F.lit(2.0)))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countflow.functions.common import seeded
+
 
 def percent_to_n(percent: float, n: int, rounding: str = "up") -> int:
     share = round(percent / 100.0, 2)
@@ -25,7 +27,7 @@ def shuffled(units: DataFrame, seed: int = 0, upweight: dict[str, dict[str, floa
         for value, w in by.items():
             factor = F.when(F.col(column) == value, float(w)).otherwise(factor)
         weight = weight * factor
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "geographic_unit_fips"), 11).cast("double") + 1) / float((1 << 53) + 1)
+    u = (seeded("geographic_unit_fips", seed).cast("double") + 1) / float((1 << 60) + 2)
     key = F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(1e300))
     w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
     forced = F.when(F.col("geographic_unit_fips").isin(list(first)), 0).otherwise(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countflow.operators.units import NONREPORTING, UNEXPECTED
@@ -60,6 +60,13 @@ def all_levels(units: DataFrame, scope: list[str], levels: list[str], e: str) ->
     return out.select(*scope, level.alias("level"), key.alias("key"), f"pred_{e}", "reporting", "units").filter(F.col("key").isNotNull())
 
 
+def district_contests(units: DataFrame, scope: list[str] = (), least: int = 10) -> DataFrame:
+    """Districts that are contests of their own: of states with several districts, and of more than `least` units."""
+    n = units.dropna(subset=["postal_code", "district"]).groupBy(*scope, "postal_code", "district").agg(F.count(F.lit(1)).alias("n"))
+    several = F.count(F.lit(1)).over(Window.partitionBy(*scope, "postal_code")) > 1
+    return n.withColumn("_s", several).filter(F.col("_s") & (F.col("n") > least)).drop("_s")
+
+
 def normalized_margin(units: DataFrame, by: list[str]) -> DataFrame:
     """Predicted and current lead over votes per group; 0 / 0 is 0, anything else over 0 null."""
     from countflow.functions.nulls import strict_ratio

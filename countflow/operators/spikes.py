@@ -310,3 +310,11 @@ def readings(spark, sf_dir: str) -> DataFrame:
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     return wrong_values(readings(spark, sf_dir))
+
+
+def impossible(spark, sf_dir: str) -> DataFrame:
+    """Of the wrong values those that no unit can have by themselves: below 0, or a percent above the highest."""
+    v = readings(spark, sf_dir).select("row_id", *FIELDS)
+    value = F.get(F.array(*[F.col(c).cast("double") for c in FIELDS]), F.array_position(F.array(*[F.lit(c) for c in FIELDS]), F.col("field")).cast("int") - 1)
+    odd = (value < 0) | ((F.col("field") == FIELDS[0]) & (value > MAX_PERCENT))
+    return p2_found(spark, sf_dir).join(v, "row_id").filter(odd).select("row_id", "field")

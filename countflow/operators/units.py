@@ -125,7 +125,18 @@ def check_enough(units: DataFrame, least: float, scope: list[str] = ()) -> None:
         raise NotEnoughUnits(f"Currently {short[0].n} reporting, need at least {least:g}")
 
 
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Units that appear more than once within their keys, with how often."""
+    return df.groupBy(*keys, "geographic_unit_fips").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def ids_by_state(units: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """The ids of units that are not modeled, by reason and state, in order, joined by commas."""
+    odd = units.filter((F.col("unit_category") != "expected") & (F.col("unit_category") != UNEXPECTED))
+    return odd.groupBy(*scope, "unit_category", "postal_code").agg(F.array_join(F.sort_array(F.collect_list("geographic_unit_fips")), ",").alias("units"))
+
+
 def check_unique(units: DataFrame, scope: list[str] = ()) -> None:
-    twice = units.groupBy(*scope, "geographic_unit_fips").count().filter("count > 1").limit(1).collect()
+    twice = duplicates(units, list(scope)).limit(1).collect()
     if twice:
         raise EstimateError(f"At least one unit appears twice: {twice[0].geographic_unit_fips}")

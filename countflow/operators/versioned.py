@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countflow.functions.common import bounded
 from countflow.functions.nulls import ratio
 
 NON_MONOTONE, BATCH, VALID = "non-monotone percent expected vote", "batch_margin", "none"
@@ -27,7 +28,7 @@ def append_current(versions: DataFrame, current: DataFrame, scope: list[str] = (
     """versions with the current values of each unit one second after the last version."""
     last = versions.groupBy(*scope).agg((F.max("last_modified") + F.expr("INTERVAL 1 SECOND")).alias("last_modified"))
     now = current.drop("last_modified")
-    now = now.join(F.broadcast(last), list(scope)) if scope else now.join(F.broadcast(last), F.lit(True))
+    now = now.join(bounded(last), list(scope)) if scope else now.join(bounded(last), F.lit(True))
     return versions.unionByName(now, allowMissingColumns=True)
 
 
@@ -96,7 +97,7 @@ def corrections(open_units: DataFrame, donors: DataFrame, estimates: DataFrame,
     state = [*scope, "postal_code"]
     enough = donors.groupBy(*state).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).drop("_n")
     est = estimates.join(donors.select(*state, "geographic_unit_fips"), [*scope, "geographic_unit_fips"]).withColumnRenamed("geographic_unit_fips", "_donor").withColumnRenamed("percent_expected_vote", "_at")
-    todo = open_units.filter((F.col("percent_expected_vote") >= threshold) & (F.col("geographic_unit_type") == "county")).join(F.broadcast(enough), state, "left_semi")
+    todo = open_units.filter((F.col("percent_expected_vote") >= threshold) & (F.col("geographic_unit_type") == "county")).join(bounded(enough), state, "left_semi")
     todo = todo.select(*state, "geographic_unit_fips", F.bround("percent_expected_vote", 0).cast("long").alias("_at"))
     j = todo.join(est, [*state, "_at"], "left")
     ok = (F.abs(F.col("_at") - F.col("nearest_observed_vote")) < reach) & F.col("est_correction").isNotNull()

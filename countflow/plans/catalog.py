@@ -7,10 +7,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countflow.functions.common import cut, repaired_id, table
+from countflow.functions.common import bounded, cut, repaired_id, table
 from countflow.functions.nulls import half_even
 from countflow.operators import bootstrap, conformal, evaluate, features, measures, ordered, replay, rollup, units, versioned
 from countflow.plans import sql, views
+from countflow.sources import sinks
 from countflow.plans.views import COVARIATES, RESULTS, SCOPE, THRESHOLD
 
 QUERIES: dict = {}
@@ -90,7 +91,7 @@ def non_modeled_priority(spark, d):
 def outlier_rule(spark, d):
     u = views.classified(spark, d).filter("role = 'reporting'")
     med = ordered.weighted_median(u, SCOPE, "turnout_factor", "baseline_weights", ["geographic_unit_fips"], "med")
-    u = u.join(F.broadcast(med), SCOPE)
+    u = u.join(bounded(med), SCOPE)
     return u.withColumn("flag", units.residual_outliers(u, "turnout_factor", "med", 2.0, SCOPE)).filter("flag").select(*KEYS)
 
 
@@ -121,7 +122,17 @@ def id_parse(spark, d):
 @query("q_duplicate_units", f"select l.election_id, {sql.U} as geographic_unit_fips, count(*) as n from current_loads join load_register l using (load_id) where geographic_unit_fips is not null group by 1, 2, load_id having count(*) > 1")
 def duplicate_units(spark, d):
     c = table(spark, d, "current_loads").join(table(spark, d, "load_register").select("load_id", "election_id"), "load_id").withColumn("geographic_unit_fips", repaired_id("geographic_unit_fips"))
-    return c.filter("geographic_unit_fips is not null").groupBy("election_id", "geographic_unit_fips", "load_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("load_id")
+    return units.duplicates(c.filter("geographic_unit_fips is not null"), ["election_id", "load_id"]).drop("load_id")
+
+
+@query("q_unit_ids_by_state", f"{sql.UNITS} select election_id, unit_category, postal_code, string_agg(geographic_unit_fips, ',' order by geographic_unit_fips) as units from roles where unit_category not in ('expected', 'unexpected') group by 1, 2, 3")
+def unit_ids_by_state(spark, d):
+    return units.ids_by_state(views.classified(spark, d), SCOPE)
+
+
+@query("q_whole_units", f"with {sql.CUR} select election_id, geographic_unit_fips from cur where not contains(geographic_unit_fips, '_') or starts_with(geographic_unit_fips, '23') or starts_with(geographic_unit_fips, '31')")
+def whole_units(spark, d):
+    return sinks.whole_units(views.current(spark, d)).select("election_id", "geographic_unit_fips")
 
 
 # --- measures ---
@@ -169,10 +180,15 @@ def grouping_sets(spark, d):
     return rollup.all_levels(_predicted(spark, d), SCOPE, _LEVELS, "dem")
 
 
-@query("q_contests_with_units", f"{sql.UNITS} select election_id, postal_code, count(*) as n, count(distinct district) as districts from roles where postal_code is not null group by 1, 2 having count(*) > 10 and count(distinct district) > 1")
+@query("q_contests_with_units", f"{sql.UNITS} select election_id, postal_code, district, n from (select *, count(*) over (partition by election_id, postal_code) as m from (select election_id, postal_code, district, count(*) as n from roles where postal_code is not null and district is not null group by 1, 2, 3)) where m > 1 and n > 10")
 def contests_with_units(spark, d):
-    u = _classified(spark, d).filter("postal_code is not null").groupBy("election_id", "postal_code")
-    return u.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district").alias("districts")).filter("n > 10 and districts > 1")
+    return rollup.district_contests(_classified(spark, d), SCOPE)
+
+
+@query("q_truth_rollup", f"with {sql.BASE}, {sql.EXPECTED} select election_id, county_classification, sum(true_dem) as raw_results_dem, sum(true_turnout) as raw_results_turnout from expected where county_classification is not null group by 1, 2")
+def truth_rollup(spark, d):
+    e = views.expected(spark, d).filter("county_classification is not null")
+    return evaluate.truth(e, ["election_id", "county_classification"], ["dem", "turnout"])
 
 
 @query("q_baseline_margin_state", f"{sql.UNITS} select election_id, postal_code, round((sum(baseline_dem) - sum(baseline_gop)) / (sum(baseline_turnout) + 1), 6) as baseline_margin from roles where postal_code is not null group by 1, 2")
@@ -214,7 +230,8 @@ def population_correction(spark, d):
 @query("q_quantile_linear", f"{sql.UNITS} select election_id, round(quantile_cont(residuals_dem, 0.05), 6) as q05, round(quantile_cont(residuals_dem, 0.9), 6) as q90 from roles where role = 'reporting' group by 1")
 def quantile_linear(spark, d):
     u = _classified(spark, d).filter("role = 'reporting'")
-    return u.groupBy("election_id").agg(r(F.percentile("residuals_dem", F.lit(0.05))).alias("q05"), r(F.percentile("residuals_dem", F.lit(0.9))).alias("q90"))
+    at = [ordered.linear_quantile(u, SCOPE, "residuals_dem", q, ["geographic_unit_fips"], name) for q, name in ((0.05, "q05"), (0.9, "q90"))]
+    return at[0].join(at[1], SCOPE).withColumns({c: r(c) for c in ("q05", "q90")})
 
 
 # --- features ---
@@ -273,10 +290,17 @@ def separate_state(spark, d):
  select election_id, round((s * sxy - sx * sy) / nullif(s * sxx - sx * sx, 0), 5) as slope, round((sy - (s * sxy - sx * sy) / nullif(s * sxx - sx * sx, 0) * sx) / s, 5) as intercept from n""")
 def ols_normal_equations(spark, d):
     u = _classified(spark, d).filter("role = 'reporting'")
-    w, x, y = F.col("baseline_weights"), F.col("baseline_normalized_margin"), F.col("results_normalized_margin")
-    n = u.groupBy("election_id").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"))
-    slope = F.try_divide(F.expr("s * sxy - sx * sy"), F.expr("s * sxx - sx * sx"))
-    return n.select("election_id", r(slope, 5).alias("slope"), r((F.col("sy") - slope * F.col("sx")) / F.col("s"), 5).alias("intercept"))
+    out = bootstrap.coefficients(u, "results_normalized_margin", ["baseline_normalized_margin"], "baseline_weights", SCOPE)
+    return out.select("election_id", r("baseline_normalized_margin", 5).alias("slope"), r("intercept", 5).alias("intercept"))
+
+
+@query("q_prepared_features", f"""{sql.UNITS}, z as (select r.*, (select count(*) from roles where reporting = 1 and postal_code = 'ZA') > 0 as own from roles r where role <> 'unexpected'),
+ x as (select *, case when own and postal_code = 'ZA' then 0.0::double else age_le_30 end as a, case when postal_code = 'ZA' then age_le_30 else 0.0::double end as b from z)
+ select {sql.K}, case when postal_code in ('ZA', 'none') then 0.0::double else 1.0::double end as intercept, round((a - avg(a) over ()) / nullif(stddev_samp(a) over (), 0), 6) as age_le_30, case when own then round((b - avg(b) over ()) / nullif(stddev_samp(b) over (), 0), 6) end as age_le_30_ZA from x""")
+def prepared_features(spark, d):
+    out, names = features.prepare(_units(spark, d).filter("role <> 'unexpected'"), ["age_le_30"], states=["ZA", "none"])
+    own = r("age_le_30_ZA") if "age_le_30_ZA" in names else F.lit(None).cast("double")
+    return out.select(*KEYS, "intercept", r("age_le_30").alias("age_le_30"), own.alias("age_le_30_ZA"))
 
 
 # --- conformal and Gaussian intervals ---
@@ -293,22 +317,39 @@ def _bounds(spark, d, fraction: float = 0.7, x: list[str] = (), known: DataFrame
     return cut(conformal.bounds(known if known is not None else _units(spark, d), "dem", ALPHA, fraction, SCOPE, list(x)))
 
 
-@query("q_conformal_units_intercept")
+_LO, _HI = f"{(1 - ALPHA) / 2!r}::double", f"{(1 + ALPHA) / 2!r}::double"
+_ORDER = f"cast('0x' || substr(md5('{conformal.SEED}:' || geographic_unit_fips), 1, 15) as bigint), geographic_unit_fips"
+#: The split, the two weighted quantiles of the training residuals, and the scores of the units held back.
+_SPLIT = f"""sp as (select *, row_number() over (partition by election_id order by {_ORDER}) <= floor(count(*) over (partition by election_id) * 0.7::double) as train from roles where role = 'reporting'),
+ cu as (select election_id, residuals_dem as q, sum(last_election_results_dem) over (partition by election_id order by residuals_dem, geographic_unit_fips rows unbounded preceding) as c, sum(last_election_results_dem) over (partition by election_id) as t from sp where train and residuals_dem is not null and last_election_results_dem is not null),
+ qs as (select election_id, min(q) filter (c >= {_LO} * t) as lower_raw, min(q) filter (c >= {_HI} * t) as upper_raw from cu group by 1),
+ bd as (select s.*, lower_raw, upper_raw, case when calibration then lower_raw - residuals_dem end as lower_score, case when calibration then residuals_dem - upper_raw end as upper_score
+ from (select *, true as calibration from sp where not train union all by name select *, false as calibration from roles where role = 'nonreporting') s left join qs using (election_id)),
+ ca as (select *, greatest(lower_score, upper_score) as s, count(*) over (partition by election_id) as n from bd where calibration)"""
+_CORRECT = """co as (select election_id, min(case when c > 0.7 * (1 + 1.0 / n) * t then s end) as correction from (select election_id, s, n, sum(last_election_results_dem) over (partition by election_id order by s, geographic_unit_fips rows unbounded preceding) as c, sum(last_election_results_dem) over (partition by election_id) as t from ca where s is not null) group by 1)"""
+_PLAIN = """co as (select election_id, greatest(correction, lo + (h - floor(h)) * (hi - lo)) as correction from co0 join (select election_id, max(h) as h, max(case when k = floor(h) then s end) as lo, max(case when k = ceil(h) then s end) as hi from
+ (select election_id, s, row_number() over (partition by election_id order by s, geographic_unit_fips) - 1 as k, least(0.7 * (1 + 1.0 / n), 1) * (count(*) over (partition by election_id) - 1) as h from ca where s is not null) group by 1) using (election_id))"""
+_ENDS = "case when correction is null then null else round_even(greatest(last_election_results_dem * (lower_raw - correction + 1), results_dem), 0) end as lower, case when correction is null then null else round_even(greatest(last_election_results_dem * (upper_raw + correction + 1), results_dem), 0) end as upper"
+_INTERVALS = f"in_ as (select {sql.K}, correction, {_ENDS} from bd left join co using (election_id) where role = 'nonreporting')"
+
+
+@query("q_conformal_units_intercept", f"{sql.UNITS}, {_SPLIT}, {_CORRECT}, {_INTERVALS} select {sql.K}, round(correction, 6) as correction, lower, upper from in_")
 def conformal_units(spark, d):
-    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE).select(*KEYS, "correction", *_ends())
+    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE).select(*KEYS, r("correction").alias("correction"), *_ends())
 
 
-@query("q_conformal_robust")
+@query("q_conformal_robust", f"{sql.UNITS}, {_SPLIT}, {_CORRECT.replace('co as', 'co0 as', 1)}, {_PLAIN}, {_INTERVALS} select {sql.K}, round(correction, 6) as correction, lower, upper from in_")
 def conformal_robust(spark, d):
-    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE, robust=True).select(*KEYS, "correction", *_ends())
+    return conformal.nonparametric(_bounds(spark, d), "dem", ALPHA, SCOPE, robust=True).select(*KEYS, r("correction").alias("correction"), *_ends())
 
 
-@query("q_calibration_data")
+@query("q_calibration_data", f"{sql.UNITS}, {_SPLIT} select {sql.K}, round(lower_raw, 6) as lower_raw, round(upper_raw, 6) as upper_raw, round(lower_score, 6) as lower_score, round(upper_score, 6) as upper_score from bd where calibration")
 def calibration_data(spark, d):
-    return _bounds(spark, d).filter("calibration").select(*KEYS, "lower_raw", "upper_raw", "lower_score", "upper_score")
+    return _bounds(spark, d).filter("calibration").select(*KEYS, *[r(c).alias(c) for c in ("lower_raw", "upper_raw", "lower_score", "upper_score")])
 
 
-@query("q_conformal_aggregate")
+@query("q_conformal_aggregate", f"""{sql.PRED}, {_SPLIT}, {_CORRECT}, {_INTERVALS} select election_id, postal_code, coalesce(sum(case when role = 'nonreporting' then pred_dem else results_dem end), 0.0) as pred_dem, coalesce(sum(results_dem), 0.0) as results_dem, cast(sum(reporting) as bigint) as reporting,
+ coalesce(sum(case when role = 'nonreporting' then lower else results_dem end), 0.0) as lower, coalesce(sum(case when role = 'nonreporting' then upper else results_dem end), 0.0) as upper from pred left join in_ using (election_id, postal_code, geographic_unit_fips) where postal_code is not null group by 1, 2""")
 def conformal_aggregate(spark, d):
     u = _units(spark, d)
     ends = conformal.nonparametric(_bounds(spark, d, known=u), "dem", ALPHA, SCOPE).select(*KEYS, *_ends())
@@ -322,8 +363,7 @@ def qr_covariates(spark, d):
 
 @query("q_gaussian_group_counts", f"{sql.UNITS}, a as (select distinct election_id, postal_code, county_classification from roles where role = 'nonreporting'), b as (select election_id, postal_code, county_classification, count(*) as n from roles where role = 'reporting' group by all) select coalesce(a.election_id, b.election_id) as election_id, coalesce(a.postal_code, b.postal_code) as postal_code, coalesce(a.county_classification, b.county_classification) as county_classification, coalesce(n, 0) as n from a full join b on a.election_id = b.election_id and a.postal_code = b.postal_code and a.county_classification is not distinct from b.county_classification")
 def gaussian_group_counts(spark, d):
-    u = _classified(spark, d).filter("role in ('reporting', 'nonreporting')")
-    return u.groupBy("election_id", "postal_code", "county_classification").agg(F.sum((F.col("role") == "reporting").cast("long")).alias("n"))
+    return conformal.group_counts(_classified(spark, d), ["postal_code", "county_classification"], SCOPE)
 
 
 _Z = NormalDist().inv_cdf((3 + ALPHA) / 4)
@@ -367,6 +407,22 @@ def gaussian_fallback(spark, d):
     return m.select("election_id", "postal_code", "county_classification", "level", "n", r("mu_lower").alias("mu_lower"), r("sigma_upper").alias("sigma_upper"))
 
 
+_SD = "sqrt(ww + var_inflate * w * w)"
+
+
+@query("q_gaussian_aggregate_sql", f"""{sql.UNITS}, {_RAW}, m1 as ({_gauss_sql("election_id, postal_code")}), m0 as ({_gauss_sql("election_id")}),
+ su as (select election_id, postal_code, sum(last_election_results_dem * lower_raw) as lo, sum(last_election_results_dem * upper_raw) as hi, sum(last_election_results_dem) as w, sum(last_election_results_dem * last_election_results_dem) as ww, sum(results_dem) as seen from bd where role = 'nonreporting' and postal_code is not null group by 1, 2),
+ mo as (select su.*, case when m1.n >= 10 then 1 when m0.n is not null then 0 end as level, {", ".join(f"case when m1.n >= 10 then m1.{c} else m0.{c} end as {c}" for c in ("var_inflate", "mu_lower", "mu_upper", "sigma_lower", "sigma_upper"))}
+ from su left join m1 using (election_id, postal_code) left join m0 on m0.election_id = su.election_id),
+ en as (select *, greatest(lo - (w * mu_lower + {_Z} * sigma_lower * {_SD}) + w, seen) as l, greatest(hi + (w * mu_upper + {_Z} * sigma_upper * {_SD}) + w, seen) as u, w * mu_lower + {_Z} * sigma_lower * {_SD} is null as no_l, w * mu_upper + {_Z} * sigma_upper * {_SD} is null as no_u from mo),
+ kn as (select election_id, postal_code, sum(results_dem) as known from roles where role <> 'nonreporting' and postal_code is not null group by 1, 2)
+ select coalesce(kn.election_id, en.election_id) as election_id, coalesce(kn.postal_code, en.postal_code) as postal_code, round_even(coalesce(known, 0) + coalesce(case when not no_l then l end, 0), 0) as lower, round_even(coalesce(known, 0) + coalesce(case when not no_u then u end, 0), 0) as upper, level
+ from kn full join en on kn.election_id = en.election_id and kn.postal_code = en.postal_code""")
+def gaussian_aggregate_sql(spark, d):
+    u = _classified(spark, d)
+    return conformal.gaussian_aggregate(_fixed_bounds(spark, d), u, "dem", ALPHA, ["postal_code"], SCOPE, bootstrap=False).select("election_id", "postal_code", *_ends(), "level")
+
+
 @query("q_gaussian_full")
 def gaussian_full(spark, d):
     u = _units(spark, d)
@@ -398,14 +454,20 @@ def nonreporting_bounds(spark, d):
     return out.select(*KEYS, *[r(c).alias(c) for c in ("y_lower", "y_upper", "z_lower", "z_upper")])
 
 
-@query("q_strata_quantiles", f"""{sql.UNITS}, x as (select election_id, county_classification, residuals_dem, row_number() over w as k, count(*) over (partition by election_id, county_classification) as n from roles where role = 'reporting' and residuals_dem is not null window w as (partition by election_id, county_classification order by residuals_dem, geographic_unit_fips))
- select election_id, county_classification, round(min(case when k >= ceil(n * 0.25) then residuals_dem end), 6) as q25, round(min(case when k >= ceil(n * 0.75) then residuals_dem end), 6) as q75 from x group by 1, 2""")
+_WORST = (-0.3, 0.3)
+
+
+def _stratum_sql(tau: float, worst: float, name: str) -> str:
+    return f"""(select election_id, county_classification, round(min(case when k >= ceil(n * {tau!r}::double - 1e-9) then v end), 6) as {name} from (select election_id, county_classification, v, row_number() over (partition by election_id, county_classification order by v) as k, count(*) over (partition by election_id, county_classification) as n
+ from (select election_id, county_classification, v from er union all select distinct election_id, county_classification, {worst}::double from er)) group by 1, 2)"""
+
+
+@query("q_strata_quantiles", f"""{sql.UNITS}, er as (select election_id, coalesce(county_classification, '') as county_classification, residuals_dem as v from roles where role = 'reporting' and residuals_dem is not null)
+ select * from {_stratum_sql(0.2, _WORST[0], "q20")} join {_stratum_sql(0.7, _WORST[1], "q70")} using (election_id, county_classification)""")
 def strata_quantiles(spark, d):
-    u = _classified(spark, d).filter("role = 'reporting' and residuals_dem is not null")
-    w = Window.partitionBy("election_id", "county_classification")
-    u = u.withColumns({"k": F.row_number().over(w.orderBy("residuals_dem", "geographic_unit_fips")), "n": F.count(F.lit(1)).over(w)})
-    at = lambda q: r(F.min(F.when(F.col("k") >= F.ceil(F.col("n") * F.lit(q)), F.col("residuals_dem"))))
-    return u.groupBy("election_id", "county_classification").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
+    u = _classified(spark, d).filter("role = 'reporting'").fillna("", ["county_classification"])
+    out = bootstrap.strata_points(u, "residuals_dem", ["election_id", "county_classification"], [0.2, 0.7], _WORST)
+    return out.select("election_id", "county_classification", r("q_0").alias("q20"), r("q_1").alias("q70"))
 
 
 #: A lead prediction that SQL can rebuild: open units keep their baseline lead at their last turnout.
@@ -426,15 +488,39 @@ def normalized_margin_state(spark, d):
 @query("q_called_contests", f"{sql.UNITS}, {_SIMPLE} select election_id, postal_code, round(case when postal_code in ('ZA', 'XG') then greatest(pred_margin, 0.005) when postal_code = 'QC' then least(pred_margin, -0.005) else pred_margin end, 6) as pred_margin from nm")
 def called_contests(spark, d):
     c = bootstrap.calls(spark, {"lhs": ["ZA", "XG"], "rhs": ["QC"]}, {"ZA", "XG", "QC"}).withColumnRenamed("contest", "postal_code")
-    j = _leads(spark, d).join(F.broadcast(c), "postal_code", "left")
+    j = _leads(spark, d).join(bounded(c), "postal_code", "left")
     return j.select("election_id", "postal_code", r(bootstrap.apply_call(F.col("pred_margin"), F.col("call"))).alias("pred_margin"))
 
 
-@query("q_national_summary_hard", f"{sql.UNITS}, {_SIMPLE} select election_id, round_even(sum(case when pred_margin > 0 then nat_sum_weight else 0 end) + 3, 2) as agg_pred from nm join (select {sql.S} as postal_code, max(nat_sum_weight) as nat_sum_weight from state_weights where removed_at is null group by 1) w using (postal_code) group by 1")
+_WEIGHTS = f"(select {sql.S} as postal_code, max(nat_sum_weight) as nat_sum_weight from state_weights where removed_at is null group by 1) w"
+
+
+def _national(spark, d, temperature: float | None = None) -> DataFrame:
+    """The summary of the simple leads, which have no draws and so no doubt."""
+    w = table(spark, d, "state_weights").filter("removed_at is null").groupBy(F.upper(F.trim("postal_code")).alias("postal_code")).agg(F.max("nat_sum_weight").cast("double").alias("weight"))
+    leads = _leads(spark, d).join(w, "postal_code", "left_semi")
+    none = spark.createDataFrame([], "election_id string, postal_code string, draw int, e1 double, e2 double")
+    return bootstrap.national_summary(leads, none, w, ["election_id", "postal_code"], ALPHA, 500, base=3.0, temperature=temperature)
+
+
+@query("q_national_summary_hard", f"{sql.UNITS}, {_SIMPLE}, g as (select election_id, round_even(sum(case when pred_margin > 0 then nat_sum_weight else 0 end) + 3, 2) as agg_pred from nm join {_WEIGHTS} using (postal_code) group by 1) select election_id, agg_pred, agg_pred as lower, agg_pred as upper from g")
 def national_summary_hard(spark, d):
-    w = table(spark, d, "state_weights").filter("removed_at is null").groupBy(F.upper(F.trim("postal_code")).alias("postal_code")).agg(F.max("nat_sum_weight").alias("weight"))
-    j = _leads(spark, d).join(F.broadcast(w), "postal_code")
-    return j.groupBy("election_id").agg(F.bround(F.sum(F.when(F.col("pred_margin") > 0, F.col("weight")).otherwise(0)).cast("double") + 3, 2).alias("agg_pred"))
+    return _national(spark, d).withColumnsRenamed({f"lower_{ALPHA}": "lower", f"upper_{ALPHA}": "upper"})
+
+
+@query("q_national_summary_soft", f"{sql.UNITS}, {_SIMPLE} select election_id, round_even(sum(nat_sum_weight / (1 + exp(-50.0 * pred_margin))) + 3, 2) as agg_pred from nm join {_WEIGHTS} using (postal_code) group by 1")
+def national_summary_soft(spark, d):
+    return _national(spark, d, 50.0).select("election_id", "agg_pred")
+
+
+@query("q_anchor", f"""{sql.UNITS}, {_SIMPLE}, sb as (select election_id, geographic_unit_fips as key, case when results_weights = 0 and results_margin = 0 then 0 when results_weights = 0 then null else results_margin / results_weights end as now_, case when pred_turnout = 0 and pred_margin = 0 then 0 when pred_turnout = 0 then null else pred_margin / pred_turnout end as then_ from pm where role <> 'unexpected')
+ select {", ".join("o." + c for c in KEYS)}, round(then_ + (results_normalized_margin - now_), 6) as pred_anchored from (select *, case when contains(geographic_unit_fips, '_') then split_part(geographic_unit_fips, '_', 2) else geographic_unit_fips end as key from roles where role = 'nonreporting') o left join sb on sb.election_id = o.election_id and sb.key = o.key""")
+def anchor(spark, d):
+    u = _classified(spark, d)
+    open_ = F.col("role") == "nonreporting"
+    lead = half_even(F.col("baseline_normalized_margin") * F.col("baseline_weights"))
+    sibling = u.filter("role <> 'unexpected'").withColumns({"pred_margin": F.when(open_, lead).otherwise(F.col("results_margin")), "pred_turnout": F.when(open_, F.col("baseline_weights")).otherwise(F.col("results_weights"))})
+    return bootstrap.anchor(u.filter(open_), sibling, SCOPE).select(*KEYS, r("pred_anchored").alias("pred_anchored"))
 
 
 _DRAWS = bootstrap.Settings(ridge=None)
@@ -523,6 +609,34 @@ def extrapolation_stats(spark, d):
     return out.select(*KEYS, *[r(c).alias(c) for c in names], "est_correction_count")
 
 
+@query("q_extrapolation", f"""{SQL["q_extrapolation_stats"].split(" select t.election_id")[0]}, st as (select t.election_id, t.postal_code, t.unit as geographic_unit_fips, t.at as pc, avg(c) as m, max(c) - min(c) as s from todo t left join de on de.election_id = t.election_id and de.postal_code = t.postal_code and de.p = t.at group by all)
+ select election_id, postal_code, geographic_unit_fips, round(pc / 100.0 + m, 6) as pred_extrapolate, round(s, 6) as pred_extrapolate_std from st""")
+def extrapolation(spark, d):
+    todo, donors, est = _donors(spark, d)
+    found = versioned.corrections(todo, donors, est, SCOPE, threshold=40.0)
+    # The lead so far is known here by the percent alone, so that SQL can rebuild it.
+    lead = todo.withColumn("results_normalized_margin", F.bround("percent_expected_vote", 0) / 100.0)
+    out = versioned.extrapolate(lead.join(found.select(*KEYS), KEYS, "left_semi"), found, SCOPE, spread="max_min")
+    return out.select(*KEYS, r("pred_extrapolate").alias("pred_extrapolate"), r("pred_extrapolate_std").alias("pred_extrapolate_std"))
+
+
+@query("q_append_current", f"""with {sql.CUR}, v as (select election_id, last_modified from versioned_results where election_id is not null and last_modified is not null), l as (select election_id, max(last_modified) + interval 1 second as last_modified from v group by 1),
+ s as (select election_id, last_modified from v union all select cur.election_id, l.last_modified from cur join l using (election_id)) select election_id, count(*) as n, epoch_us(max(last_modified)) as last_us from s group by 1""")
+def append_current(spark, d):
+    v = table(spark, d, "versioned_results").filter("election_id is not null and last_modified is not null").select("election_id", "geographic_unit_fips", "last_modified")
+    s = versioned.append_current(v, views.current(spark, d).select("election_id", "geographic_unit_fips"), SCOPE)
+    return s.groupBy("election_id").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("last_modified")).alias("last_us"))
+
+
+_SPAN = ("2012-01-01 00:00:00", "2020-12-31 23:59:59")
+
+
+@query("q_versions_between", f"select election_id, count(*) as n from versioned_results where last_modified >= timestamp '{_SPAN[0]}' and last_modified <= timestamp '{_SPAN[1]}' and last_modified is not null and election_id is not null group by 1")
+def versions_between(spark, d):
+    v = versioned.between(table(spark, d, "versioned_results"), *_SPAN)
+    return v.filter("election_id is not null").groupBy("election_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("q_version_thinning", "select snapshot_id, election_id from (select *, dense_rank() over (partition by election_id order by taken_at) as k from snapshot_register) where (k - 1) % 2 = 0")
 def version_thinning(spark, d):
     return versioned.thin(table(spark, d, "snapshot_register"), 2, ["election_id"], "taken_at").select("snapshot_id", "election_id")
@@ -563,7 +677,11 @@ def replay_split(spark, d):
     return replay.percent(b, 40, ["dem"]).select("geographic_unit_fips", "results_dem", "raw_results_dem", "percent_expected_vote")
 
 
-@query("q_replay_shuffle")
+_U = "(cast('0x' || substr(md5('7:' || geographic_unit_fips), 1, 15) as bigint)::double + 1) / 1152921504606846978::double"
+
+
+@query("q_replay_shuffle", f"""with {sql.BASE}, o as (select *, row_number() over (order by case when geographic_unit_fips = '39601' then 0 else 1 end, -ln({_U}) / (case when postal_code = 'ZA' then 5.0::double else 1.0::double end * case when county_classification = 'central' then 0.2::double else 1.0::double end), geographic_unit_fips) as place from base where true_dem is not null),
+ f as (select geographic_unit_fips, place, case when place <= 495 then true_dem else 0 end as results_dem, true_dem as raw_results_dem, case when place <= 495 then 100.0 else 0.0 end as percent_expected_vote from o) select * from f union all select geographic_unit_fips || (place - 1), place, results_dem, raw_results_dem, percent_expected_vote from f where place <= 5""")
 def replay_shuffle(spark, d):
     b = replay.shuffled(views.baseline(spark, d).filter("results_dem is not null"), 7, {"postal_code": {"ZA": 5.0}, "county_classification": {"central": 0.2}}, ["39601"])
     return replay.first_n(b, 500, ["dem"], unexpected=5).select("geographic_unit_fips", "place", "results_dem", "raw_results_dem", "percent_expected_vote")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from countflow import config
 from countflow.config import Contest, Request
-from countflow.functions.common import cut
+from countflow.functions.common import bounded, cut
 from countflow.operators import bootstrap, conformal, evaluate, features, measures, rollup, units, versioned
 from countflow.sources import readers
 
@@ -181,7 +181,7 @@ class Client:
                 name = F.concat_ws("_", *keys)
                 pred, draws = cut(pred.withColumn("contest", name)), draws.withColumn("contest", name)
                 calls = bootstrap.calls(self.spark, called, {x.contest for x in pred.select("contest").collect()})
-                j = pred.join(F.broadcast(calls), "contest", "left")
+                j = pred.join(bounded(calls), "contest", "left")
                 pred = j.withColumn("pred_margin", bootstrap.apply_call(F.col("pred_margin"), F.col("call"))).drop("call", "stop")
                 self._summary = (pred, draws, calls, s)
                 pred = pred.join(rollup.baseline_margin(u, keys), keys, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from countflow.functions.common import repaired_id, repaired_state, table
+from countflow.functions.common import bounded, repaired_id, repaired_state, table
 from countflow.functions.nulls import clean
 from countflow.operators import measures, units
 
@@ -28,7 +28,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last load of every election, repaired; of several rows of a unit the last written."""
     last = table(spark, sf_dir, "load_register").groupBy("election_id").agg(F.max("load_id").alias("load_id"))
-    c = table(spark, sf_dir, "current_loads").join(F.broadcast(last), "load_id")
+    c = table(spark, sf_dir, "current_loads").join(bounded(last), "load_id")
     c = clean(c).withColumns({"geographic_unit_fips": repaired_id("geographic_unit_fips"), "postal_code": repaired_state("postal_code")}).filter(F.col("geographic_unit_fips").isNotNull())
     w = Window.partitionBy("election_id", "geographic_unit_fips").orderBy(F.col("row_id").desc())
     c = c.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
