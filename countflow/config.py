@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 #: Roll-ups by office and their order, and what a request may name.
 AGGREGATE_ORDER = ["postal_code", "district", "county_classification", "county_fips", "unit"]
 DISTRICT_OFFICES = ("H", "Y", "Z")
+SAVED = ("results", "data", "config", "conformalization")
 METHODS = ("nonparametric", "gaussian", "bootstrap")
 UNREPORTING = ("drop", "zero")
 
@@ -108,18 +109,23 @@ class Request:
     rhs_called_contests: list[str] = field(default_factory=list)
     stop_model_call: list[str] = field(default_factory=list)
     model_parameters: dict = field(default_factory=dict)
+    save_output: list[str] = field(default_factory=list)
+    output: str | None = None
 
 
 #: Model parameters with the types they may have (fixed values).
 PARAMETERS: dict[str, type | tuple] = {
     "lambda_": (int, float), "robust": bool, "beta": (int, float), "winsorize": bool, "turnout_factor_lower": (int, float), "turnout_factor_upper": (int, float),
     "unit_blocklist": list, "postal_code_blocklist": list, "fit_margin_outlier_model": bool, "fit_turnout_outlier_model": bool, "outlier_z_threshold": (int, float),
-    "B": int, "strata": list, "T": (int, float), "agg_model_hard_threshold": bool, "seed": int, "states_for_separate_model": list,
+    "B": int, "strata": list, "T": (int, float), "agg_model_hard_threshold": bool, "seed": int, "states_for_separate_model": list, "contest_correlations": list,
+    "y_LB": (int, float), "y_UB": (int, float), "z_LB": (int, float), "z_UB": (int, float), "y_unobserved_lower_bound": (int, float), "y_unobserved_upper_bound": (int, float),
+    "z_unobserved_lower_bound": (int, float), "z_unobserved_upper_bound": (int, float), "percent_expected_vote_error_bound": (int, float),
+    "extrapolate_threshold": (int, float), "min_extrapolating_units": int, "max_dist_to_observed": (int, float), "extrapolate_std_method": str,
 }
 
 
 def validate(contest: Contest, r: Request) -> list[str]:
-    """Raises ValueError where a request names what the contest lacks; returns warnings (unknown measures)."""
+    """Raises ValueError where a request names what the contest lacks; returns warnings (unknown measures and parameters)."""
 
     def check(ok: bool, what: str) -> None:
         if not ok:
@@ -139,4 +145,8 @@ def validate(contest: Contest, r: Request) -> list[str]:
     for name, value in r.model_parameters.items():
         kind = PARAMETERS.get(name)
         check(kind is None or (isinstance(value, kind) and not (isinstance(value, bool) and kind is not bool)), f"model parameter {name} has the wrong type")
-    return [f"measure {e} is not configured" for e in r.measures if e not in contest.measures()]
+    check(r.model_parameters.get("lambda_") is None or r.model_parameters["lambda_"] >= 0, "lambda_ must not be negative")
+    check(r.model_parameters.get("extrapolate_std_method", "std") in ("std", "max_min"), "extrapolate_std_method must be std or max_min")
+    check(set(r.save_output) <= set(SAVED), f"save_output {r.save_output} is not valid, use some of {SAVED}")
+    check(not r.save_output or r.output is not None, "save_output needs a folder (output)")
+    return [f"measure {e} is not configured" for e in r.measures if e not in contest.measures()] + [f"model parameter {p} is not known" for p in r.model_parameters if p not in PARAMETERS]

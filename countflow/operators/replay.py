@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countflow.functions.common import seeded
+from countflow.operators.grouped import prefix_number
 
 
 def percent_to_n(percent: float, n: int, rounding: str = "up") -> int:
@@ -29,9 +30,12 @@ def shuffled(units: DataFrame, seed: int = 0, upweight: dict[str, dict[str, floa
         weight = weight * factor
     u = (seeded("geographic_unit_fips", seed).cast("double") + 1) / float((1 << 60) + 2)
     key = F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(1e300))
-    w = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
     forced = F.when(F.col("geographic_unit_fips").isin(list(first)), 0).otherwise(1)
-    return units.withColumn("place", F.row_number().over(w.orderBy(forced, key, "geographic_unit_fips")))
+    rows = units.withColumns({"_forced": forced, "_key": key})
+    # Keys lie mostly below a few units; buckets of them keep any scope from meeting in one task.
+    bucket = F.when(F.col("_forced") == 0, -1).otherwise(F.floor(F.least("_key", F.lit(1e6)) * 256)).cast("long")
+    rows = prefix_number(rows, list(scope), ["_forced", "_key", "geographic_unit_fips"], bucket, "place")
+    return rows.withColumn("place", F.col("place") + 1).drop("_forced", "_key")
 
 
 def first_n(units: DataFrame, n: int, measures: list[str], unexpected: int = 0, all_columns: bool = False) -> DataFrame:

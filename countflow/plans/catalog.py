@@ -180,9 +180,9 @@ def grouping_sets(spark, d):
     return rollup.all_levels(_predicted(spark, d), SCOPE, _LEVELS, "dem")
 
 
-@query("q_contests_with_units", f"{sql.UNITS} select election_id, postal_code, district, n from (select *, count(*) over (partition by election_id, postal_code) as m from (select election_id, postal_code, district, count(*) as n from roles where postal_code is not null and district is not null group by 1, 2, 3)) where m > 1 and n > 10")
+@query("q_contests_with_units", f"{sql.UNITS} select election_id, postal_code, district, n from (select *, count(*) over (partition by election_id, postal_code) as m from (select election_id, postal_code, district, count(*) as n from roles where postal_code is not null and district is not null group by 1, 2, 3)) where m > 1 and n > 1")
 def contests_with_units(spark, d):
-    return rollup.district_contests(_classified(spark, d), SCOPE)
+    return rollup.district_contests(_classified(spark, d), SCOPE, least=1)
 
 
 @query("q_truth_rollup", f"with {sql.BASE}, {sql.EXPECTED} select election_id, county_classification, sum(true_dem) as raw_results_dem, sum(true_turnout) as raw_results_turnout from expected where county_classification is not null group by 1, 2")
@@ -591,8 +591,11 @@ def _donors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = _versions(spark, d)
     last = v.groupBy("election_id", F.col("unit").alias("geographic_unit_fips")).agg(F.max_by("percent_expected_vote", F.when(F.col("percent_expected_vote").isNotNull(), F.struct("last_modified", "row_id"))).alias("percent_expected_vote"))
     u = last.join(b, "geographic_unit_fips")
-    est = versioned.estimate(v, _VKEYS, "row_id").withColumnRenamed("unit", "geographic_unit_fips")
-    return u.filter("percent_expected_vote >= 40 and percent_expected_vote < 90"), u.filter("percent_expected_vote >= 90").select("election_id", "postal_code", "geographic_unit_fips"), est
+    donors = u.filter("percent_expected_vote >= 90").select("election_id", "postal_code", "geographic_unit_fips")
+    # Only the courses of donors are interpolated.
+    own = v.join(donors.select("election_id", F.col("geographic_unit_fips").alias("unit")), _VKEYS, "left_semi")
+    est = versioned.estimate(own, _VKEYS, "row_id").withColumnRenamed("unit", "geographic_unit_fips")
+    return u.filter("percent_expected_vote >= 40 and percent_expected_vote < 90"), donors, est
 
 
 @query("q_extrapolation_stats", f"""with {sql.BASE}, {sql.ESTIMATE}, lastp as (select election_id, unit, arg_max(pp, (last_modified, row_id)) as p from (select election_id, unit, last_modified, row_id, pp from (select election_id, {sql.U} as unit, last_modified, row_id, case when isnan(percent_expected_vote) then null else percent_expected_vote end as pp, received_at from versioned_results where geographic_unit_fips is not null and election_id is not null) where last_modified <= received_at and last_modified >= received_at - interval 2 day) group by 1, 2),

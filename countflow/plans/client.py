@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from countflow import config
 from countflow.config import Contest, Request
 from countflow.functions.common import bounded, cut
 from countflow.operators import bootstrap, conformal, evaluate, features, measures, rollup, units, versioned
-from countflow.sources import readers
+from countflow.sources import readers, sinks
 
 LOG = logging.getLogger(__name__)
 
@@ -81,17 +83,33 @@ class Client:
         aggregates = r.aggregates or config.default_aggregates(self.contest.office)
         u = self._units(r, current, baseline)
         units.check_unique(u)
+        # Units that are left out of the model, by reason and state.
+        for row in units.ids_by_state(u).collect():
+            LOG.info("%s, %s: %s", row.unit_category, row.postal_code, row.units)
+        if sinks.wanted(r.save_output, "data"):
+            sinks.write_current(readers.read(self.spark, current), f"{r.output}/data")
         for alpha in r.prediction_intervals:
             least = {"nonparametric": lambda a: conformal.nonparametric_minimum(a), "gaussian": lambda a: conformal.gaussian_minimum(), "bootstrap": lambda a: 10}[r.pi_method](alpha)
             units.check_enough(u, least)
         if r.pi_method == "bootstrap":
-            return self._bootstrap(u, r, aggregates, versions, sibling)
+            return self._kept(self._bootstrap(u, r, aggregates, versions, sibling), r)
         tables: dict[str, list[DataFrame]] = {}
         for e in r.measures:
             for name, df in self._conformal(u, r, e, aggregates).items():
                 tables.setdefault(name, []).append(df)
         keys = {name: (["postal_code", "geographic_unit_fips", "reporting"] if name == "unit_data" else [*self._keys(name, aggregates), "reporting"]) for name in tables}
-        return {name: evaluate.merge_measures(dfs, keys[name]) for name, dfs in tables.items()}
+        return self._kept({name: evaluate.merge_measures(dfs, keys[name]) for name, dfs in tables.items()}, r)
+
+    def _kept(self, results: dict[str, DataFrame], r: Request) -> dict[str, DataFrame]:
+        """The results, written first where the request and the environment want that."""
+        if sinks.wanted(r.save_output, "results"):
+            sinks.write_results(results, f"{r.output}/results")
+        if sinks.wanted(r.save_output, "conformalization"):
+            for (alpha, e), df in self.calibration.items():
+                sinks.write_calibration(df, f"{r.output}/{e}", e, "unit", alpha)
+        if sinks.wanted(r.save_output, "config"):
+            sinks.write_json(dataclasses.asdict(self.contest), f"{r.output}/config.json")
+        return results
 
     def _keys(self, name: str, aggregates: list[str]) -> list[str]:
         return next(config.expand(a, self.contest.office) for a in aggregates if a != "unit" and table_name(a) == name)
@@ -154,7 +172,10 @@ class Client:
             raise bootstrap.BootstrapError("the bootstrap fits no fixed effects and no separate states")
         district = config.is_district(self.contest.office)
         contest = ["postal_code", "district"] if district else ["postal_code"]
-        s = bootstrap.Settings(draws=p.get("B", 500), ridge=p.get("lambda_"), seed=p.get("seed", 0), features=list(dict.fromkeys(["baseline_normalized_margin", *r.features])), strata=p.get("strata", ["county_classification"]), contest=contest, correlations=p.get("contest_correlations", []))
+        s = bootstrap.Settings(
+            draws=p.get("B", 500), ridge=p.get("lambda_"), seed=p.get("seed", 0), features=list(dict.fromkeys(["baseline_normalized_margin", *r.features])), strata=p.get("strata", ["county_classification"]), contest=contest, correlations=p.get("contest_correlations", []),
+            y_worst=(p.get("y_LB", -0.3), p.get("y_UB", 0.3)), z_worst=(p.get("z_LB", -0.5), p.get("z_UB", 0.5)), y_unobserved=(p.get("y_unobserved_lower_bound", -1.0), p.get("y_unobserved_upper_bound", 1.0)),
+            z_unobserved=(p.get("z_unobserved_lower_bound", 0.5), p.get("z_unobserved_upper_bound", 1.5)), percent_error=p.get("percent_expected_vote_error_bound", 0.5))
         if versions is not None:
             u = self._extrapolated(u, versions, p)
         if sibling is not None:
@@ -232,7 +253,7 @@ class HistoricalClient(Client):
         past = readers.read(self.spark, past_results)
         need = list(dict.fromkeys([*r.measures, "turnout"]))
         masked = evaluate.mask_history(past.select("postal_code", "geographic_unit_fips", *[f"results_{e}" for e in need]), cur, r.measures, r.percent_reporting_threshold)
-        results = self.get_estimates(r, masked, past_baseline)
+        results = self.estimates = self.get_estimates(r, masked, past_baseline)
         aggregates = r.aggregates or config.default_aggregates(self.contest.office)
         base = readers.read(self.spark, past_baseline).drop(*[f"results_{e}" for e in need])
         known = past.select("geographic_unit_fips", *[f"results_{e}" for e in need]).join(base, "geographic_unit_fips")
@@ -245,3 +266,19 @@ class HistoricalClient(Client):
                     keys = config.expand(a, self.contest.office)
                     out[e][table_name(a)] = evaluate.score(results[table_name(a)], evaluate.truth(known, keys, [e]), keys, [keys[-1]], e, r.prediction_intervals)
         return out
+
+    def evaluate_all(self, r: Request, current, load: Callable[[str], tuple]) -> dict[str, dict]:
+        """evaluate() for every past election that the contest names: {election: {"evaluation": ..., "estimates": ...}}.
+
+        load gives (baseline, results) of an election. Where wanted, evaluations are written as JSON.
+        """
+        if not self.contest.historical_election:
+            raise units.EstimateError("no historical elections prepared")
+        out = {}
+        for election in self.contest.historical_election:
+            evaluation = self.evaluate(r, current, *load(election))
+            out[election] = {"evaluation": evaluation, "estimates": self.estimates}
+            if sinks.wanted(r.save_output, "results"):
+                plain = {e: {t: [row.asDict() for row in df.collect()] for t, df in tables.items()} for e, tables in evaluation.items()}
+                sinks.write_json(plain, f"{r.output}/evaluation/{election}.json")
+        return out

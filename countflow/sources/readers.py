@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from countflow.functions.common import repaired_id
+from countflow.functions.common import bounded, repaired_id
 from countflow.functions.nulls import clean
+from countflow.operators.measures import add_baselines, add_results
+from countflow.operators.units import without_results
+from countflow.operators.versioned import between, thin
 
 #: Ids keep leading zeros, so they are never inferred as numbers.
 ID_COLUMNS = ("postal_code", "geographic_unit_fips", "geographic_unit_type", "county_fips", "county_classification", "district")
@@ -70,19 +73,18 @@ def versions(spark: SparkSession, source, start=None, end=None) -> DataFrame:
     v = read(spark, source)
     v = v.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in v.columns and b not in v.columns})
     v = v.withColumn("geographic_unit_fips", repaired_id("geographic_unit_fips"))
-    if start is not None:
-        v = v.filter(F.col("last_modified") >= F.lit(start).cast("timestamp"))
-    return v if end is None else v.filter(F.col("last_modified") <= F.lit(end).cast("timestamp"))
+    return between(v, start, end)
 
 
-def version_files(spark: SparkSession, path: str, every: int = 2) -> DataFrame:
-    """Every n-th file of a folder of snapshots by time of change, its rows stamped with that time."""
-    from pyspark.sql import Window
+def version_files(spark: SparkSession, path: str, every: int = 2, start=None, end=None) -> DataFrame:
+    """Every n-th file of a folder of snapshots by time of change (within start and end), its rows stamped with that time.
 
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
-    kept = files.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("modificationTime", "path")) - 1).filter(F.col("_k") % every == 0)
-    paths = [r.path for r in kept.select("path").collect()]
-    rows = spark.read.option("header", True).csv(paths).select("*", F.col("_metadata.file_modification_time").alias("last_modified"))
+    Rows are kept by a join with the few names of the files, so no list of files passes the driver.
+    """
+    rows = spark.read.option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("last_modified"))
+    rows = between(rows, start, end)
+    files = thin(rows.select("_path", "last_modified").distinct().withColumn("_at", F.struct("last_modified", "_path")), every, [], "_at").select("_path")
+    rows = rows.join(bounded(files), "_path", "left_semi").drop("_path")
     names = [c for c in rows.columns if c != "last_modified"]
     return clean(rows.select(*[F.col(c) if c in ID_COLUMNS else F.col(c).cast("double").alias(c) for c in names], "last_modified"))
 
@@ -92,6 +94,9 @@ def past_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sibling(baseline_: DataFrame, results: DataFrame, predictions: DataFrame) -> DataFrame:
-    """A sibling contest's baseline with its results and predictions, by unit."""
+    """A sibling contest's baseline with its results and predictions, by unit, and the measures that anchoring compares."""
     keys = ["geographic_unit_fips"]
-    return baseline_.join(results.drop("postal_code"), keys, "left").join(predictions.drop("postal_code"), keys, "left")
+    base = add_baselines(without_results(baseline_), {"margin": "margin"})
+    current_, _ = add_results(results, ["margin"])
+    found = predictions.select(*keys, "pred_margin", "pred_turnout")
+    return base.join(current_.select(*keys, "results_margin", "results_weights"), keys, "left").join(found, keys, "left")

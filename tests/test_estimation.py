@@ -329,8 +329,17 @@ def test_streams(spark, tmp_path):
     schema = spark.read.parquet(str(folder)).schema
     s = latest.stream(spark, str(folder), schema)
     latest.run_available(s, latest.upsert_latest(str(tmp_path / "state"), ["unit"]), str(tmp_path / "c1"))
-    last = sorted(p.name for p in (tmp_path / "state").iterdir())[-1]
-    assert {(r.unit, r.x) for r in spark.read.parquet(str(tmp_path / "state" / last)).collect()} == {("u", 2), ("v", 7), ("w", 3)}
+    state = str(tmp_path / "state")
+    assert {(r.unit, r.x) for r in latest.read_latest(spark, state).collect()} == {("u", 2), ("v", 7), ("w", 3)}
+    # A batch that is run again changes nothing; later rows with earlier times neither; old versions go.
+    sink = latest.upsert_latest(state, ["unit"])
+    late = frame(spark, ["unit", "last_modified", "x"], [("u", 3, 99), ("z", 3, 5)]).withColumn("last_modified", F.timestamp_seconds("last_modified"))
+    for _ in range(2):
+        sink(late, 3)
+        assert {(r.unit, r.x) for r in latest.read_latest(spark, state).collect()} == {("u", 2), ("v", 7), ("w", 3), ("z", 5)}
+    for n in range(4, 8):
+        sink(late, n)
+    assert all(len(list(b.iterdir())) <= 2 for b in (tmp_path / "state/rows").glob("bucket=*")) and latest.read_latest(spark, str(tmp_path / "none")) is None
     got = []
     h = latest.history(latest.without_copies(latest.stream(spark, str(folder), schema), ["unit"], late="1 minute"), ["unit"], ["x"], late=None)
     latest.run_available(h, lambda df, n: got.extend(df.collect()), str(tmp_path / "c2"))
@@ -345,5 +354,5 @@ def test_command_line(spark, tmp_path, tables):
     c.write.parquet(str(tmp_path / "c.parquet"))
     k = contest()
     config.save({k.election_id: [{"office": "S", "states": ["A", "B"], "geographic_unit_types": ["county"], "features": [], "aggregates": ["postal_code", "unit"], "fixed_effect": []}]}, str(tmp_path / "k.json"))
-    out = cli.main([k.election_id, "--config", str(tmp_path / "k.json"), "--office", "S", "--baseline", str(tmp_path / "b.parquet"), "--current", str(tmp_path / "c.parquet"), "--estimands", "turnout", "--prediction_intervals", "0.7", "--output", str(tmp_path / "out")])
+    out = cli.main([k.election_id, "--config", str(tmp_path / "k.json"), "--office_id", "S", "--baseline", str(tmp_path / "b.parquet"), "--current", str(tmp_path / "c.parquet"), "--estimands", "turnout", "--prediction_intervals", "0.7", "--output", str(tmp_path / "out")])
     assert set(out) == {"unit_data", "state_data"} and (tmp_path / "out/state_data").exists()

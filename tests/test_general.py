@@ -41,6 +41,43 @@ def test_changes_of_nothing(spark):
     assert {tuple(x) for x in snapshots.changes(one, r, ["d"]).collect()} == {(2, "a", "removed")}
 
 
+def test_kept_snapshots_are_merged_range_by_range(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def snapshot(n):
+        return [(f"k{rng.integers(300)}" if rng.random() > 0.02 else None, at(int(rng.integers(5))) if rng.random() > 0.1 else None, int(rng.integers(3)) if rng.random() > 0.1 else None) for _ in range(n)]
+
+    snaps = [snapshot(600), snapshot(500), [], snapshot(900)]
+
+    def state(rows):
+        low = (datetime.datetime.min, -1)
+        out = {}
+        for k, t, d in rows:
+            if k is not None:
+                out[k] = max(out.get(k, low), (t or datetime.datetime.min, -1 if d is None else d))
+        return {k: v[1] for k, v in out.items()}
+
+    for n, rows in enumerate(snaps):
+        snapshots.keep(spark.createDataFrame(rows, "unit string, last_modified timestamp, d long"), ["unit"], ["d"], ["last_modified"], str(tmp_path / f"s{n}"), 7)
+    for small in (False, True):
+        if small:
+            # Runs arrive in pieces of three rows.
+            whole = snapshots._range_rows
+            pieces = lambda *a: (t.slice(i, 3) for t in whole(*a) for i in range(0, t.num_rows, 3))
+            olds = [list(snapshots._two_pointers(pieces(f"file://{tmp_path}/s0", r), pieces(f"file://{tmp_path}/s1", r), ["unit"], ["d"])) for r in range(7)]
+            got = {(k, kind) for part in olds for kind, t in part for k in t.column("unit").to_pylist()}
+            a, b = state(snaps[0]), state(snaps[1])
+            assert got == {(k, "added") for k in b.keys() - a.keys()} | {(k, "removed") for k in a.keys() - b.keys()} | {(k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
+            continue
+        for n in range(3):
+            a, b = state(snaps[n]), state(snaps[n + 1])
+            want = {(k, "added") for k in b.keys() - a.keys()} | {(k, "removed") for k in a.keys() - b.keys()} | {(k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
+            out = snapshots.kept_changes(spark, str(tmp_path / f"s{n}"), str(tmp_path / f"s{n + 1}"), ["unit"], ["d"], "unit string", 7)
+            got = [tuple(x) for x in out.collect()]
+            assert len(got) == len(want) and set(got) == want
+            assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 READ = "row_id long, election_id string, unit string, last_modified timestamp, received_at timestamp, percent_expected_vote double, results_margin long"
 
 
