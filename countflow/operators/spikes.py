@@ -33,6 +33,9 @@ PROFILE = (*FIELDS, "results_gop", "results_turnout", "results_margin")
 FAR = 0.12
 SPARSE = 0.05
 RANK_ITERATIONS = 25
+#: For the decomposition alone, entries are held within this many typical sizes of their source: one huge entry would
+#: bend the low-rank part towards itself. An entry that is held back is far from any course and stays a candidate.
+HELD = 20
 
 
 def robust_pca(m: np.ndarray, seen: np.ndarray, iterations: int = RANK_ITERATIONS) -> np.ndarray:
@@ -155,7 +158,7 @@ def find(t: pa.Table, starts: np.ndarray) -> pa.Table:
         with np.errstate(all="ignore"):
             typical = _nanmedian(size)
         typical = np.where(np.isfinite(typical) & (typical > 0), typical, 1.0)
-        s = robust_pca(np.clip(m / typical[:, None, :], -20, 20), seen)
+        s = robust_pca(np.clip(m / typical[:, None, :], -HELD, HELD), seen)
         size = np.abs(s)
         sparse[at[mask]] = size[mask]
         noise[at[mask]] = np.repeat(3 * _nanmedian(np.where(seen, size, np.nan)), mask.sum(axis=1), axis=0)
