@@ -5,20 +5,28 @@ white noise on the slope's derivative). The forward filter and the backward smoo
 over the merged sequence of readings and grid times; at grid times there is nothing to
 observe, and the smoothed level and its standard deviation are the result. Many sources
 advance together, one event at a time, as arrays.
+
+Readings of one source within one minute are one observation, their mean with the
+variance of as many readings. Minutes are combined before the shuffle, so a source has at
+most one row per minute of its time, whatever its share of all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countflow.functions.common import repaired_id, table
-from countflow.operators import grouped, hot_grid
+from countflow.operators import grouped
 from countflow.operators.spikes import _padded
 
 PERIOD_S = 600
+#: Width of one observation in seconds (a part of the period), and rows that a task combines at a time before the shuffle.
+MINUTE_S, COMBINED_ROWS = 60, 200_000
 FIELDS = ("percent_expected_vote", "results_margin")
 #: Standard deviation of a reading as a share of the series' largest size; innovations beyond GATE sds lose weight.
 NOISE, GATE = 0.002, 4.0
@@ -26,10 +34,11 @@ NOISE, GATE = 0.002, 4.0
 SCHEMA = "election_id string, unit string, period_start long, n_readings long, missing boolean, percent_expected_vote double, percent_expected_vote_sd double, results_margin double, results_margin_sd double"
 
 
-def smooth(dt: np.ndarray, x: np.ndarray, r: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smooth(dt: np.ndarray, x: np.ndarray, r: np.ndarray, q: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed levels and variances. dt: sources x events, seconds since the event before; x: sources x
-    events x measures, NaN where nothing is observed; r, q: sources x measures."""
+    events x measures, NaN where nothing is observed; r, q: sources x measures; n: readings that x is the mean of."""
     u, e, f = x.shape
+    n = np.ones(x.shape) if n is None else np.maximum(n, 1)
     level = np.zeros((e, u, f))
     p = np.zeros((e, 3, u, f))
     gain, scaled = np.zeros((e, 2, u, f)), np.zeros((e, 2, u, f))
@@ -48,7 +57,7 @@ def smooth(dt: np.ndarray, x: np.ndarray, r: np.ndarray, q: np.ndarray) -> tuple
         o = seen[:, i]
         if o.any():
             v = np.where(o, x[:, i] - a, 0.0)
-            s = paa + r
+            s = paa + r / n[:, i]
             # A reading far off the prediction counts as a noisier one.
             s = s * np.maximum(v * v / (GATE**2 * s), 1.0)
             inverse = np.where(o, 1.0 / s, 0.0)
@@ -101,17 +110,43 @@ def _trend_noise(t: np.ndarray, x: np.ndarray, group: np.ndarray, n_groups: int)
     return r, np.maximum(q, (1e-7 * (size + 1)) ** 2)
 
 
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per source and minute, over as many rows as a task holds at a time."""
+    names = ["readings", "off", *(f"{x}{c}" for c in range(2) for x in ("s", "k"))]
+    held, rows = [], 0
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).group_by(["election_id", "unit", "minute"]).aggregate([(c, "sum") for c in names])
+        yield from t.rename_columns([c.removesuffix("_sum") for c in t.column_names]).select(["election_id", "unit", "minute", *names]).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= COMBINED_ROWS:
+                yield from sums()
+                held, rows = [], 0
+    if held:
+        yield from sums()
+
+
 def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
-    """The grid rows of a block of whole sources (readings sorted by time)."""
-    n = t.num_rows
-    group = np.zeros(n, np.int64)
+    """The grid rows of a block of whole sources (combined readings sorted by minute)."""
+    group = np.zeros(t.num_rows, np.int64)
     group[starts] = 1
     group = np.cumsum(group) - 1
-    k = len(starts)
-    time = grouped.ints(t, "last_modified") / 1e6
-    values = np.column_stack([grouped.floats(t, c) for c in FIELDS])
+    minute = grouped.ints(t, "minute")
+    at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (minute[1:] != minute[:-1])))
+    held, off, *parts = (np.add.reduceat(grouped.floats(t, c), at) for c in ("readings", "off", "s0", "k0", "s1", "k1"))
+    t, group, minute = t.take(pa.array(at)), group[at], minute[at]
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    n, k = len(group), len(starts)
+    time = minute * float(MINUTE_S) + off / held
+    size = np.column_stack(parts[1::2])
+    with np.errstate(all="ignore"):
+        values = np.where(size > 0, np.column_stack(parts[::2]) / size, np.nan)
     values[~np.isfinite(values)] = np.nan
-    period = np.floor(time / PERIOD_S).astype(np.int64)
+    period = minute // (PERIOD_S // MINUTE_S)
     first = period[starts]
     counts = period[np.append(starts[1:], n) - 1] - first + 1
 
@@ -120,7 +155,8 @@ def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
     # Readings in each period: positions by a joint key of group and period.
     base = int(period.min())
     span = int(period.max()) - base + 2
-    hit, hits = np.unique(group * span + (period - base), return_counts=True)
+    hit, which = np.unique(group * span + (period - base), return_inverse=True)
+    hits = np.bincount(which, weights=held).astype(np.int64)
     want = gg * span + (gp - base)
     at = np.searchsorted(hit, want)
     at = np.minimum(at, len(hit) - 1)
@@ -133,8 +169,9 @@ def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
     ev_time = np.concatenate([time, gp * PERIOD_S + PERIOD_S / 2])
     ev_row = np.concatenate([np.full(n, -1), np.arange(len(gg))])
     ev_value = np.concatenate([values, np.full((len(gg), 2), np.nan)])
+    ev_size = np.concatenate([size, np.ones((len(gg), 2))])
     order = np.lexsort((ev_time, ev_group))
-    ev_group, ev_time, ev_row, ev_value = ev_group[order], ev_time[order], ev_row[order], ev_value[order]
+    ev_group, ev_time, ev_row, ev_value, ev_size = ev_group[order], ev_time[order], ev_row[order], ev_value[order], ev_size[order]
     begin = np.flatnonzero(np.append(True, ev_group[1:] != ev_group[:-1]))
     level, sd = np.full((len(gg), 2), np.nan), np.full((len(gg), 2), np.nan)
     for where, mask, own_groups in _padded(begin, len(ev_group)):
@@ -143,7 +180,7 @@ def regular(t: pa.Table, starts: np.ndarray) -> pa.Table:
         dt[~mask] = 0.0
         x = np.where(mask[:, :, None], ev_value[where], np.nan)
         g = ev_group[begin[own_groups]]
-        a, v = smooth(dt, x, r[g], q[g])
+        a, v = smooth(dt, x, r[g], q[g], ev_size[where])
         rows = np.where(mask, ev_row[where], -1)
         take = rows >= 0
         level[rows[take]], sd[rows[take]] = a[take], np.sqrt(v[take])
@@ -170,9 +207,8 @@ def on_grid(readings: DataFrame) -> DataFrame:
     A reading needs election, unit and a last_modified that is not after received_at and at
     most two days before it, and one of the measures. Values are smoothed levels at the
     middle of the period, sd their standard deviations; a measure that the source never
-    reports is null. `missing` marks periods that hold no reading. Readings of one moment
-    are taken one after the other; repeated rows count as readings of their own. A source of
-    more than grouped.SEGMENT_ROWS readings is streamed with the same result (hot_grid).
+    reports is null. `missing` marks periods that hold no reading. Repeated rows count as
+    readings of their own; infinite values as none.
     """
     r = readings
     for c in FIELDS:
@@ -180,11 +216,12 @@ def on_grid(readings: DataFrame) -> DataFrame:
     timed = (F.col("last_modified") <= F.col("received_at")) & (F.col("last_modified") >= F.col("received_at") - F.expr("INTERVAL 2 DAYS"))
     held = F.col(FIELDS[0]).isNotNull() | F.col(FIELDS[1]).isNotNull()
     r = r.filter(timed & held & F.col("unit").isNotNull() & F.col("election_id").isNotNull())
-    r = r.select("election_id", "unit", "last_modified", "row_id", *FIELDS)
-    keys, order = ["election_id", "unit"], ["last_modified", "row_id"]
-    calm, hot, _ = grouped.split_hot(r, keys, grouped.SEGMENT_ROWS)
-    out = grouped.map_groups(calm, keys, order, regular, SCHEMA)
-    return out if hot is None else out.unionByName(hot_grid.on_grid(hot, keys, order))
+    micros = F.unix_micros("last_modified")
+    minute = F.floor(micros / (MINUTE_S * 1_000_000)).cast("long")
+    each = [e.alias(n) for c, f in enumerate(FIELDS) for e, n in ((F.coalesce(f, F.lit(0.0)), f"s{c}"), (F.col(f).isNotNull().cast("long"), f"k{c}"))]
+    r = r.select("election_id", "unit", minute.alias("minute"), F.lit(1).cast("long").alias("readings"), ((micros - minute * MINUTE_S * 1_000_000) / 1e6).alias("off"), *each)
+    combined = r.mapInArrow(_combine, r.schema)
+    return grouped.map_groups(combined, ["election_id", "unit"], ["minute"], regular, SCHEMA)
 
 
 def p4_grid(spark, sf_dir: str) -> DataFrame:

@@ -13,10 +13,8 @@ from pyspark.sql import types as T
 
 from countflow.functions.common import bounded, cut
 
-#: A group of more rows than this is cut into segments of this size ...
+#: A group of more rows than this is cut into segments of this size.
 SEGMENT_ROWS = 20_000
-#: ... that overlap their neighbours by this many rows on either side.
-HALO_ROWS = 2_000
 #: Rows handed to the function at once.
 BLOCK_ROWS = 60_000
 
@@ -52,33 +50,6 @@ def split_hot(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, Dat
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi"), hot
 
 
-def segmented(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, halo: int) -> DataFrame:
-    """df with `_seg` and `_halo`: groups of more than `rows` rows are cut into overlapping segments.
-
-    Rows of the overlap appear once as themselves and once more, with _halo true, in the
-    neighbouring segment. Groups of usual size pass through untouched in segment 0.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > rows).drop("_k")
-    hot = cut(sizes)
-    calm = df.withColumns({"_seg": F.lit(0).cast("long"), "_halo": F.lit(False)})
-    if hot.limit(1).count() == 0:
-        return calm
-    named = bounded(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    calm = calm.join(named, same, "left_anti")
-    some = prefix_number(df.join(named, same, "left_semi"), keys, order, bucket, "_n")
-    seg, at = F.floor(F.col("_n") / rows).cast("long"), F.col("_n") % rows
-    copies = F.array(
-        F.struct(seg.alias("_seg"), F.lit(False).alias("_halo")),
-        F.when((at < halo) & (seg > 0), F.struct((seg - 1).alias("_seg"), F.lit(True).alias("_halo"))),
-        F.when(at >= rows - halo, F.struct((seg + 1).alias("_seg"), F.lit(True).alias("_halo"))),
-    )
-    some = some.withColumn("_c", F.explode(F.filter(copies, lambda x: x.isNotNull()))).withColumns({"_seg": F.col("_c._seg"), "_halo": F.col("_c._halo")})
-    return calm.unionByName(some.drop("_c", "_n"))
-
-
 def new_group(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """True where any key differs from the row before (null equals null); True at row 0."""
     n = table.num_rows
@@ -102,7 +73,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[p
     """Shuffles by keys, sorts, and calls fn(rows, starts) with whole groups, many in one call.
 
     Groups stream through in blocks of about block_rows rows, so a partition is never held
-    whole; only one group has to fit, which segmented() bounds. ranged partitions by key
+    whole; only one group has to fit, so hot ones are split or combined before. ranged partitions by key
     ranges instead of hashes.
     """
 

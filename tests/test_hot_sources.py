@@ -3,9 +3,10 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 
-from countflow.operators import grid, grouped, hot_grid, spikes
+from countflow.operators import grid, grouped, spikes
 from tests.test_spikes import SCHEMA, D, P, W, course
 
 
@@ -40,14 +41,12 @@ def test_copies_runs_and_spikes_across_segments(spark, monkeypatch, size):
     whole = wrong(spark, rows)
     assert {(20, "results_weights"), (1000, "results_weights"), (1129, "results_weights"), (111, "results_dem"), (1200, "results_dem")} <= whole
     monkeypatch.setattr(grouped, "SEGMENT_ROWS", size)
-    monkeypatch.setattr(grouped, "HALO_ROWS", max(1, size // 10))
     assert wrong(spark, rows) == whole
 
 
 def test_segments_of_all_sources_find_the_same(spark, data, monkeypatch):
     whole = {tuple(x) for x in spikes.p2_found(spark, data).collect()}
     monkeypatch.setattr(grouped, "SEGMENT_ROWS", 40)
-    monkeypatch.setattr(grouped, "HALO_ROWS", 4)
     assert {tuple(x) for x in spikes.p2_found(spark, data).collect()} == whole
 
 
@@ -67,25 +66,35 @@ def night():
     return rows
 
 
-@pytest.mark.parametrize("size", [100, 30])
-def test_crowded_periods_count_all_readings_and_keep_their_levels(spark, data, monkeypatch, size):
+@pytest.mark.parametrize("size,parts", [(100, 1), (7, 5), (1, 3)])
+def test_crowded_periods_count_all_readings_and_keep_their_levels(spark, monkeypatch, size, parts):
+    """However readings are spread over tasks and combined, the grid is the same, copies counted."""
     df = spark.createDataFrame(night(), READ)
     whole = grid.on_grid(df).orderBy("unit", "period_start").collect()
     assert [x.n_readings for x in whole if x.unit == "u"][:3] == [40, 300, 0]
-    monkeypatch.setattr(grouped, "SEGMENT_ROWS", size)
-    monkeypatch.setattr(grouped, "HALO_ROWS", size // 10)
-    monkeypatch.setattr(hot_grid, "PIECE", size)
-    parts = grid.on_grid(df).orderBy("unit", "period_start").collect()
-    assert [x[:5] for x in parts] == [x[:5] for x in whole]
-    for a, b in zip(parts, whole, strict=True):
+    monkeypatch.setattr(grid, "COMBINED_ROWS", size)
+    again = grid.on_grid(df.repartition(parts)).orderBy("unit", "period_start").collect()
+    assert [x[:5] for x in again] == [x[:5] for x in whole]
+    for a, b in zip(again, whole, strict=True):
         assert [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b[5:]] == list(a[5:])
 
 
-def test_large_sources_of_the_tables_keep_their_grid(spark, data, monkeypatch):
-    whole = {x[:3]: x[3:] for x in grid.p4_grid(spark, data).collect()}
-    monkeypatch.setattr(grouped, "SEGMENT_ROWS", 40)
-    parts = {x[:3]: x[3:] for x in grid.p4_grid(spark, data).collect()}
-    assert parts.keys() == whole.keys()
-    for k, b in whole.items():
-        assert parts[k][:2] == b[:2]
-        assert [x if x is None else pytest.approx(x, rel=1e-6, abs=1e-6) for x in b[2:]] == list(parts[k][2:])
+def test_many_copies_of_a_reading_sharpen_it_and_cost_one_row(spark):
+    t = datetime.datetime(2024, 11, 6, 1)
+    at = [(i, "e", "u", t + datetime.timedelta(minutes=10 * i), t + datetime.timedelta(days=1), float(i), 5.0 * i) for i in range(6)]
+    one = {x.period_start: x for x in grid.on_grid(spark.createDataFrame(at, READ)).collect()}
+    many = {x.period_start: x for x in grid.on_grid(spark.createDataFrame(at + [at[3]] * 4000, READ)).collect()}
+    assert [x.n_readings for x in many.values()].count(4001) == 1 and len(many) == len(one) == 6
+    assert all(abs(many[k].percent_expected_vote - one[k].percent_expected_vote) < 0.2 and many[k].percent_expected_vote_sd <= one[k].percent_expected_vote_sd + 1e-9 for k in one)
+
+
+def test_combining_equals_readings_one_by_one():
+    """n readings of one moment as one observation with n: the filter that takes them one after the other ends the same."""
+    rng = np.random.default_rng(2)
+    dt, x = np.array([0.0, 30, 0, 0, 45, 20, 60]), rng.normal(10, 0.01, 7)
+    r, q = np.array([[0.01]]), np.array([[1e-6]])
+    a, v = grid.smooth(dt[None], x[None, :, None], r, q)
+    kept = [0, 1, 4, 5, 6]
+    y = np.array([x[0], x[1:4].mean(), x[4], x[5], x[6]])
+    b, w = grid.smooth(dt[kept][None], y[None, :, None], r, q, np.array([1, 3, 1, 1, 1.0])[None, :, None])
+    assert np.allclose(a[0, [0, 3, 4, 5, 6], 0], b[0, :, 0], atol=1e-6) and np.allclose(v[0, [0, 3, 4, 5, 6], 0], w[0, :, 0], atol=1e-6)

@@ -66,7 +66,7 @@ def test_segments_change_no_result(spark, data, monkeypatch):
     whole = grid.p4_grid(spark, data).select("election_id", "geographic_unit_fips", "period_start", "n_readings", "percent_expected_vote").collect()
     p2 = {tuple(x) for x in spikes.p2_found(spark, data).collect()}
     monkeypatch.setattr(grouped, "SEGMENT_ROWS", 40)
-    monkeypatch.setattr(grouped, "HALO_ROWS", 38)
+    monkeypatch.setattr(grid, "COMBINED_ROWS", 50)
     assert {tuple(x) for x in grid.p4_found(spark, data).collect()} == p4
     parts = grid.p4_grid(spark, data).select("election_id", "geographic_unit_fips", "period_start", "n_readings", "percent_expected_vote").collect()
     assert len(parts) == len(whole)
