@@ -92,6 +92,28 @@ def one_hot(df: DataFrame, effects: dict[str, list[str] | None], known: Levels,
     return df.withColumns(out) if out else df
 
 
+def one_hot_by_scope(df: DataFrame, effects: dict[str, list[str] | None], known: Levels, scope: list[str]) -> DataFrame:
+    """one_hot with holdout values where every scope has levels and a reference of its own.
+
+    Columns are those of all levels that any scope's reporting units have ({effect}_{level});
+    a scope's reference, and levels it lacks, are 0 there. known: levels over all scopes.
+    """
+    seen = F.col("unit_category").eqNullSafe(F.lit("expected")) & (F.col("reporting") == 1)
+    w = Window.partitionBy(*scope)
+    out = df
+    for e, keep in effects.items():
+        v = recode(e, keep).cast("string")
+        out = out.withColumn("_act", F.sort_array(F.collect_set(F.when(seen, v)).over(w)))
+        ref = F.get("_act", F.lit(0))
+        unknown = v.isNotNull() & ~F.array_contains("_act", v)
+        for level in known.active[e]:
+            kept = F.coalesce(F.array_contains("_act", F.lit(level)) & (ref != level), F.lit(False))
+            value = F.when(unknown, 1.0 / F.greatest(F.size("_act"), F.lit(1))).otherwise(F.coalesce((v == level).cast("double"), F.lit(0.0)))
+            out = out.withColumn(f"{e}_{level}", F.when(kept, value).otherwise(0.0))
+        out = out.drop("_act")
+    return out
+
+
 def prepare(df: DataFrame, features: list[str], effects=(), states: list[str] = (), center: bool = True, scale: bool = True, intercept: bool = True) -> tuple[DataFrame, list[str]]:
     """Features ready for a fit: (frame, names). Only states with a reporting unit get features of their own."""
     effects = normalise_effects(effects or {})

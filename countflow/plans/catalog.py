@@ -266,17 +266,17 @@ def selective_fe(spark, d):
 
 
 @query("q_holdout_fe", f"""{sql.UNITS}, x as (select r.*, case when county_classification = 'uplands' and reporting = 1 then 'non-modeled' else unit_category end as uc from roles r where role <> 'unexpected'),
- act as (select list(distinct county_classification) as a from x where uc = 'expected' and reporting = 1 and county_classification is not null),
- y as (select x.*, a, list_min(a) as ref from x, act)
- select {sql.K}, round(case when county_classification is null then 0.0 when not list_contains(a, county_classification) then (len(a) - 1.0) / len(a) when county_classification = ref then 0.0 else 1.0 end, 6) as dummies_sum from y""")
+ act as (select election_id, list(distinct county_classification) as a from x where uc = 'expected' and reporting = 1 and county_classification is not null group by 1),
+ y as (select x.*, coalesce(a, []) as a, list_min(a) as ref from x left join act using (election_id))
+ select {sql.K}, round(case when county_classification is null or len(a) = 0 then 0.0 when not list_contains(a, county_classification) then (len(a) - 1.0) / len(a) when county_classification = ref then 0.0 else 1.0 end, 6) as dummies_sum from y""")
 def holdout_fe(spark, d):
     u = _classified(spark, d).filter("role <> 'unexpected'")
     # No reporting upland unit takes part in the fit, so that level is held out.
     u = u.withColumn("unit_category", F.when((F.col("county_classification") == "uplands") & (F.col("reporting") == 1), "non-modeled").otherwise(F.col("unit_category")))
     e = features.normalise_effects(["county_classification"])
     known = features.levels(u, e)
-    out = features.one_hot(u, e, known, holdout=True)
-    total = sum((F.col(f"county_classification_{v}") for v in known.kept("county_classification")), F.lit(0.0))
+    out = features.one_hot_by_scope(u, e, known, SCOPE)
+    total = sum((F.col(f"county_classification_{v}") for v in known.active["county_classification"]), F.lit(0.0))
     return out.select(*KEYS, r(total).alias("dummies_sum"))
 
 
@@ -590,7 +590,8 @@ def _donors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = views.baseline(spark, d).filter("geographic_unit_type = 'county'").select("postal_code", "geographic_unit_fips", "geographic_unit_type")
     v = _versions(spark, d)
     last = v.groupBy("election_id", F.col("unit").alias("geographic_unit_fips")).agg(F.max_by("percent_expected_vote", F.when(F.col("percent_expected_vote").isNotNull(), F.struct("last_modified", "row_id"))).alias("percent_expected_vote"))
-    u = last.join(b, "geographic_unit_fips")
+    # Few rows that take a pass over all versions: made once.
+    u = cut(last.join(b, "geographic_unit_fips"))
     donors = u.filter("percent_expected_vote >= 90").select("election_id", "postal_code", "geographic_unit_fips")
     # Only the courses of donors are interpolated.
     own = v.join(donors.select("election_id", F.col("geographic_unit_fips").alias("unit")), _VKEYS, "left_semi")
