@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from countflow import config
 from countflow.config import Request
+from countflow.functions import common
 from countflow.operators import replay
 from countflow.plans.client import Client, HistoricalClient
 from countflow.sources import readers, sinks
@@ -101,5 +102,11 @@ def main(argv: list[str] | None = None) -> dict:
     return out
 
 
-if __name__ == "__main__":
+def run() -> None:
+    """main() in a session of its own, which leaves no checkpoints behind."""
     main()
+    common.clear(_session())
+
+
+if __name__ == "__main__":
+    run()

@@ -57,6 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session has checkpointed, at its end: frames that rest on it cannot be read afterwards."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        spark.sparkContext.setCheckpointDir(folder.rsplit("/", 1)[0])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the frame to the shared checkpoint folder and returns it without its lineage."""
     shared_dir(df.sparkSession)

@@ -171,7 +171,12 @@ class Client:
         if r.fixed_effects or p.get("states_for_separate_model"):
             raise bootstrap.BootstrapError("the bootstrap fits no fixed effects and no separate states")
         district = config.is_district(self.contest.office)
-        contest = ["postal_code", "district"] if district else ["postal_code"]
+        contest = ["postal_code"]
+        if district:
+            # A district is a contest of its own where its state has several and it has more than ten units; else its state is.
+            own = rollup.district_contests(u).select("postal_code", "district", F.concat_ws("_", "postal_code", "district").alias("_contest"))
+            u = u.join(bounded(own), ["postal_code", "district"], "left").withColumn("_contest", F.coalesce("_contest", "postal_code"))
+            contest = ["_contest"]
         s = bootstrap.Settings(
             draws=p.get("B", 500), ridge=p.get("lambda_"), seed=p.get("seed", 0), features=list(dict.fromkeys(["baseline_normalized_margin", *r.features])), strata=p.get("strata", ["county_classification"]), contest=contest, correlations=p.get("contest_correlations", []),
             y_worst=(p.get("y_LB", -0.3), p.get("y_UB", 0.3)), z_worst=(p.get("z_LB", -0.5), p.get("z_UB", 0.5)), y_unobserved=(p.get("y_unobserved_lower_bound", -1.0), p.get("y_unobserved_upper_bound", 1.0)),

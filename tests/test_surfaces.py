@@ -146,3 +146,32 @@ def test_sources_hold_no_unchecked_broadcast_and_no_local_checkpoint():
         assert "localCheckpoint" not in text.replace("no `localCheckpoint`", "")
         if path.name not in ("common.py", "chunks.py"):
             assert "broadcast(" not in text, path
+
+
+def test_district_elections(spark, tables):  # noqa: F811
+    b, c = tables
+    number = F.col("geographic_unit_fips").cast("int")
+    district = F.when(F.col("postal_code") == "A", F.when(number % 3 == 0, "1").otherwise("2")).otherwise("9")
+    b = b.withColumn("district", district)
+    k = contest()
+    k.office, k.aggregates = "H", ["postal_code", "district", "unit"]
+    r = Request(["margin"], [0.7], pi_method="bootstrap", model_parameters={"B": 30, "lambda_": 0.1})
+    out = Client(spark, k).get_estimates(r, c, b)
+    d = out["district_data"].toPandas()
+    assert {tuple(x) for x in d[["postal_code", "district"]].itertuples(index=False)} >= {("A", "1"), ("A", "2"), ("B", "9")}
+    assert (d["lower_0.7_margin"] < d.pred_margin).all() and (d["upper_0.7_margin"] > d.pred_margin).all()
+
+
+def test_checkpoints_are_cleared(spark, tmp_path):
+    before = common.shared_dir(spark)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        common.cut(spark.range(5))
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        import os
+
+        assert os.path.exists(folder)
+        common.clear(spark)
+        assert not os.path.exists(folder) and common.cut(spark.range(5)).count() == 5
+    finally:
+        spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
