@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> dict:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = _session()
-    contest = config.from_file(a.config or readers.config_path(a.data_root, a.election_id))[a.election_id, a.office_id]
+    contest = config.from_file(a.config or readers.config_path(a.data_root, a.election_id), spark)[a.election_id, a.office_id]
     r = Request(a.estimands, a.prediction_intervals, a.percent_reporting_threshold, a.geographic_unit_type, a.features, a.aggregates, a.fixed_effects, a.pi_method, a.handle_unreporting, a.lhs_called_contests, a.rhs_called_contests, a.stop_model_call, a.model_parameters, a.save_output, a.output)
 
     def past(election: str) -> DataFrame:

@@ -6,7 +6,9 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from countflow.sources import files
 
 #: Roll-ups by office and their order, and what a request may name.
 AGGREGATE_ORDER = ["postal_code", "district", "county_classification", "county_fips", "unit"]
@@ -71,11 +73,14 @@ def from_dict(config: dict) -> dict[tuple[str, str], Contest]:
     return out
 
 
-def from_file(path: str) -> dict[tuple[str, str], Contest]:
-    return from_dict(json.loads(Path(path).read_text()))
+def from_file(path: str, spark: SparkSession | None = None) -> dict[tuple[str, str], Contest]:
+    """Contests of a JSON file: a local one, or with a session one on any file system."""
+    return from_dict(json.loads(files.read_text(spark, path) if spark is not None else Path(path).read_text()))
 
 
-def save(config: dict, path: str) -> None:
+def save(config: dict, path: str, spark: SparkSession | None = None) -> None:
+    if spark is not None:
+        return files.write_text(spark, path, json.dumps(config))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(config))
 

@@ -96,6 +96,22 @@ def fit_scores(units: DataFrame, e: str, features: list[str], taus: list[float],
     return rows.groupBy(*scope).applyInPandas(run, schema) if scope else rows.groupBy(F.lit(1).alias("_one")).applyInPandas(run, schema)
 
 
+def coefficients(units: DataFrame, e: str, features: list[str], tau: float, scope: list[str]) -> DataFrame:
+    """The quantile fit of the reporting units' residuals per scope: intercept and one coefficient per feature (0 where it depends on others)."""
+    names = ["intercept", *features]
+    rows = units.filter((F.col("role") == REPORTING) & F.col(f"residuals_{e}").isNotNull()).dropna(subset=[*features, f"last_election_results_{e}"])
+    rows = rows.select(*scope, "geographic_unit_fips", F.col(f"residuals_{e}").cast("double").alias("_y"), F.col(f"last_election_results_{e}").cast("double").alias("_w"), *features)
+    fields = [f for f in rows.schema.fields if f.name in scope]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("geographic_unit_fips", kind="stable")
+        x = np.column_stack([np.ones(len(pdf)), pdf[list(features)].to_numpy(float)])
+        beta = quantile_regression(x, pdf["_y"].to_numpy(), tau, pdf["_w"].to_numpy())
+        return pdf[scope].head(1).assign(**dict(zip(names, beta)))
+
+    return rows.groupBy(*scope).applyInPandas(run, T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
 def bounds(units: DataFrame, e: str, alpha: float, fraction: float, scope: list[str] = (), features: list[str] = (), seed: int = SEED) -> DataFrame:
     """Calibration and open units with `lower_raw`/`upper_raw`, the uncalibrated residual quantiles, and `calibration`.
 

@@ -356,6 +356,20 @@ def conformal_aggregate(spark, d):
     return rollup.predictions(_predicted(spark, d, u).join(ends, KEYS, "left"), ["election_id", "postal_code"], "dem", ["lower", "upper"])
 
 
+def _group_quantile(tau: float, group: str) -> str:
+    return f"(select election_id, min(q) filter (c >= {tau!r}::double * t) as v from (select election_id, residuals_dem as q, sum(last_election_results_dem) over (partition by election_id order by residuals_dem, geographic_unit_fips rows unbounded preceding) as c, sum(last_election_results_dem) over (partition by election_id) as t from er where {group}) group by 1)"
+
+
+#: With one 0/1 feature the fit is saturated: the quantile of either group.
+@query("q_quantile_coefficients", f"""{sql.UNITS}, er as (select *, county_classification in ('central', 'uplands') as hot from roles where role = 'reporting' and residuals_dem is not null and county_classification is not null)
+ select a.election_id, round(a.v, 6) as intercept, round(b.v - a.v, 6) as hot from {_group_quantile(0.37, "not hot")} a join {_group_quantile(0.37, "hot")} b using (election_id)""")
+def quantile_coefficients(spark, d):
+    u = _units(spark, d).filter("county_classification is not null").withColumn("hot", F.col("county_classification").isin("central", "uplands").cast("double"))
+    both = u.filter("role = 'reporting'").groupBy(*SCOPE).agg(F.count_distinct("hot").alias("k")).filter("k = 2")
+    out = conformal.coefficients(u.join(both.select(*SCOPE), SCOPE, "left_semi"), "dem", ["hot"], 0.37, SCOPE)
+    return out.select("election_id", r("intercept").alias("intercept"), r("hot").alias("hot"))
+
+
 @query("q_qr_covariates")
 def qr_covariates(spark, d):
     return conformal.nonparametric(_bounds(spark, d, 0.7, COVARIATES), "dem", ALPHA, SCOPE).select(*KEYS, *_ends())

@@ -108,7 +108,7 @@ class Client:
             for (alpha, e), df in self.calibration.items():
                 sinks.write_calibration(df, f"{r.output}/{e}", e, "unit", alpha)
         if sinks.wanted(r.save_output, "config"):
-            sinks.write_json(dataclasses.asdict(self.contest), f"{r.output}/config.json")
+            sinks.write_json(self.spark, dataclasses.asdict(self.contest), f"{r.output}/config.json")
         return results
 
     def _keys(self, name: str, aggregates: list[str]) -> list[str]:
@@ -285,5 +285,5 @@ class HistoricalClient(Client):
             out[election] = {"evaluation": evaluation, "estimates": self.estimates}
             if sinks.wanted(r.save_output, "results"):
                 plain = {e: {t: [row.asDict() for row in df.collect()] for t, df in tables.items()} for e, tables in evaluation.items()}
-                sinks.write_json(plain, f"{r.output}/evaluation/{election}.json")
+                sinks.write_json(self.spark, plain, f"{r.output}/evaluation/{election}.json")
         return out

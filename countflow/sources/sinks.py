@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countflow.sources import files
+
 
 def wanted(save_output: list[str], kind: str) -> bool:
     """Writing is off in a local environment and for kinds that were not asked for."""
@@ -47,9 +48,9 @@ def write_calibration(df: DataFrame, root: str, measure: str, aggregate: str, al
     write(tagged, f"{root}/calibration", kind, ["measure", "aggregate", "alpha"])
 
 
-def write_json(value, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value))
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """A small value as JSON, on any file system."""
+    files.write_text(spark, path, json.dumps(value, default=str))
 
 
 def records(df: DataFrame, key: str) -> dict:

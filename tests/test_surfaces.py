@@ -85,6 +85,17 @@ def test_unknown_parameters_are_named():
     assert config.validate(contest(), Request(["turnout"], model_parameters={"lambda": 3})) == ["model parameter lambda is not known"]
 
 
+def test_small_files_on_any_file_system(spark, tmp_path):
+    from countflow.sources import files
+
+    path = f"file://{tmp_path}/deep/er/k.json"
+    config.save({"e": [{"office": "S", **ALLOWED}]}, path, spark)
+    assert files.exists(spark, path) and not files.exists(spark, path + "x")
+    assert config.from_file(path, spark)["e", "S"].states == ["A", "B"]
+    sinks.write_json(spark, {"a": "Größe"}, path)
+    assert json.loads(files.read_text(spark, path)) == {"a": "Größe"}
+
+
 def test_bounds_reach_the_bootstrap(spark, tables):  # noqa: F811
     b, c = tables
     narrow = {"B": 30, "lambda_": 0.1, "z_unobserved_lower_bound": 0.99, "z_unobserved_upper_bound": 1.01, "y_unobserved_lower_bound": -0.01, "y_unobserved_upper_bound": 0.01, "percent_expected_vote_error_bound": 0.4}
