@@ -509,9 +509,13 @@ def called_contests(spark, d):
 _WEIGHTS = f"(select {sql.S} as postal_code, max(nat_sum_weight) as nat_sum_weight from state_weights where removed_at is null group by 1) w"
 
 
+def _state_weights(spark, d) -> DataFrame:
+    return table(spark, d, "state_weights").filter("removed_at is null").groupBy(F.upper(F.trim("postal_code")).alias("postal_code")).agg(F.max("nat_sum_weight").cast("double").alias("weight"))
+
+
 def _national(spark, d, temperature: float | None = None) -> DataFrame:
     """The summary of the simple leads, which have no draws and so no doubt."""
-    w = table(spark, d, "state_weights").filter("removed_at is null").groupBy(F.upper(F.trim("postal_code")).alias("postal_code")).agg(F.max("nat_sum_weight").cast("double").alias("weight"))
+    w = _state_weights(spark, d)
     leads = _leads(spark, d).join(w, "postal_code", "left_semi")
     none = spark.createDataFrame([], "election_id string, postal_code string, draw int, e1 double, e2 double")
     return bootstrap.national_summary(leads, none, w, ["election_id", "postal_code"], ALPHA, 500, base=3.0, temperature=temperature)
@@ -570,6 +574,65 @@ def bootstrap_national(spark, d):
     return bootstrap.national_summary(p, g, w, ["election_id", "postal_code"], ALPHA, _DRAWS.draws)
 
 
+# --- bootstrap: everything after the draws, with draws that SQL can rebuild ---
+
+_N = 20
+_QLO, _QHI = (f"{q!r}::double" for q in bootstrap.quantile_levels(ALPHA, _N))
+#: Factor on the baseline of each draw: value column, step of the draw number, centre and width.
+_STEPS = {"b1": ("baseline_margin", 5, 2.0, 0.05), "b2": ("baseline_margin", 4, 1.5, 0.04), "b3": ("baseline_weights", 3, 1.0, 0.02), "b4": ("baseline_weights", 2, 0.5, 0.03)}
+_DRAWN = f"""pm as (select *, baseline_dem - baseline_gop as baseline_margin, case when role = 'nonreporting' then round_even(baseline_normalized_margin * baseline_weights, 0) end as pred_m from roles),
+ dr as (select *, {", ".join(f"{c} * (1.0::double + ((k % {m}) - {mid}::double) * {w}::double) as {b}" for b, (c, m, mid, w) in _STEPS.items())} from (select *, unnest(range({_N})) as k from pm where role = 'nonreporting')),
+ fx as (select election_id, postal_code, sum(case when role = 'reporting' then baseline_weights * turnout_factor * results_normalized_margin else results_margin end) as m, sum(case when role = 'reporting' then baseline_weights * turnout_factor else results_weights end) as w from pm where role <> 'nonreporting' and postal_code is not null group by 1, 2),
+ sm as (select election_id, postal_code, k, sum(b1) as s1, sum(b2) as s2, sum(b3) as s3, sum(b4) as s4 from dr where postal_code is not null group by 1, 2, 3),
+ gd as (select election_id, postal_code, k, coalesce((s1 + coalesce(m, 0)) / nullif(s3 + coalesce(w, 0), 0), 0) as e1, coalesce((s2 + coalesce(m, 0)) / nullif(s4 + coalesce(w, 0), 0), 0) as e2 from sm left join fx using (election_id, postal_code))"""
+
+
+def _made_draws(spark, d) -> tuple[DataFrame, DataFrame]:
+    u = _units(spark, d)
+    k = F.sequence(F.lit(0), F.lit(_N - 1))
+    base = {"baseline_margin": F.col("baseline_dem") - F.col("baseline_gop"), "baseline_weights": F.col("baseline_weights")}
+
+    def factors(c: str, m: int, mid: float, w: float) -> Column:
+        return F.transform(k, lambda i: base[c] * (1.0 + (i % m - mid) * w))
+
+    arrays = {b: factors(*step) for b, step in _STEPS.items()}
+    drawn = u.filter("role = 'nonreporting'").withColumns(arrays).withColumn("pred_margin", half_even(F.col("baseline_normalized_margin") * F.col("baseline_weights")))
+    return u, drawn.select("election_id", "geographic_unit_fips", "pred_margin", *_STEPS)
+
+
+@query("q_draw_unit_intervals", f"{sql.UNITS}, {_DRAWN} select election_id, geographic_unit_fips, round_even(max(pred_m) - quantile_cont(b1 - b2, {_QHI}), 0) as lower, round_even(max(pred_m) - quantile_cont(b1 - b2, {_QLO}), 0) as upper from dr group by 1, 2")
+def draw_unit_intervals(spark, d):
+    _, drawn = _made_draws(spark, d)
+    return bootstrap.unit_intervals(drawn, SCOPE, ALPHA, _N).withColumnsRenamed({f"lower_{ALPHA}_margin": "lower", f"upper_{ALPHA}_margin": "upper"})
+
+
+_CALLED = {"lhs": ["ZA"], "rhs": ["XG"], "stop": ["QC"]}
+_SPREAD = f"""sp as (select election_id, postal_code, quantile_cont(e1 - e2, {_QLO}) as lo, quantile_cont(e1 - e2, {_QHI}) as hi from gd group by 1, 2),
+ iv as (select nm.*, least(pred_margin - coalesce(hi, 0), pred_margin - 0.001) as l, greatest(pred_margin - coalesce(lo, 0), pred_margin + 0.001) as u from nm left join sp using (election_id, postal_code))"""
+
+
+@query("q_draw_state_intervals", f"""{sql.UNITS}, {_SIMPLE.replace("pm as", "pn as", 1).replace("from pm", "from pn")}, {_DRAWN}, {_SPREAD}, c1 as (select *, case when l < 0 and postal_code = 'ZA' then 0.005 else l end as l1, case when u > 0 and postal_code = 'XG' then -0.005 else u end as u1 from iv)
+ select election_id, postal_code, round(case when l1 > 0 and postal_code = 'QC' then -0.005 else l1 end, 6) as lower, round(case when u1 < 0 and postal_code = 'QC' then 0.005 else u1 end, 6) as upper from c1 where pred_margin is not null""")
+def draw_state_intervals(spark, d):
+    u, drawn = _made_draws(spark, d)
+    by = ["election_id", "postal_code"]
+    called = bootstrap.calls(spark, _CALLED, {"ZA", "XG", "QC"})
+    out = bootstrap.group_intervals(bootstrap.group_draws(u, drawn, SCOPE, ["postal_code"]), _leads(spark, d).filter("pred_margin is not null"), by, ALPHA, _N, called)
+    return out.select(*by, r(F.col(f"`lower_{ALPHA}_margin`")).alias("lower"), r(F.col(f"`upper_{ALPHA}_margin`")).alias("upper"))
+
+
+@query("q_draw_national", f"""{sql.UNITS}, {_SIMPLE.replace("pm as", "pn as", 1).replace("from pm", "from pn")}, {_DRAWN}, sh as (select g.election_id, g.postal_code, avg(case when n.pred_margin - (e1 - e2) > 0 then 1.0 else 0.0 end) as up, avg(case when n.pred_margin - (e1 - e2) < 0 then 1.0 else 0.0 end) as down from gd g join nm n on n.election_id = g.election_id and n.postal_code = g.postal_code group by 1, 2),
+ x as (select nm.election_id, nm.pred_margin > 0 as ahead, coalesce(up, case when nm.pred_margin > 0 then 1.0 else 0.0 end) as up, coalesce(down, case when nm.pred_margin > 0 then 0.0 else 1.0 end) as down, nat_sum_weight as w, nm.postal_code in ('ZA', 'XG') as called, nm.postal_code = 'QC' as stop from nm join {_WEIGHTS} using (postal_code) left join sh on sh.election_id = nm.election_id and sh.postal_code = nm.postal_code where nm.pred_margin is not null)
+ select election_id, round_even(sum(case when ahead then w else 0 end), 2) as agg_pred, round_even(sum(case when ahead then w else 0 end) - sum(case when ahead and (stop or not called and down > {_QLO}) then w else 0 end), 2) as lower, round_even(sum(case when ahead then w else 0 end) + sum(case when not ahead and (stop or not called and up > {_QLO}) then w else 0 end), 2) as upper from x group by 1""")
+def draw_national(spark, d):
+    u, drawn = _made_draws(spark, d)
+    w = _state_weights(spark, d)
+    leads = _leads(spark, d).filter("pred_margin is not null").join(w, "postal_code", "left_semi")
+    called = bootstrap.calls(spark, _CALLED, {"ZA", "XG", "QC"})
+    out = bootstrap.national_summary(leads, bootstrap.group_draws(u, drawn, SCOPE, ["postal_code"]), w, ["election_id", "postal_code"], ALPHA, _N, called=called)
+    return out.withColumnsRenamed({f"lower_{ALPHA}": "lower", f"upper_{ALPHA}": "upper"})
+
+
 # --- versioned results ---
 
 _VKEYS = ["election_id", "unit"]
