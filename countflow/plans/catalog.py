@@ -622,7 +622,7 @@ def draw_state_intervals(spark, d):
 
 
 @query("q_draw_national", f"""{sql.UNITS}, {_SIMPLE.replace("pm as", "pn as", 1).replace("from pm", "from pn")}, {_DRAWN}, sh as (select g.election_id, g.postal_code, avg(case when n.pred_margin - (e1 - e2) > 0 then 1.0 else 0.0 end) as up, avg(case when n.pred_margin - (e1 - e2) < 0 then 1.0 else 0.0 end) as down from gd g join nm n on n.election_id = g.election_id and n.postal_code = g.postal_code group by 1, 2),
- x as (select nm.election_id, nm.pred_margin > 0 as ahead, coalesce(up, case when nm.pred_margin > 0 then 1.0 else 0.0 end) as up, coalesce(down, case when nm.pred_margin > 0 then 0.0 else 1.0 end) as down, nat_sum_weight as w, nm.postal_code in ('ZA', 'XG') as called, nm.postal_code = 'QC' as stop from nm join {_WEIGHTS} using (postal_code) left join sh on sh.election_id = nm.election_id and sh.postal_code = nm.postal_code where nm.pred_margin is not null)
+ x as (select nm.election_id, nm.pred_margin > 0 as ahead, coalesce(up, case when nm.pred_margin > 0 then 1.0 else 0.0 end) as up, coalesce(down, case when nm.pred_margin > 0 then 0.0 else 1.0 end) as down, nat_sum_weight::double as w, nm.postal_code in ('ZA', 'XG') as called, nm.postal_code = 'QC' as stop from nm join {_WEIGHTS} using (postal_code) left join sh on sh.election_id = nm.election_id and sh.postal_code = nm.postal_code where nm.pred_margin is not null)
  select election_id, round_even(sum(case when ahead then w else 0 end), 2) as agg_pred, round_even(sum(case when ahead then w else 0 end) - sum(case when ahead and (stop or not called and down > {_QLO}) then w else 0 end), 2) as lower, round_even(sum(case when ahead then w else 0 end) + sum(case when not ahead and (stop or not called and up > {_QLO}) then w else 0 end), 2) as upper from x group by 1""")
 def draw_national(spark, d):
     u, drawn = _made_draws(spark, d)
