@@ -49,9 +49,12 @@ class Settings:
     z_unobserved: tuple[float, float] = (0.5, 1.5)
     percent_error: float = 0.5
     correlations: list[tuple[tuple[str, ...], float]] = field(default_factory=list)
+    #: The features are whole columns of the fit already (their own intercept among them), the first `free` without penalty.
+    prepared: bool = False
+    free: int = 1
 
     def __post_init__(self) -> None:
-        if "baseline_normalized_margin" not in self.features:
+        if not self.prepared and "baseline_normalized_margin" not in self.features:
             raise BootstrapError("the bootstrap needs baseline_normalized_margin as a feature")
 
 
@@ -161,7 +164,7 @@ def _by_contest(values: np.ndarray, contest: np.ndarray, n: int) -> np.ndarray:
 def draw(train: dict, test: dict, s: Settings) -> dict[str, np.ndarray]:
     """Draws for the open units of one estimate.
 
-    train, test: x (units x features, the first column constant), contest and stratum
+    train, test: x (units x features, the first column constant unless prepared otherwise), contest and stratum
     (integer labels); train also y, z, w; test also the four bounds, w and, where known,
     extrapolated y with deviation (NaN elsewhere) and a fixed y (NaN elsewhere).
     """
@@ -170,8 +173,8 @@ def draw(train: dict, test: dict, s: Settings) -> dict[str, np.ndarray]:
     contests = int(max(train["contest"].max(initial=-1), test["contest"].max(initial=-1))) + 1
     models, errors, eps, delta = {}, {}, {}, {}
     for k in "yz":
-        ridge = s.ridge if s.ridge is not None else choose_ridge(train["x"], train[k], train["w"], rng=rng)
-        models[k] = Ridge(train["x"], train["w"], ridge)
+        ridge = s.ridge if s.ridge is not None else choose_ridge(train["x"], train[k], train["w"], s.free, rng=rng)
+        models[k] = Ridge(train["x"], train["w"], ridge, s.free)
         errors[k] = models[k].residuals(train[k], leave_one_out=True, center=True)
         eps[k] = _by_contest(errors[k], train["contest"], contests)[:, 0]
         delta[k] = errors[k] - eps[k][train["contest"]]
@@ -292,9 +295,10 @@ def unit_draws(units: DataFrame, scope: list[str], s: Settings) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("geographic_unit_fips", kind="stable").reset_index(drop=True)
+        # Features enter as they are, neither centred nor scaled: the penalty is one on their own scales.
         x = pdf[s.features].astype(float)
-        x = (x - x.mean()) / x.std(ddof=1).replace(0, np.nan)
-        x = np.column_stack([np.ones(len(pdf)), x.fillna(0.0).to_numpy()])
+        x = x.fillna(x.mean()).fillna(0.0).to_numpy()
+        x = x if s.prepared else np.column_stack([np.ones(len(pdf)), x])
         contest, names = pd.factorize(pdf[s.contest].fillna("").agg("_".join, axis=1), sort=True)
         labels = pdf[s.strata].fillna("")
         stratum, kinds = pd.factorize(labels.agg("_".join, axis=1), sort=True)

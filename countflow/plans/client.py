@@ -168,8 +168,6 @@ class Client:
 
     def _bootstrap(self, u: DataFrame, r: Request, aggregates: list[str], versions, sibling) -> dict[str, DataFrame]:
         p = r.model_parameters
-        if r.fixed_effects or p.get("states_for_separate_model"):
-            raise bootstrap.BootstrapError("the bootstrap fits no fixed effects and no separate states")
         district = config.is_district(self.contest.office)
         contest = ["postal_code"]
         if district:
@@ -181,6 +179,14 @@ class Client:
             draws=p.get("B", 500), ridge=p.get("lambda_"), seed=p.get("seed", 0), features=list(dict.fromkeys(["baseline_normalized_margin", *r.features])), strata=p.get("strata", ["county_classification"]), contest=contest, correlations=p.get("contest_correlations", []),
             y_worst=(p.get("y_LB", -0.3), p.get("y_UB", 0.3)), z_worst=(p.get("z_LB", -0.5), p.get("z_UB", 0.5)), y_unobserved=(p.get("y_unobserved_lower_bound", -1.0), p.get("y_unobserved_upper_bound", 1.0)),
             z_unobserved=(p.get("z_unobserved_lower_bound", 0.5), p.get("z_unobserved_upper_bound", 1.5)), percent_error=p.get("percent_expected_vote_error_bound", 0.5))
+        states = p.get("states_for_separate_model", [])
+        if r.fixed_effects or states:
+            modeled, names = features.prepare(u.filter("role <> 'unexpected'"), s.features, r.fixed_effects, states, center=False, scale=False)
+            plain = [f"_x{k}" for k in range(len(names))]
+            u = cut(u.join(modeled.select("geographic_unit_fips", *[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain)]), "geographic_unit_fips", "left"))
+            # The intercept and the states' own margins, which stand first, go without penalty.
+            own = sum(f"baseline_normalized_margin_{x}" in names for x in states)
+            s = dataclasses.replace(s, features=plain, prepared=True, free=1 + own)
         if versions is not None:
             u = self._extrapolated(u, versions, p)
         if sibling is not None:

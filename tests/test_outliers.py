@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from countflow.config import Request
-from countflow.operators.bootstrap import BootstrapError
 from countflow.plans import catalog
 from countflow.plans.client import Client
 
@@ -38,9 +37,3 @@ def test_exact_fit_gives_exact_levels(spark):
     fit = catalog.conformal.fit_scores(u, "o", ["median_household_income"], [0.5], ["election_id"], effects=["postal_code"])
     for x in u.join(fit, ["election_id", "geographic_unit_fips"]).collect():
         assert x.q_0 == pytest.approx(x.turnout_factor - (0.4 if x.geographic_unit_fips == "u33" else 0.0), abs=1e-6)
-
-
-@pytest.mark.parametrize("asked", [{"fixed_effects": ["postal_code"]}, {"model_parameters": {"states_for_separate_model": ["AA"]}}])
-def test_bootstrap_rejects_effects_that_it_does_not_fit(spark, asked):
-    with pytest.raises(BootstrapError, match="no fixed effects"):
-        Client(spark, None)._bootstrap(None, Request(["margin"], [0.9], pi_method="bootstrap", **asked), [], None, None)

@@ -186,3 +186,26 @@ def test_checkpoints_are_cleared(spark, tmp_path):
         assert not os.path.exists(folder) and common.cut(spark.range(5)).count() == 5
     finally:
         spark.sparkContext.setCheckpointDir(before.rsplit("/", 1)[0])
+
+
+def test_bootstrap_fits_effects_and_separate_states(spark, tables):  # noqa: F811
+    """Counties of one class swing far to one side; only a fit with the class as an effect follows them."""
+    b, c = tables
+    hot = F.col("geographic_unit_fips").cast("int") % 3 == 0
+    shift = F.when(hot, 0.25).otherwise(0.0) * (F.col("results_dem") + F.col("results_gop"))
+    c = c.withColumns({"results_dem": F.col("results_dem") + F.round(shift), "results_gop": F.greatest(F.col("results_gop") - F.round(shift), F.lit(0.0))})
+    early = c.withColumn("percent_expected_vote", F.when(F.col("percent_expected_vote") < 100, 10.0).otherwise(F.col("percent_expected_vote")))
+    base = b.select("geographic_unit_fips", ((F.col("baseline_dem") - F.col("baseline_gop")) / (F.col("baseline_dem") + F.col("baseline_gop"))).alias("base"))
+
+    def gap(**asked):
+        p = {"B": 40, "lambda_": 0.0001, "strata": ["county_fips_one"], "fit_margin_outlier_model": False, "fit_turnout_outlier_model": False, **asked.pop("model_parameters", {})}
+        r = Request(["margin"], [0.7], aggregates=["unit"], pi_method="bootstrap", model_parameters=p, **asked)
+        u = Client(spark, contest()).get_estimates(r, early, b.withColumn("county_fips_one", F.lit("x")))["unit_data"].filter("reporting = 0 and unit_category = 'expected'").join(base, "geographic_unit_fips")
+        lead = u.withColumn("moved", F.col("pred_margin") / F.col("pred_turnout") - F.col("base")).withColumn("hot", hot)
+        m = {x.hot: x.m for x in lead.groupBy("hot").agg(F.avg("moved").alias("m")).collect()}
+        return m[True] - m[False]
+
+    plain, fitted = gap(), gap(fixed_effects={"county_classification": "all"})
+    assert fitted > 0.35 and plain < 0.2
+    own = gap(fixed_effects={"county_classification": ["x"]}, model_parameters={"states_for_separate_model": ["A", "Q"]})
+    assert own > 0.35
