@@ -241,7 +241,7 @@ PHRASES = {
         "line": "ตารางน้ำขึ้นน้ำลง|ข่าวจากสวน|แป้งฟูได้อย่างไร|{i}. ลูกพลัม|- เข็มและด้าย|• โรงสีเก่า|ห้ามนำสุนัขเข้า",
         "notice": "ปิดประตูไหม||เปิดไว้|เตานี้ทำงานตอนกลางคืน||ดูเตา",
         "menu": "ขนมปัง|น้ำขึ้น|แผนที่ท่าเรือ|ตะกร้า|จดหมาย|อากาศ|ตั๋วเรือ",
-        "quote": "“ ”", "said": "{N}กล่าว", "then": "แล้วเดินจากไป", "if": "ถ้า{s}{p}{s}ต้องรอ", "web": "เขียนถึง oven@mill.example",
+        "quote": "“ ”", "said": "{N}กล่าว", "then": "แล้วเดินจากไป", "if": "ถ้า{s}{p}{s}จะหยุดพัก", "web": "เขียนถึง oven@mill.example",
     },
 }
 
