@@ -10,8 +10,10 @@ def quantile_regression(x: np.ndarray, y: np.ndarray, tau: float, w: np.ndarray
 
     A few reweighted least-squares steps give a start; then basis rows are exchanged along
     the steepest edge, each with an exact line search (a weighted quantile of breakpoints).
-    Columns that depend on others get coefficient 0. With ridge > 0 (on all columns but the
-    first) the reweighted steps are iterated to convergence instead.
+    Columns that depend on others get coefficient 0. The search runs in an orthonormal basis
+    of the kept columns, as their own scales and near-dependence would be squared in normal
+    equations. With ridge > 0 (on all columns but the first) the reweighted steps are iterated
+    to convergence instead, on the columns as they are.
     """
     n = len(y)
     w = np.ones(n) if w is None else np.asarray(w, float)
@@ -29,10 +31,11 @@ def quantile_regression(x: np.ndarray, y: np.ndarray, tau: float, w: np.ndarray
     penalty = np.zeros(len(keep))
     if ridge > 0:
         penalty[1:] = ridge
-    b = _irls(xk, yy, tau, w, penalty, 200 if ridge > 0 else 30)
-    if ridge == 0:
-        b = _descend(xk, yy, y, tau, w, b)
-    beta[keep] = b
+    if ridge > 0:
+        beta[keep] = _irls(xk, yy, tau, w, penalty, 200)
+    else:
+        q, upper = np.linalg.qr(xk)
+        beta[keep] = np.linalg.solve(upper, _descend(q, yy, y, tau, w, _irls(q, yy, tau, w, penalty, 30)))
     return beta
 
 
@@ -57,7 +60,12 @@ def _irls(x, y, tau, w, penalty, steps):
         r = y - x @ b
         eps = max(scale * 0.7**k, 1e-8 * scale)
         v = w * np.where(r >= 0, tau, 1 - tau) / np.maximum(np.abs(r), eps)
-        new = np.linalg.solve(x.T @ (x * v[:, None]) + np.diag(2 * penalty) + 1e-12 * np.eye(x.shape[1]), x.T @ (v * y))
+        try:
+            new = np.linalg.solve(x.T @ (x * v[:, None]) + np.diag(2 * penalty) + 1e-12 * np.eye(x.shape[1]), x.T @ (v * y))
+        except np.linalg.LinAlgError:
+            if penalty.any():
+                raise
+            return b  # without a penalty this is only a start, and any will do
         if np.abs(new - b).max() < 1e-10 * (np.abs(b).max() + 1e-12):
             return new
         b = new

@@ -58,6 +58,20 @@ def test_quantile_regression_degenerate():
     assert abs(shrunk[2]) < 0.1
 
 
+def test_quantile_regression_of_few_units_and_unlike_scales():
+    """As many units as columns, nearly dependent: normal equations are singular there although the columns are not."""
+    x = np.array([[1.0, 4881.4000000000015, -8.652000000000005, 0.047264999999999974], [1.0, 2616.4000000000015, -11.872000000000003, -0.063835], [1.0, -3115.5999999999985, -5.232000000000003, 0.010564999999999991], [1.0, -6243.5999999999985, 0.6679999999999957, 0.10576499999999997]])
+    y, w = np.array([-0.28503937007874014, -0.18783542039355994, -0.2913738019169329, -0.2562551553478141]), np.array([1905.0, 2236.0, 3130.0, 3637.0])
+    for tau in ((1 - 0.7) / 2, 0.5, (1 + 0.7) / 2):
+        assert x @ solvers.quantile_regression(x, y, tau, w) == pytest.approx(y, abs=1e-9)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(40), rng.normal(size=(40, 3))])
+    y, w = x @ [1, 2, 0, -1] + rng.standard_t(3, 40), rng.uniform(0.1, 2, 40)
+    want = x @ solvers.quantile_regression(x, y, 0.85, w)
+    for scale in ([1, 1e10, 1, 1e-8], [1e-9, 1, 1e9, 1]):
+        assert (x * scale) @ solvers.quantile_regression(x * scale, y, 0.85, w) == pytest.approx(want, abs=1e-9)
+
+
 def test_ridge_residuals_and_folds():
     rng = np.random.default_rng(2)
     x = np.column_stack([np.ones(50), rng.normal(size=(50, 2))])
